@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from forumetry.llm import byte_bpe, gif, repair, viterbi
+from forumetry.llm import byte_bpe, chat, gif, repair, viterbi
 
 QUERIES = {
     "op1_repair_token_ids": repair.op1_repair_token_ids,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_gif_media": gif.op4_gif_media,
+    "op6_chat_format": chat.op6_chat_format,
     "op8_viterbi_token_counts": viterbi.op8_viterbi_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
