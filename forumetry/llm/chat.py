@@ -1,7 +1,7 @@
 """Operator 6, chat formatting: reply trees as conversations.
 
-`paths` enumerates root-to-leaf paths of reply trees by iterative self-joins: each round joins the open paths with the replies to their last
-node, until no path grows. `ranked` ranks the branches of each tree by score. `formatted` writes each chosen path as one conversation with its
+`paths` enumerates root-to-leaf paths of reply trees by iterative self-joins: jumps to ancestors are joined with themselves, twice as far each
+round, and every leaf then collects its ancestors by joining them from the farthest jumps to the nearest, so depth d takes log d rounds. `ranked` ranks the branches of each tree by score. `formatted` writes each chosen path as one conversation with its
 loss mask, and `parsed` reads turns and masked text back from that alone.
 
 The template marks a turn as START role MIDDLE text END. Inside roles and texts the escape mark and the first characters of every control
@@ -9,7 +9,7 @@ string are replaced by the escape mark and a letter, so no control string of thi
 replacement can be undone.
 
 Cases: a null text or role is empty; a null score ranks last; equal scores rank by the path's node ids; a node whose parent does not exist is a
-root; nodes with equal id in one tree keep the least (text, role); cycles have no root and so no path; trees without rows give no conversation.
+root; nodes without an id are left out; nodes with equal id in one tree keep the least (text, role); cycles have no root and so no path; trees without rows give no conversation.
 """
 
 from __future__ import annotations
@@ -39,29 +39,27 @@ def unescape(text: Column) -> Column:
 
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, path array<struct<node, role, text, score>>) of every leaf of nodes (tree, node, parent, role, text, score)."""
-    known = (
-        nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("score").cast("double").alias("score"))
-        .groupBy("tree", "node")
-        .agg(F.min(F.struct("text", "role", "parent", "score")).alias("v"))
-        .select("tree", "node", "v.parent", "v.role", "v.text", "v.score")
-    )
-    known = saved(known, "reply-nodes")
-    ids = known.select("tree", F.col("node").alias("parent"))
-    inner = known.where(F.col("parent").isNotNull()).join(ids, ["tree", "parent"], "left_semi")
-    roots = known.join(inner.select("tree", "node"), ["tree", "node"], "left_anti")
-    parents = inner.select("tree", "parent").distinct().withColumnRenamed("parent", "node").withColumn("grows", F.lit(True))
-    item = F.struct("node", "role", "text", "score")
-    replies = inner.select("tree", F.col("parent").alias("node"), F.struct(F.col("node").alias("node"), "role", "text", "score").alias("next"))
-    open_ = roots.select("tree", "node", F.array(item).alias("path"))
-    done = None
-    while True:
-        step = saved(open_.join(parents, ["tree", "node"], "left"), "reply-paths")
-        ended = step.where(F.col("grows").isNull()).select("tree", F.col("node").alias("leaf"), "path")
-        done = ended if done is None else done.unionByName(ended)
-        growing = step.where(F.col("grows"))
-        if growing.isEmpty():
-            return done
-        open_ = growing.join(replies, ["tree", "node"]).select("tree", F.col("next.node").alias("node"), F.concat("path", F.array("next")).alias("path"))
+    key = F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("")).alias("key")  # null trees are equal here
+    known = nodes.where("node IS NOT NULL").select(key, "tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("score").cast("double").alias("score"))
+    known = known.groupBy("key", "node").agg(F.min(F.struct("text", "role", "parent", "score", "tree")).alias("v"))
+    known = saved(known.select("key", "node", "v.tree", "v.parent", "v.role", "v.text", "v.score"), "reply-nodes")
+    ids = known.select("key", F.col("node").alias("parent"))
+    up = saved(known.where("parent IS NOT NULL").select("key", "node", "parent").join(ids, ["key", "parent"], "left_semi").select("key", "node", F.col("parent").alias("up")), "reply-parents")
+    leaves = known.select("key", "node").join(up.select("key", F.col("up").alias("node")), ["key", "node"], "left_anti")
+    largest = known.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    # jumps[k]: from a node to its ancestor 2 ** k steps up, by joining the jumps before with themselves
+    jumps = []
+    while 1 << len(jumps) < largest and not up.isEmpty():
+        jumps.append(up)
+        up = saved(up.join(up.select("key", F.col("node").alias("up"), F.col("up").alias("far")), ["key", "up"]).select("key", "node", F.col("far").alias("up")), "reply-jumps")
+    # what can go up further than its tree is large hangs from a cycle
+    steps = leaves.join(up, ["key", "node"], "left_anti").select("key", F.col("node").alias("leaf"), "node", F.lit(0).alias("above"))
+    for k in reversed(range(len(jumps))):
+        steps = saved(steps, "reply-steps")
+        steps = steps.unionByName(steps.join(jumps[k], ["key", "node"]).select("key", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above")))
+    item = F.struct((-F.col("above")).alias("at"), F.struct("node", "role", "text", "score").alias("turn"))
+    found = steps.join(known, ["key", "node"]).groupBy("key", "leaf").agg(F.first("tree").alias("tree"), F.array_sort(F.collect_list(item)).alias("path"))
+    return saved(found.select("tree", "leaf", F.col("path.turn").alias("path")), "reply-paths")
 
 
 def ranked(found: DataFrame) -> DataFrame:
@@ -117,3 +115,16 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.char_length(learned).cast("long").alias("loss_chars"),
         digest(learned).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+ORACLE_SQL = rf"""
+WITH r AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+     t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM r),
+     e AS (SELECT *, length(regexp_replace(role, '[\\<\[]', '..', 'g')) + length(regexp_replace(text, '[\\<\[]', '..', 'g')) + {len(START + MIDDLE + END)} AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = '{LEARNED}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = '{LEARNED}'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -25,7 +25,7 @@ from forumetry.llm.common import join_counted, keyed, map_batches, saved, table,
 
 MASK_BITS, LEAST, MOST = 5, 8, 1024
 #: Words that adjoining repeated chunks must hold to be removed. Of a repeated passage, the part before its first cut and that after its last aren't found.
-LEAST_WORDS = 25
+LEAST_WORDS = 20
 #: Bytes that the hash depends on.
 REACH = 32
 GEAR = np.random.Generator(np.random.PCG64(20_250_101)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -108,10 +108,13 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, key, start, stop, words, first_doc_id) of every span of bytes to remove, in documents (doc_id, key, text)."""
-    chunks = saved(chunk_rows(docs), "chunks")
-    first = chunks.groupBy("high", "low").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = saved(first, "repeated-chunks")
-    met = join_counted(chunks, repeated, ["high", "low"], "n")
+    chunks = chunk_rows(docs)
+    digest = ["high", "low"]
+    # counts first, over halves of digests alone: most chunks occur once, and only the rows of the others are carried on
+    counts = saved(chunks.groupBy("high").agg(F.count("*").alias("n")).where("n > 1"), "repeated-digests")
+    repeated = saved(join_counted(chunks, counts, ["high"], "n").drop("n"), "repeated-chunks")
+    first = repeated.groupBy(digest).agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("n"))
+    met = join_counted(repeated, saved(first, "first-chunks"), digest, "n")
     later = met.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start"))))
     # documents with an equal key hold equal chunks: one of each is enough
     later = later.groupBy("doc_id", "key", "start", "stop").agg(F.first("words").alias("words"), F.min("first.doc_id").alias("first_doc_id"))

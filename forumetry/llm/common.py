@@ -81,10 +81,31 @@ def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str)
     """Inner equi-join of many rows with one fact a key, safe for hot keys. facts has the number of rows of each key in column `count`.
 
     Keys with at least 1/HOT_PARTS of all rows are broadcast: by that share there are HOT_PARTS of them at most, whatever the size of the
-    corpus. The rows of the others meet their fact in an ordinary shuffle join, where no key is larger than that share.
+    corpus. The rows of the others meet their fact in an ordinary shuffle join, where no key is larger than that share. facts is read three
+    times, so it should be saved.
     """
-    total = facts.agg(F.sum(count)).first()[0] or 0
+    total, most = facts.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
     least = max(1000, total // HOT_PARTS)
+    if most < least:
+        return rows.join(facts, keys)
     hot, cold = facts.where(F.col(count) >= least), facts.where(F.col(count) < least)
     few = F.broadcast(hot.select(*keys))
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(few, keys, "left_anti").join(cold, keys))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, which should be saved, with a hint to broadcast it if it has at most so many rows; else Spark joins it as any other table."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Keys of documents that are broadcast at most: 16 bytes each.
+FEW_KEYS = 500_000
+
+
+def of_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs that have (left_semi) or don't have (left_anti) one of the document keys (doc_id, key), which should be saved."""
+    fresh = lambda name: name if name not in docs.columns else fresh(f"_{name}")
+    own, doc, key = fresh("_own"), fresh("_doc"), fresh("_key")
+    right = small(keys.select(F.col("doc_id").alias(doc), F.col("key").alias(key)), FEW_KEYS)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key))
+    return docs.withColumn(own, text_key()).join(right, same, how).drop(own)
