@@ -25,6 +25,8 @@ from forumetry.llm.common import add_columns, saved, table
 
 #: Labelled documents that the weights are learnt from at most, and features chosen at most.
 LABELS, FEATURES = 20_000, 4_000
+#: Likelihood ratio that a feature must have to be chosen.
+LEAST_RATIO = 5.0
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
 #: Lengths of a word's beginnings, and bits of a feature's hash.
@@ -102,36 +104,41 @@ class Rows:
     def of(lists: list[np.ndarray]) -> Rows:
         return Rows(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([len(x) for x in lists], dtype=np.int64))
 
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends, prepend=0)
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0.0], np.cumsum(weights[self.index])))
         return np.diff(sums[np.concatenate(([0], self.ends))])
 
     def back(self, values: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(self.index, np.repeat(values, np.diff(self.ends, prepend=0)), n)
+        return np.bincount(self.index, np.repeat(values, self.sizes()), n)
+
 
+def fit(x: Rows, y: np.ndarray, gained: Rows, lost: Rows, n: int, swap_penalty: float = 1.0, l1: float = 1e-4, l2: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias. gained and lost: features that a swap adds to or takes from a row, a row a swap.
 
-def fit(x: Rows, y: np.ndarray, pairs: Rows, of: np.ndarray, n: int, swap_penalty: float = 1.0, l1: float = 1e-4, l2: float = 1e-5, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias. pairs: features of swapped versions; of: the row that each is a version of."""
+    Each weight has a step of its own, from a diagonal bound of the second derivatives: a row's size, summed over the rows with the feature.
+    """
     prior = (y.sum() + 1) / (len(y) + 2)
     bias = float(np.log(prior / (1 - prior)))
     w = np.zeros(n)
     if not len(y) or y.min() == y.max() or not n:
         return w, bias
-    heavy = max(1, int(np.bincount(x.index, minlength=n).max()), 1)
-    size = float(np.diff(x.ends, prepend=0).max(initial=1)) + 1
-    step = 1 / min(0.25 * size + 4 * swap_penalty * size, 0.25 * heavy * size / len(y) + 4 * swap_penalty * size * (len(of) > 0))
-    look, look_bias, t, m = w, bias, 1.0, max(1, len(of))
+    m = max(1, len(gained.ends))
+    bound = 0.25 * x.back(x.sizes() + 1.0, n) / len(y) + l2
+    moved = gained.sizes() + lost.sizes()
+    bound += 2 * swap_penalty / m * (gained.back(moved * 1.0, n) + lost.back(moved * 1.0, n))
+    step, bias_step = 1 / bound, 4 / (1 + float(x.sizes().mean()))
+    look, look_bias, t = w, bias, 1.0
     for _ in range(steps):
-        z = x.dot(look) + look_bias
-        r = (1 / (1 + np.exp(-z)) - y) / len(y)
-        gradient = x.back(r, n) + l2 * look
-        if len(of):
-            change = 2 * swap_penalty * (x.dot(look)[of] - pairs.dot(look)) / m
-            gradient += x.back(np.bincount(of, change, len(y)), n) - pairs.back(change, n)
+        r = (1 / (1 + np.exp(-(x.dot(look) + look_bias))) - y) / len(y)
+        change = 2 * swap_penalty / m * (gained.dot(look) - lost.dot(look))
+        gradient = x.back(r, n) + l2 * look + gained.back(change, n) - lost.back(change, n)
         new = look - step * gradient
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        new_bias = look_bias - step * float(r.sum())
-        if float(np.dot(look - new, new - w)) + (look_bias - new_bias) * (new_bias - bias) > 0:
+        new_bias = look_bias - bias_step * float(r.sum())
+        if float(np.dot((look - new) * bound, new - w)) + (look_bias - new_bias) * (new_bias - bias) / bias_step > 0:
             t = 1.0  # the momentum led astray
         fresh = (1 + (1 + 4 * t * t) ** 0.5) / 2
         look, look_bias = new + (t - 1) / fresh * (new - w), new_bias + (t - 1) / fresh * (new_bias - bias)
@@ -154,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: Column
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     a, k, p = F.col("a"), F.col("k"), ones / max(1, n)
     ratio = term(a, k * p) + term(k - a, k * (1 - p)) + term(ones - a, (n - k) * p) + term(n - k - (ones - a), (n - k) * (1 - p))
-    few = counts.where(F.lit(0 < ones < n)).select("f", ratio.alias("r")).orderBy(F.desc("r"), "f").limit(top)
+    few = counts.where(F.lit(0 < ones < n)).select("f", ratio.alias("r")).where(F.col("r") >= LEAST_RATIO).orderBy(F.desc("r"), "f").limit(top)
     chosen = np.sort(few.toArrow()["f"].to_numpy().astype(np.int64)) if 0 < ones < n else np.zeros(0, np.int64)
 
     def pick(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -164,8 +171,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: Column
     got = add_columns(rows.withColumnsRenamed({"has": "all", "swapped": "versions"}), pick, {"has": "array<int>", "swapped": "array<array<int>>"}).select("label", "has", "swapped").toArrow().to_pylist()
     got.sort(key=lambda r: (r["label"], r["has"], r["swapped"]))  # the order of rows must not change the weights
     x, y = Rows.of([np.array(r["has"], np.int64) for r in got]), np.array([r["label"] for r in got], np.float64)
-    pairs, of = Rows.of([np.array(s, np.int64) for r in got for s in r["swapped"]]), np.array([k for k, r in enumerate(got) for _ in r["swapped"]], np.int64)
-    weights, bias = fit(x, y, pairs, of, len(chosen), swap_penalty)
+    swaps_of = [(set(r["has"]), set(s)) for r in got for s in r["swapped"]]
+    gained, lost = (Rows.of([np.array(sorted(d), np.int64) for d in ds]) for ds in ([b - a for a, b in swaps_of], [a - b for a, b in swaps_of]))
+    weights, bias = fit(x, y, gained, lost, len(chosen), swap_penalty)
     return Linear(chosen, weights, bias)
 
 
