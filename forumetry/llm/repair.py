@@ -1,8 +1,8 @@
 """Operator 1, token-ID output: token ids of whole documents in shards compressed with Re-Pair grammars.
 
 A shard holds the ids of consecutive documents, each closed by an end id. Its grammar is built in rounds: count all adjacent pairs, give every
-pair whose count is within half of the largest a nonterminal, replace its occurrences, and go on until no pair occurs `min_pairs` times. Where
-chosen pairs overlap, the more frequent one wins, and in a run of one pair the leftmost. Rules and their expansion lengths are stored, so
+pair that occurs often enough a nonterminal, replace its occurrences, and go on with a quarter of that count, until no pair occurs `min_pairs`
+times. Where chosen pairs overlap, the more frequent one wins, and in a run of one pair the leftmost. Rules and their expansion lengths are stored, so
 `decode_range` finds any position by binary search and expands only the symbols that cover it.
 
 Cases: a null or empty text gives the end id alone; rows are ordered by (doc_id, hash of text), nulls first; repeated rows are stored once
@@ -12,9 +12,11 @@ each, so each has its own start; an empty table gives no shards. Columns other t
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +29,73 @@ from forumetry.llm.common import keyed, slices, table
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIQI")
 #: Ids in a shard at most, unless one document has more.
-SHARD_IDS = 1 << 20
-MIN_PAIRS = 4
+SHARD_IDS = 1 << 19
+MIN_PAIRS = 8
+#: Pairs are counted in 2 ** SLOT_BITS slots of a multiplicative hash.
+SLOT_BITS, FACTOR = 18, np.uint64(0x9E3779B97F4A7C15)
 #: Words whose ids a worker keeps at once; then it forgets them all.
-MEMO = 400_000
+MEMO = 1_000_000
+
+
+def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs with at least so many places, their counts, places, index of the pair at each place). Pairs are first counted by hash, so only
+    those that may be frequent are sorted."""
+    slot = (keys * FACTOR >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    places = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])
+    some = keys[places]
+    ordered = np.sort(some)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(ordered)))
+    chosen, counts = ordered[first[counts >= least]], counts[counts >= least]
+    if not len(chosen):
+        return chosen, counts, places[:0], places[:0]
+    at = np.minimum(np.searchsorted(chosen, some), len(chosen) - 1)
+    hit = chosen[at] == some
+    return chosen, counts, places[hit], at[hit]
 
 
 def build_grammar(ids: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rule k, of two symbols, is nonterminal base + k; the symbols expand to ids."""
-    seq, rules, made = ids.astype(np.int64), [], 0
+    seq, rules, made, fresh = ids.astype(np.uint64), [], 0, 0
+    least = max(min_pairs, len(seq) // 1024)
     while len(seq) > 1:
-        pairs = seq[:-1] << 32 | seq[1:]
-        ordered = np.sort(pairs)
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(first, len(ordered)))
-        least = max(min_pairs, int(counts.max()) // 2)
-        often = counts >= least
-        if not often.any():
+        if fresh:  # at the least count, a pair has most likely become frequent only if it has a symbol of the round before
+            new = seq >= np.uint64(fresh)
+            near = np.flatnonzero(new[:-1] | new[1:])
+        else:
+            near = np.arange(len(seq) - 1)
+        keys = seq[near] << np.uint64(32) | seq[near + 1]
+        chosen, counts, places, at = frequent_pairs(keys, least)
+        used = np.zeros(0, np.int64)
+        if len(chosen):
+            places = near[places]
+            rank = np.empty(len(chosen), np.int64)
+            rank[np.lexsort((-chosen.astype(np.int64), counts))] = np.arange(1, len(chosen) + 1)  # a later rank is more frequent; all differ
+            weight, close = rank[at], np.diff(places) == 1
+            run = np.flatnonzero(np.concatenate(([True], ~(close & (at[1:] == at[:-1])))))
+            offset = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+            left, right = np.concatenate(([0], weight[:-1] * close)), np.concatenate((weight[1:] * close, [0]))
+            take = (offset % 2 == 0) & ((offset > 0) | (left < weight)) & (right <= weight)
+            uses = np.bincount(at[take], minlength=len(chosen))
+            take &= uses[at] >= min(2, min_pairs)
+            used = np.flatnonzero(uses >= min(2, min_pairs))
+        if len(used):
+            name = np.zeros(len(chosen), np.uint64)
+            name[used] = base + made + np.arange(len(used))
+            rules.append(np.stack((chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)), axis=1))
+            seq[places[take]] = name[at[take]]
+            keep = np.ones(len(seq), bool)
+            keep[places[take] + 1] = False
+            seq, last = seq[keep], base + made
+            made += len(used)
+        if least > min_pairs:
+            least = max(min_pairs, least // 4)
+        elif len(used):
+            fresh = last
+        elif fresh:
+            fresh = 0  # once more over all pairs
+        else:
             break
-        chosen, counts = ordered[first[often]], counts[often]
-        rank = np.empty(len(chosen), np.int64)
-        rank[np.lexsort((-chosen, counts))] = np.arange(1, len(chosen) + 1)  # a later rank is more frequent; all differ
-        at = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
-        weight = np.where(chosen[at] == pairs, rank[at], 0)
-        start = np.concatenate(([True], weight[1:] != weight[:-1]))
-        run = np.flatnonzero(start)
-        offset = np.arange(len(weight)) - np.repeat(run, np.diff(np.append(run, len(weight))))
-        left, right = np.concatenate(([0], weight[:-1])), np.concatenate((weight[1:], [0]))
-        take = (weight > 0) & (offset % 2 == 0) & ((offset > 0) | (left < weight)) & (right <= weight)
-        uses = np.bincount(at[take], minlength=len(chosen))
-        take &= uses[at] >= min(2, min_pairs)
-        used = np.flatnonzero(uses >= min(2, min_pairs))
-        if not len(used):
-            break
-        name = np.zeros(len(chosen), np.int64)
-        name[used] = base + made + np.arange(len(used))
-        rules.append(np.stack((chosen[used] >> 32, chosen[used] & 0xFFFFFFFF), axis=1))
-        made += len(used)
-        spots = np.flatnonzero(take)
-        seq[spots] = name[at[spots]]
-        keep = np.ones(len(seq), bool)
-        keep[spots + 1] = False
-        seq = seq[keep]
     return np.concatenate(rules).astype("<u4") if rules else np.zeros((0, 2), "<u4"), seq.astype("<u4")
 
 
@@ -183,27 +210,76 @@ class Shard:
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that encodes each run between ASCII blanks on its own; every distinct run is encoded once and remembered."""
+    """Ids of texts by a tokenizer that encodes each run between ASCII blanks on its own; every distinct run is encoded once and remembered.
+
+    The tokenizer gets many runs in one string. Where runs of plain letters with a comma or full stop behind them stand in such a string, every
+    run of letters and every mark ends in an id of a piece with the word-end suffix, so the ids can be told apart again; other runs are encoded
+    one by one.
+    """
+
+    PLAIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+[.,]?").fullmatch
+    WORD_END, TOGETHER = "</w>", 500
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the end id last."""
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        self.ends[[k for piece, k in self.tokenizer.get_vocab(with_added_tokens=True).items() if piece.endswith(self.WORD_END)]] = 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.flat, self.begins, self.known = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), 0
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers the ids of new words."""
+        plain, other = [], []
+        for w in words:
+            (plain if self.PLAIN(w) else other).append(w)
+        parts, sizes = [], [np.zeros(0, np.int64)]
+        groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            parts.append(np.array(e.ids, "<u4"))
+            stops, pieces = np.flatnonzero(self.ends[parts[-1]]), np.cumsum([1 + (w[-1] in ".,") for w in group])
+            if len(stops) != pieces[-1]:
+                raise ValueError("the tokenizer doesn't close every word")
+            sizes.append(np.diff(stops[pieces - 1], prepend=-1))
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        parts.append(np.array([k for x in lists for k in x], "<u4"))
+        sizes = np.concatenate((*sizes, np.array(list(map(len, lists)), np.int64)))
+        self.memo.update(zip((*plain, *other), range(len(self.memo), len(self.memo) + len(words)), strict=True))
+        total, n = self.known + int(sizes.sum()), len(self.memo)
+        if total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(total, 2 * len(self.flat)) - len(self.flat), "<u4")))
+        if n + 1 > len(self.begins):
+            self.begins = np.concatenate((self.begins, np.zeros(max(n + 1, 2 * len(self.begins)) - len(self.begins), np.int64)))
+        self.flat[self.known : total] = np.concatenate(parts)
+        self.begins[n - len(words) + 1 : n + 1] = self.known + np.cumsum(sizes)
+        self.known = total
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end id after each, and how many ids each has."""
         words = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list(set().union(*words).difference(self.memo))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(e.ids, "<u4").tobytes()
-        get, last = self.memo.__getitem__, np.array([end_id], "<u4").tobytes()
-        return [b"".join(map(get, x)) + last for x in words]
+            self.forget()
+        n = np.array(list(map(len, words)), np.int64)
+        which = np.fromiter(map(self.memo.get, chain.from_iterable(words), repeat(-1)), np.int64, int(n.sum()))
+        if len(missing := np.flatnonzero(which < 0)):
+            flat = [w for x in words for w in x]
+            late = [flat[k] for k in missing.tolist()]
+            self.learn(list(dict.fromkeys(late)))
+            which[missing] = [self.memo[w] for w in late]
+        begin, size = self.begins[which], self.begins[which + 1] - self.begins[which]
+        ends = np.cumsum(size)
+        counts = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))])
+        ids = np.empty(int(counts.sum()) + len(texts), "<u4")
+        inside = np.ones(len(ids), bool)
+        inside[np.cumsum(counts + 1) - 1] = False
+        ids[~inside] = end_id
+        ids[inside] = self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))]
+        return ids, counts + 1
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -224,17 +300,18 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vo
         encoder = _ENCODERS[tokenizer]
 
         def row() -> pa.RecordBatch:
-            grammar = pack_shard(np.frombuffer(b"".join(ids), "<u4"), vocabulary, np.array([len(x) // 4 for x in ids]))
+            grammar = pack_shard(np.concatenate(ids), vocabulary, np.array([len(x) for x in ids]))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([held], pa.list_(pa.int64())), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([grammar], pa.binary())], names=["part", "shard", "doc_ids", "before", "n_ids", "grammar"])
 
         for batch in slices(batches):
-            for doc, got in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist(), end_id), strict=True):
-                if held and n + len(got) // 4 > shard_ids:
+            flat, sizes = encoder.encode(batch["text"].to_pylist(), end_id)
+            for doc, got in zip(batch["doc_id"].to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+                if held and n + len(got) > shard_ids:
                     yield row()
                     shard, before, held, ids, n = shard + 1, before + n, [], [], 0
                 held.append(doc)
                 ids.append(got)
-                n += len(got) // 4
+                n += len(got)
         if held:
             yield row()
 
