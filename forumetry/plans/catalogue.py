@@ -1,6 +1,8 @@
-"""Every query of the library, with the SQL that checks it."""
+"""Every query of the library, with the SQL that checks it. The two sides share only the tables' adapters and the configured sides."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from forumetry.plans import discussion, runs, scalars
+
+QUERIES: dict = discussion.QUERIES | runs.QUERIES | scalars.QUERIES
+ORACLE_SQL: dict[str, str] = discussion.ORACLE_SQL | runs.ORACLE_SQL | scalars.ORACLE_SQL
