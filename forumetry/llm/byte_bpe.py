@@ -23,7 +23,7 @@ from forumetry.llm.digests import ids_sha256, list_array
 
 LONGEST = 256
 #: Pieces whose ids a worker keeps at once; then it forgets them all.
-MEMO = 400_000
+MEMO = 150_000
 #: Rows of one matrix at most.
 ROWS = 1 << 15
 

@@ -44,7 +44,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes, one row at least: bounds what a worker holds."""
     for batch in batches:
         per = max(1, batch.nbytes // max(1, batch.num_rows))

@@ -136,9 +136,10 @@ def near_share(n: int, both: np.ndarray, bits: list[int], width: int) -> list[fl
 
 def plan(n: int, both: np.ndarray, most_bits: int = MOST_BITS) -> list[tuple[int, int]]:
     """(mask of a partition's bits, its units) with most_bits + 1 units in all, at the least estimated cost."""
-    p = both.diagonal() / max(n, 1)
+    n = max(n, 1)
+    p = both.diagonal() / n
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    correlation = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
+    correlation = np.abs(both / n - np.outer(p, p)) / np.outer(spread, spread)
     np.fill_diagonal(correlation, 0)
     units, best = most_bits + 1, None
     for m in range(1, min(units, BITS) + 1):
