@@ -84,10 +84,10 @@ class ByteBpe:
                     keys.append(a << 32 | b)
                     merged.append(rank)
         self.pairs = PairTable(np.array(keys, np.int64), np.array(merged, np.int32))
-        self.of = dict(zip(keys, merged, strict=True))
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
+        self.tokens = tokens
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.sizes = np.array(list(map(len, tokens)), np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
@@ -126,21 +126,22 @@ class ByteBpe:
     def merge_long(self, piece: bytes) -> np.ndarray:
         """The same merges of one long piece: a heap of (rank, place) over a linked list."""
         ids = self.bytes_to_id[np.frombuffer(piece, np.uint8)].tolist()
-        n, get = len(ids), self.of.get
+        n, tokens, whole = len(ids), self.tokens, self.whole
+        rank_of = lambda a, b: whole.get(tokens[a] + tokens[b])
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else -1
-            if j < 0 or get(ids[i] << 32 | ids[j]) != rank:
+            if j < 0 or rank_of(ids[i], ids[j]) != rank:
                 continue
             ids[i], ids[j], after[i] = rank, -1, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
-                if (r := get(rank << 32 | ids[after[i]])) is not None:
+                if (r := rank_of(rank, ids[after[i]])) is not None:
                     heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := get(ids[before[i]] << 32 | rank)) is not None:
+            if before[i] >= 0 and (r := rank_of(ids[before[i]], rank)) is not None:
                 heapq.heappush(heap, (r, before[i]))
         return np.array([x for x in ids if x >= 0], np.int32)
 
@@ -195,39 +196,41 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return _CODECS[path, pattern]
 
 
-def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df with a column of ids, array<int>."""
+def _encoded(column: pa.Array, bpe: ByteBpe) -> pa.ListArray:
+    got = bpe.encode([x or "" for x in column.to_pylist()])
+    return list_array(np.frombuffer(b"".join(got), np.int32), np.array([len(x) // 4 for x in got], np.int64))
 
-    def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        got = codec(path, pattern).encode([x or "" for x in batch[text].to_pylist()])
-        return {out: list_array(np.frombuffer(b"".join(got), np.int32), np.array([len(x) // 4 for x in got], np.int64))}
 
-    return add_columns(df, make, {out: "array<int>"})
+def _decoded(column: pa.ListArray, bpe: ByteBpe) -> pa.Array:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    ends = np.concatenate(([0], np.cumsum(bpe.sizes[flat])))[np.concatenate(([0], np.cumsum(sizes)))]
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(bpe.decode(flat))]).cast(pa.binary())
+
+
+def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """df with a column of ids, array<int>."""
+    return add_columns(df, lambda batch: {out: _encoded(batch[text], codec(path, pattern))}, {out: "array<int>"})
 
 
 def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with a binary column of the bytes that the ids stand for."""
+    return add_columns(df, lambda batch: {out: _decoded(batch[ids], codec(path, pattern))}, {out: "binary"})
 
-    def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        column, bpe = batch[ids], codec(path, pattern)
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = column.value_lengths().fill_null(0).to_numpy()
-        held = bpe.decode(flat)
-        ends = np.concatenate(([0], np.cumsum(bpe.sizes[flat])))[np.concatenate(([0], np.cumsum(sizes)))]
-        return {out: pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(held)]).cast(pa.binary())}
 
-    return add_columns(df, make, {out: "binary"})
+def with_byte_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs with `ids` and `decoded`, in one pass: two would keep two Python workers with a vocabulary each for every task."""
 
+    def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        ids = _encoded(batch["text"], codec(path, pattern))
+        return {"ids": ids, "decoded": _decoded(ids, codec(path, pattern))}
 
-def with_byte_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with `ids` and `decoded`."""
-    return decode_column(encode_column(docs, path, pattern), path, pattern)
+    return add_columns(docs, make, {"ids": "array<int>", "decoded": "binary"})
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = encode_column(keyed(table(spark, sf_dir, "documents")).select("doc_id", "text"), path, pattern)
-    done = decode_column(ids.drop("text"), path, pattern)
+    done = with_byte_bpe(keyed(table(spark, sf_dir, "documents")).select("doc_id", "text"), path, pattern)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -53,6 +53,15 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[p
             yield batch.slice(at, step)
 
 
+#: Rows of an Arrow batch, where the session has Spark's default, which for long texts would be tens of megabytes a task on both sides.
+BATCH_ROWS, _BATCH_KEY = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_KEY, "10000") == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """mapInArrow of a function from one bounded batch to one batch."""
 
@@ -60,6 +69,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
         for batch in slices(batches):
             yield f(batch)
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

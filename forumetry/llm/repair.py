@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumetry.llm.common import keyed, slices, table
+from forumetry.llm.common import bounded, keyed, slices, table
 
 #: Fixed values of the shard format: magic, then counts of rules, symbols, documents and ids, then the first nonterminal.
 MAGIC = b"RPG1"
@@ -315,6 +315,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vo
         if held:
             yield row()
 
+    bounded(docs.sparkSession)
     (keyed(docs).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text").mapInArrow(run, SHARDS).write.parquet(path))
 
 
