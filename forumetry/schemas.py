@@ -1,29 +1,47 @@
-"""Schemas of the nested snapshot and of all tables, as DDL."""
+"""Schemas of the nested snapshot and of all tables."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_AUTHOR = "author STRUCT<author_id: STRING, name: STRING, profile_url: STRING>"
-_COMMENT = f"""comment_id: STRING, platform: STRING, parent_post_id: STRING, parent_entity_type: STRING, parent_entity_id: STRING, parent_comment_id: STRING,
-    reply_to_message_id: STRING, thread_root_post_id: STRING, origin_post_id: STRING, created_at: STRING, message: STRING, permalink: STRING, reactions: BIGINT,
-    reaction_breakdown_json: STRING, source_collector: STRING, depth: BIGINT, raw_path: STRING, {_AUTHOR.replace(" ", ": ", 1)}"""
-_MEDIA = "media_id: STRING, owner_post_id: STRING, media_type: STRING, title: STRING, url: STRING, preview_url: STRING"
-_POST = f"""post_id: STRING, platform: STRING, source_id: STRING, origin_post_id: STRING, origin_external_id: STRING, origin_permalink: STRING, propagation_kind: STRING,
-    is_propagation: BOOLEAN, created_at: STRING, message: STRING, permalink: STRING, reactions: BIGINT, shares: BIGINT, comments_count: BIGINT, views: BIGINT,
-    forwards: BIGINT, reply_count: BIGINT, has_media: BOOLEAN, media_type: STRING, reaction_breakdown_json: STRING, source_collector: STRING, raw_path: STRING,
-    {_AUTHOR.replace(" ", ": ", 1)}, media_refs: ARRAY<STRUCT<{_MEDIA}>>, comments: ARRAY<STRUCT<{_COMMENT}>>"""
-_SOURCE = """platform: STRING, source_id: STRING, source_name: STRING, source_url: STRING, source_type: STRING, about: STRING, followers_count: BIGINT, fan_count: BIGINT,
-    discussion_chat_id: STRING, discussion_chat_name: STRING, discussion_linked: BOOLEAN, filtered_service_message_count: BIGINT, source_collector: STRING, raw_path: STRING"""
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, MapType, StringType, StructField, StructType
+
+_TYPES: dict[str, DataType] = {
+    "STRING": StringType(), "BIGINT": LongType(), "BOOLEAN": BooleanType(), "DOUBLE": DoubleType(), "ARRAY<STRING>": ArrayType(StringType()), "ARRAY<DOUBLE>": ArrayType(DoubleType()),
+    "MAP<STRING,STRING>": MapType(StringType(), StringType()),
+}
+
+
+def struct(text: str, **nested: DataType) -> StructType:
+    """`name TYPE, ...` as a schema, without a session; nested fields are given by name."""
+    pairs = (x.split() for x in text.split(", ") if x.strip())
+    return StructType([StructField(n, nested[n] if n in nested else _TYPES[t]) for n, t in pairs])
+
+
+_AUTHOR = struct("author_id STRING, name STRING, profile_url STRING")
+_COMMENT = struct(
+    "comment_id STRING, platform STRING, parent_post_id STRING, parent_entity_type STRING, parent_entity_id STRING, parent_comment_id STRING, reply_to_message_id STRING, thread_root_post_id STRING, origin_post_id STRING, "
+    "created_at STRING, message STRING, permalink STRING, reactions BIGINT, reaction_breakdown_json STRING, source_collector STRING, depth BIGINT, raw_path STRING, author NESTED", author=_AUTHOR,
+)
+_MEDIA = struct("media_id STRING, owner_post_id STRING, media_type STRING, title STRING, url STRING, preview_url STRING")
+_POST = struct(
+    "post_id STRING, platform STRING, source_id STRING, origin_post_id STRING, origin_external_id STRING, origin_permalink STRING, propagation_kind STRING, is_propagation BOOLEAN, created_at STRING, message STRING, permalink STRING, "
+    "reactions BIGINT, shares BIGINT, comments_count BIGINT, views BIGINT, forwards BIGINT, reply_count BIGINT, has_media BOOLEAN, media_type STRING, reaction_breakdown_json STRING, source_collector STRING, raw_path STRING, "
+    "author NESTED, media_refs NESTED, comments NESTED", author=_AUTHOR, media_refs=ArrayType(_MEDIA), comments=ArrayType(_COMMENT),
+)
+_SOURCE = struct(
+    "platform STRING, source_id STRING, source_name STRING, source_url STRING, source_type STRING, about STRING, followers_count BIGINT, fan_count BIGINT, discussion_chat_id STRING, discussion_chat_name STRING, "
+    "discussion_linked BOOLEAN, filtered_service_message_count BIGINT, source_collector STRING, raw_path STRING"
+)
 #: One run of a collector: the source and its posts, each with its comments and media.
-MANIFEST = StructType.fromDDL(f"""run_id STRING, collected_at STRING, requested_date_start STRING, requested_date_end STRING, collector STRING, mode STRING, status STRING,
-    fallback_used BOOLEAN, warnings ARRAY<STRING>, cursors MAP<STRING, STRING>, source STRUCT<{_SOURCE}>, posts ARRAY<STRUCT<{_POST}>>""")
+MANIFEST = struct(
+    "run_id STRING, collected_at STRING, requested_date_start STRING, requested_date_end STRING, collector STRING, mode STRING, status STRING, fallback_used BOOLEAN, warnings ARRAY<STRING>, cursors MAP<STRING,STRING>, "
+    "source NESTED, posts NESTED", source=_SOURCE, posts=ArrayType(_POST),
+)
 
 _COUNTS = "reactions BIGINT, shares BIGINT, comments_count BIGINT, views BIGINT, forwards BIGINT, reply_count BIGINT, has_media BOOLEAN, media_type STRING, reaction_breakdown_json STRING"
 _SCOPE = "parent_post_id STRING, parent_entity_type STRING, parent_entity_id STRING, parent_comment_id STRING, reply_to_message_id STRING, thread_root_post_id STRING, origin_post_id STRING"
 _ORIGIN = "platform STRING, source_id STRING, origin_post_id STRING, origin_external_id STRING, origin_permalink STRING, propagation_kind STRING"
 TABLES = {
-    name: StructType.fromDDL(ddl)
+    name: struct(ddl)
     for name, ddl in {
         "posts": f"post_id STRING, {_ORIGIN}, is_propagation BOOLEAN, author_id STRING, created_at STRING, message STRING, permalink STRING, {_COUNTS}, source_collector STRING, raw_path STRING, run_id STRING",
         "propagations": f"propagation_id STRING, {_ORIGIN}, author_id STRING, created_at STRING, message STRING, permalink STRING, {_COUNTS}, source_collector STRING, raw_path STRING, run_id STRING",
