@@ -16,10 +16,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +31,19 @@ MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIQI")
 #: Ids in a shard at most, unless one document has more.
 SHARD_IDS = 1 << 19
-MIN_PAIRS = 8
+MIN_PAIRS = 16
 #: Pairs are counted in 2 ** SLOT_BITS slots of a multiplicative hash.
 SLOT_BITS, FACTOR = 18, np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that are encoded together.
+TOGETHER = 12 << 20
 #: Words whose ids a worker keeps at once; then it forgets them all.
-MEMO = 1_000_000
+MEMO = 1_500_000
 
 
 def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(pairs with at least so many places, their counts, places, index of the pair at each place). Pairs are first counted by hash, so only
     those that may be frequent are sorted."""
-    slot = (keys * FACTOR >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    slot = (keys * FACTOR >> np.uint64(64 - SLOT_BITS)).view(np.int64)
     places = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])
     some = keys[places]
     ordered = np.sort(some)
@@ -62,13 +65,13 @@ def build_grammar(ids: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tup
         if fresh:  # at the least count, a pair has most likely become frequent only if it has a symbol of the round before
             new = seq >= np.uint64(fresh)
             near = np.flatnonzero(new[:-1] | new[1:])
+            keys = seq[near] << np.uint64(32) | seq[near + 1]
         else:
-            near = np.arange(len(seq) - 1)
-        keys = seq[near] << np.uint64(32) | seq[near + 1]
+            near, keys = None, seq[:-1] << np.uint64(32) | seq[1:]
         chosen, counts, places, at = frequent_pairs(keys, least)
         used = np.zeros(0, np.int64)
         if len(chosen):
-            places = near[places]
+            places = places if near is None else near[places]
             rank = np.empty(len(chosen), np.int64)
             rank[np.lexsort((-chosen.astype(np.int64), counts))] = np.arange(1, len(chosen) + 1)  # a later rank is more frequent; all differ
             weight, close = rank[at], np.diff(places) == 1
@@ -212,13 +215,12 @@ class Shard:
 class WordIds:
     """Ids of texts by a tokenizer that encodes each run between ASCII blanks on its own; every distinct run is encoded once and remembered.
 
-    The tokenizer gets many runs in one string. Where runs of plain letters with a comma or full stop behind them stand in such a string, every
-    run of letters and every mark ends in an id of a piece with the word-end suffix, so the ids can be told apart again; other runs are encoded
-    one by one.
+    Many new runs of letters, in lower case and without the comma or full stop behind them, are encoded in one string: there each ends in an id
+    of a piece with the word-end suffix, by which the ids are told apart again. Other runs are encoded one by one.
     """
 
     PLAIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+[.,]?").fullmatch
-    WORD_END, TOGETHER = "</w>", 500
+    WORD_END, TOGETHER, MARKS = "</w>", 500, (",", ".")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -227,6 +229,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         self.ends[[k for piece, k in self.tokenizer.get_vocab(with_added_tokens=True).items() if piece.endswith(self.WORD_END)]] = 1
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in self.MARKS}
         self.forget()
 
     def forget(self) -> None:
@@ -238,17 +241,29 @@ class WordIds:
         plain, other = [], []
         for w in words:
             (plain if self.PLAIN(w) else other).append(w)
-        parts, sizes = [], [np.zeros(0, np.int64)]
-        groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
+        stem_of = [w.rstrip(".,").lower() for w in plain]
+        stems = {x: k for k, x in enumerate(dict.fromkeys(stem_of))}
+        groups = list(stems)
+        groups = [groups[k : k + self.TOGETHER] for k in range(0, len(groups), self.TOGETHER)]
+        parts, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             parts.append(np.array(e.ids, "<u4"))
-            stops, pieces = np.flatnonzero(self.ends[parts[-1]]), np.cumsum([1 + (w[-1] in ".,") for w in group])
-            if len(stops) != pieces[-1]:
+            lengths.append(np.diff(np.flatnonzero(self.ends[parts[-1]]), prepend=-1))
+            if len(lengths[-1]) != len(group):
                 raise ValueError("the tokenizer doesn't close every word")
-            sizes.append(np.diff(stops[pieces - 1], prepend=-1))
+        flat, length = np.concatenate(parts), np.concatenate(lengths)
+        stem = np.fromiter(map(stems.__getitem__, stem_of), np.int64, len(plain))
+        mark = np.fromiter((self.marks.get(w[-1], -1) for w in plain), np.int64, len(plain))
+        of_plain = length[stem] + (mark >= 0)
+        made = np.empty(int(of_plain.sum()), "<u4")
+        closing = np.zeros(len(made), bool)
+        closing[np.cumsum(of_plain)[mark >= 0] - 1] = True
+        made[closing] = mark[mark >= 0]
+        n = length[stem]
+        made[~closing] = flat[np.repeat((np.cumsum(length) - length)[stem] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        parts.append(np.array([k for x in lists for k in x], "<u4"))
-        sizes = np.concatenate((*sizes, np.array(list(map(len, lists)), np.int64)))
+        parts = [made, np.array([k for x in lists for k in x], "<u4")]
+        sizes = np.concatenate((of_plain, np.array(list(map(len, lists)), np.int64)))
         self.memo.update(zip((*plain, *other), range(len(self.memo), len(self.memo) + len(words)), strict=True))
         total, n = self.known + int(sizes.sum()), len(self.memo)
         if total > len(self.flat):
@@ -259,18 +274,22 @@ class WordIds:
         self.begins[n - len(words) + 1 : n + 1] = self.known + np.cumsum(sizes)
         self.known = total
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and how many ids each has."""
-        words = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+        texts = texts.fill_null("")
+        for blank in "\n\t\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        words = pc.split_pattern(texts, " ")
+        n, coded = words.value_lengths().to_numpy().astype(np.int64), words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.memo) > MEMO:
             self.forget()
-        n = np.array(list(map(len, words)), np.int64)
-        which = np.fromiter(map(self.memo.get, chain.from_iterable(words), repeat(-1)), np.int64, int(n.sum()))
-        if len(missing := np.flatnonzero(which < 0)):
-            flat = [w for x in words for w in x]
-            late = [flat[k] for k in missing.tolist()]
-            self.learn(list(dict.fromkeys(late)))
-            which[missing] = [self.memo[w] for w in late]
+        place = np.fromiter(map(self.memo.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(missing := np.flatnonzero(place < 0)):
+            new = [distinct[k] for k in missing.tolist()]
+            self.learn(new)
+            place[missing] = np.fromiter(map(self.memo.__getitem__, new), np.int64, len(new))
+        which = place[coded.indices.to_numpy()]
         begin, size = self.begins[which], self.begins[which + 1] - self.begins[which]
         ends = np.cumsum(size)
         counts = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))])
@@ -282,6 +301,19 @@ class WordIds:
         return ids, counts + 1
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes: the larger, the fewer distinct words are looked up again."""
+    held, size = [], 0
+    for batch in slices(batches, most):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 _ENCODERS: dict[str, WordIds] = {}
 
 SHARDS = "part int, shard int, doc_ids array<long>, before long, n_ids long, grammar binary"
@@ -303,9 +335,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vo
             grammar = pack_shard(np.concatenate(ids), vocabulary, np.array([len(x) for x in ids]))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([held], pa.list_(pa.int64())), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([grammar], pa.binary())], names=["part", "shard", "doc_ids", "before", "n_ids", "grammar"])
 
-        for batch in slices(batches):
-            flat, sizes = encoder.encode(batch["text"].to_pylist(), end_id)
-            for doc, got in zip(batch["doc_id"].to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+        for some in gathered(batches, TOGETHER):
+            flat, sizes = encoder.encode(some["text"], end_id)
+            for doc, got in zip(some["doc_id"].to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                 if held and n + len(got) > shard_ids:
                     yield row()
                     shard, before, held, ids, n = shard + 1, before + n, [], [], 0
