@@ -67,3 +67,32 @@ def page(made: dict[str, DataFrame], title: str, most: int = 20) -> str:
         body = "".join("<tr>" + "".join(cell("td", x) for x in r) + "</tr>" for r in rows(df, most))
         parts.append(f"<h2>{html.escape(name.replace('_', ' ').capitalize())}</h2><table><tr>{head}</tr>{body}</table>")
     return "".join(parts) + "</body></html>"
+
+
+def workbook(made: dict[str, DataFrame], most: int = 1000) -> bytes:
+    """An XLSX file with a sheet a table: names of 31 characters at most, all cells as text, the first `most` rows."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    names: list[str] = []
+    for name in made:
+        short, k = name[:31], 2
+        while short in names:
+            short, k = f"{name[: 30 - len(str(k))]}_{k}", k + 1
+        names.append(short)
+    cell = lambda x: "<c t='inlineStr'><is><t xml:space='preserve'>" + escape("".join(c for c in ("" if x is None else str(x)) if c >= " " or c in "\n\t")) + "</t></is></c>"
+    main, package = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/package/2006"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        sheets = range(1, len(names) + 1)
+        z.writestr("[Content_Types].xml", f"<Types xmlns='{package}/content-types'><Default Extension='rels' ContentType='application/vnd.openxmlformats-package.relationships+xml'/><Override PartName='/xl/workbook.xml' ContentType='{kind}.sheet.main+xml'/>" + "".join(f"<Override PartName='/xl/worksheets/sheet{k}.xml' ContentType='{kind}.worksheet+xml'/>" for k in sheets) + "</Types>")
+        z.writestr("_rels/.rels", f"<Relationships xmlns='{package}/relationships'><Relationship Id='r1' Type='{office}/officeDocument' Target='xl/workbook.xml'/></Relationships>")
+        z.writestr("xl/workbook.xml", f"<workbook xmlns='{main}' xmlns:r='{office}'><sheets>" + "".join(f"<sheet name='{escape(n)}' sheetId='{k}' r:id='r{k}'/>" for k, n in zip(sheets, names)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships xmlns='{package}/relationships'>" + "".join(f"<Relationship Id='r{k}' Type='{office}/worksheet' Target='worksheets/sheet{k}.xml'/>" for k in sheets) + "</Relationships>")
+        for k, df in zip(sheets, made.values()):
+            lines = [df.columns, *rows(store.flat_cells(df), most)]
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet xmlns='{main}'><sheetData>" + "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in lines) + "</sheetData></worksheet>")
+    return out.getvalue()
