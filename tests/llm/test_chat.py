@@ -47,3 +47,11 @@ def test_reply_trees(spark):
     df = spark.createDataFrame(nodes, "tree string, node long, parent long, role string, text string, score double")
     got = {(r.tree, r.leaf): ([x.node for x in r.path], r.branch, r.score) for r in chat.ranked(chat.paths(df)).collect()}
     assert got == {("t", 2): ([1, 2], 1, 3.0), ("t", 4): ([1, 3, 4], 2, 0.0), ("t", 5): ([5], 3, 0.0), ("w", 1): ([1], 1, None)}
+
+
+def test_deep_chains_and_null_trees(spark):
+    nodes = [(None, k, k - 1 if k else None, "user", f"x{k}", float(k)) for k in range(130)] + [("", 0, None, "user", "other tree", 0.0), (None, None, 0, "user", "no id", 0.0)]
+    df = spark.createDataFrame(nodes, "tree string, node long, parent long, role string, text string, score double")
+    got = {(r.tree, r.leaf): [x.node for x in r.path] for r in chat.paths(df).collect()}
+    assert got == {(None, 129): list(range(130)), ("", 0): [0]}
+    assert chat.paths(df.limit(0)).count() == 0
