@@ -35,9 +35,9 @@ MIN_PAIRS = 16
 #: Pairs are counted in 2 ** SLOT_BITS slots of a multiplicative hash.
 SLOT_BITS, FACTOR = 18, np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 6 << 20
 #: Words whose ids a worker keeps at once; then it forgets them all.
-MEMO = 1_000_000
+MEMO = 400_000
 
 
 def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
