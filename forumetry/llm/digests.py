@@ -1,7 +1,5 @@
 """Digest columns of the queries, and Arrow lists from flat arrays."""
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -13,18 +11,6 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values))
 
 
-def ids_crc32(ids: str) -> Column:
-    """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf("long")
-    def crc(column: pa.Array) -> pa.Array:
-        flat = memoryview(np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), "<u4")).cast("B")
-        ends = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy()))) * 4
-        return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
-
-    return crc(ids)
-
-
 def ids_sha256(ids: str) -> Column:
     """Hex digest of the decimal ids joined by commas."""
     return F.sha2(F.coalesce(F.array_join(ids, ","), F.lit("")).cast("binary"), 256)

@@ -361,27 +361,32 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return shards.join(starts, "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part_start")
 
 
-def documents_of(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of every stored document, decoded from the grammars."""
+def documents_of(shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every stored document, decoded from the grammars; the checksum is of the ids as little-endian
+    unsigned 32-bit integers. Without with_ids, the ids themselves don't leave the workers."""
     from forumetry.llm.digests import list_array
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             shard = Shard(batch["grammar"][0].as_py())
-            ids = shard.decode().astype(np.int32)
+            ids = shard.decode().astype("<u4")
             ends = np.cumsum(shard.lengths)
-            yield pa.RecordBatch.from_arrays([batch["doc_ids"][0].values, pa.array(batch["start"][0].as_py() + ends - shard.lengths), list_array(ids, shard.lengths)], names=["doc_id", "start", "ids"])
+            flat = memoryview(ids).cast("B")
+            sums = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip((ends - shard.lengths).tolist(), ends.tolist(), strict=True)]
+            columns = {"doc_id": batch["doc_ids"][0].values, "start": pa.array(batch["start"][0].as_py() + ends - shard.lengths), "n_tokens": pa.array(shard.lengths), "ids_crc32": pa.array(sums, pa.int64())}
+            if with_ids:
+                columns["ids"] = list_array(ids.astype(np.int32), shard.lengths)
+            yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
-    return shards.select("start", "doc_ids", "grammar").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return shards.select("start", "doc_ids", "grammar").mapInArrow(run, kind)
 
 
 def op1_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from forumetry.llm.common import scratch
-    from forumetry.llm.digests import ids_crc32
 
     path = scratch(spark, "token-shards")
     write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    out = documents_of(read_shards(spark, path))
-    return out.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+    return documents_of(read_shards(spark, path), with_ids=False)
