@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumetry.llm.common import add_columns, join_counted, keyed, of_keys, saved, slices, table
@@ -37,6 +37,11 @@ BLOCK = 1024
 ROW_COST, CANDIDATE_COST = 1.0, 0.01
 #: Hashes whose bits are unpacked at once, and candidates that are verified at once.
 AT_ONCE = 1 << 17
+#: The pipeline's stage: words of a shingle and Jaccard similarity of linked documents, in hundredths.
+SET_WORDS, SIMILAR = 5, 80
+#: MinHash bands and permutations in each: a pair of similarity 0.8 is missed by all bands with a probability of 5e-5.
+BANDS, BAND = 25, 5
+FLIPS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
@@ -310,9 +315,103 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def set_bands(hashes: np.ndarray) -> np.ndarray:
+    """A value a band: least permuted hashes of BAND permutations each, mixed. Sets of similarity s share one with 1 - (1 - s ** BAND) ** BANDS."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        some = hashes[at : at + 4096]
+        for k in range(len(least)):
+            least[k] = min(least[k], ((some ^ FLIPS[k]) * FACTORS[k]).min())
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least.reshape(BANDS, BAND)], np.uint64).view(np.int64)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, SET_WORDS), np.uint64))
+
+
+def with_sets(docs: DataFrame) -> DataFrame:
+    """docs with `node`, a hash of the set of five-word shingles, `size`, how many there are, and `bands`."""
+
+    def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        sets = [shingle_set(x or "") for x in batch["text"].to_pylist()]
+        node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        bands = pa.array([set_bands(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
+        return {"node": pa.array(node), "size": pa.array([len(x) for x in sets], pa.int64()), "bands": bands}
+
+    return add_columns(docs, make, {"node": "long", "size": "long", "bands": "array<long>"})
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """docs with `shingles`, the set itself."""
+    return add_columns(docs, lambda batch: {"shingles": pa.array([shingle_set(x or "").view(np.int64) for x in batch["text"].to_pylist()], pa.list_(pa.int64()))}, {"shingles": "array<long>"})
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b), which should be saved, of similarity SIMILAR or more, counted on the shingles of texts (node, text)."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").count()
+    sets = saved(shingle_sets(texts.join(ends, "node")).drop("text"), "candidate-sets")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"), "count")
+    met = join_counted(pairs, side("a"), ["a"], "count").drop("count")
+    met = join_counted(met, side("b"), ["b"], "count")
+    both, sizes = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    return met.where(both * 100 >= (sizes - both) * SIMILAR).select("a", "b")
+
+
+def close_in_size(a: Column, b: Column) -> Column:
+    """Sets of that similarity cannot differ more in size."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILAR
+
+
+def set_components(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the sets (node, size, bands) that have similar ones; root is the least node of the component.
+
+    First every member of a band's group meets the group's least node only; then members of different components meet, each pair once. So a
+    large group of near copies costs its members, not its pairs.
+    """
+    rows = sets.select("node", "size", F.posexplode("bands").alias("band", "value"))
+    by = ["band", "value"]
+    groups = rows.groupBy(by).agg(F.min(F.struct("node", "size")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    met = saved(join_counted(rows, saved(groups, "band-groups"), by, "n"), "band-members")
+    stars = met.where((F.col("node") != F.col("least.node")) & close_in_size(F.col("size"), F.col("least.size")))
+    stars = saved(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), "first-candidates")
+    links = saved(similar(stars, texts), "first-links")
+    roots = saved(components(links), "first-components")
+    placed = saved(met.select("node", "size", *by).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-members")
+    open_ = placed.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*by)
+    placed = saved(placed.join(open_, by, "left_semi"), "open-members")
+    parts = saved(placed.select(*by, "root").distinct(), "open-parts")
+    part_pairs = parts.withColumnRenamed("root", "root_a").join(parts.withColumnRenamed("root", "root_b"), by).where("root_a < root_b")
+    side = lambda name: placed.select(*by, F.col("root").alias(f"root_{name}"), F.col("node").alias(name), F.col("size").alias(f"size_{name}"))
+    more = part_pairs.join(side("a"), [*by, "root_a"]).join(side("b"), [*by, "root_b"]).where(close_in_size(F.col("size_a"), F.col("size_b")))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    return components(links.unionByName(similar(saved(more, "more-candidates"), texts)))
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, first) of every row: whether it has the least doc_id of its component and, of those that have it, the least text hash."""
+    texts = keyed(docs)
+    own = saved(with_sets(texts).drop("text"), "shingle-sets")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
+    sets = saved(own.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), least, F.count("*").alias("n")), "distinct-sets")
+    # the text of a set is that of its least row; equal rows have equal texts
+    of_set = sets.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.key").alias("key"))
+    of_set = texts.join(of_set, texts["doc_id"].eqNullSafe(of_set["doc_id"]) & (texts["key"] == of_set["key"])).select("node", "text").dropDuplicates(["node"])
+    found = saved(set_components(sets.drop("least", "n"), of_set), "set-components")
+    rooted = sets.select("node", "least", "n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = saved(rooted, "rooted-sets")
+    whole = saved(rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("sets")), "whole-components")
+    of = join_counted(rooted.select("node", "root", "n"), whole, ["root"], "sets").select("node", "n", "least")
+    met = join_counted(own.select("doc_id", "key", "node"), saved(of, "set-documents"), ["node"], "n")
+    return met.select("doc_id", "key", (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))).alias("first"))
+
+
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies, that of the least doc_id; of repeated rows, one."""
-    found = saved(near_duplicates(docs), "near-duplicates")
+    """Pipeline stage: one document of each group of near copies, that of the least doc_id; of repeated rows, one.
+
+    Near copies have a Jaccard similarity of 0.8 or more on five-word shingles, not operator 10's four words and four bits: such copies differ
+    in up to 14 bits and more, too many for a pigeonhole. MinHash bands propose pairs, all pairs are verified on the shingles.
+    """
+    found = saved(similar_documents(docs), "near-duplicates")
     gone = saved(found.where(~F.col("first")).select("doc_id", "key"), "later-copies")
     again = saved(found.where("first").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeated-rows")
     kept = of_keys(docs, gone, "left_anti")

@@ -105,3 +105,35 @@ def test_stage_keeps_one_of_each_group(spark, sf):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 9]
     assert simhash.keep_first(spark, docs.limit(0), sf).count() == 0
+
+
+def test_stage_joins_similar_shingle_sets(spark, sf):
+    """Copies of Jaccard similarity 0.8 or more on five words are found, however many bits they differ in; others stay."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(base)
+        for changes in (1, 2, 4, 7):
+            copy = list(base)
+            for at in rng.sample(range(200), changes):
+                copy[at] = f"n{rng.randrange(5000)}"
+            texts.append(copy)
+    hot = [f"h{k}" for k in range(300)]
+    texts += [[*hot[:k], f"n{k}", *hot[k + 1 :]] for k in range(60)]
+    texts = [" ".join(x) for x in texts]
+    sets = [{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    far = [k for k in range(len(texts)) if find(k) != k and (fingerprint(texts[k]) ^ fingerprint(texts[find(k)])).bit_count() > 4]
+    assert far and any(find(k) == k and k % 5 for k in range(60))
+    kept = simhash.keep_first(spark, documents(spark, texts), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(k) for k in range(len(texts))})
