@@ -30,8 +30,8 @@ from forumetry.llm.common import bounded, keyed, slices, table
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIQI")
 #: Ids in a shard at most, unless one document has more.
-SHARD_IDS = 1 << 19
-MIN_PAIRS = 16
+SHARD_IDS = 1 << 20
+MIN_PAIRS = 4
 #: Pairs are counted in 2 ** SLOT_BITS slots of a multiplicative hash.
 SLOT_BITS, FACTOR = 18, np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are encoded together.

@@ -87,3 +87,13 @@ def test_bpe_columns_keep_other_columns(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "decoded"]
     assert all((r.text or "").encode() == r.decoded for r in out.collect())
     assert out.limit(0).count() == 0
+
+
+def test_op1_names_pairs_that_occur_four_times():
+    import numpy as np
+
+    from forumetry.llm import repair
+
+    ids = np.arange(40_000, dtype=np.int64) % 10_000
+    rules, symbols = repair.build_grammar(ids, 49_408)
+    assert len(rules) and len(symbols) < len(ids) // 2
