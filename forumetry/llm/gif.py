@@ -301,16 +301,20 @@ STORED = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "lo
 
 
 def stored_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with digests of the samples read back from a GIF, and as feature the frames, the time shown and the share of each bin of colours."""
-    bins = (PALETTE.astype(np.int64) >> 8 - BIN_BITS) @ np.array([1 << 2 * BIN_BITS, 1 << BIN_BITS, 1])
+    """df with digests of the samples read back from a GIF, and as feature the frames, the time shown and, of every frame, `at_ms:histogram`, the
+    colours of its canvas as the file's palette, transparency and disposal make it (bins that are not empty, as bin=pixels)."""
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         rows = []
         for data in batch[media].to_pylist():
-            shown = list(read_frames(data, compose=False))
-            payload = b"".join(f.samples.tobytes() for f in shown)
-            counts = np.bincount(bins, np.bincount(np.frombuffer(payload, np.uint8), minlength=256), 1 << 3 * BIN_BITS).astype(np.int64)
-            feature = f"{len(shown)} {sum(f.delay_ms for f in shown)} " + ",".join(map(str, counts.tolist()))
+            payload, timed, shown = [], [], 0
+            for f in read_frames(data):
+                counts = f.histogram()
+                payload.append(f.samples.tobytes())
+                timed.append(f"{f.at_ms}:" + ",".join(f"{k}={counts[k]}" for k in np.flatnonzero(counts).tolist()))
+                shown += f.delay_ms
+            payload = b"".join(payload)
+            feature = f"{len(timed)} {shown} " + ";".join(timed)
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
         return {k: pa.array(v, pa.int64() if kind == "long" else pa.string()) for (k, kind), v in zip(STORED.items(), zip(*rows, strict=True) if rows else [[]] * len(STORED), strict=True)}
 

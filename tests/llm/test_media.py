@@ -90,6 +90,13 @@ def test_op4(spark, sf, tmp_path):
     assert gif.op4_gif_media(spark, store(documents(spark).limit(0), tmp_path / "none")).count() == 0
 
 
+def test_op4_feature_is_of_the_canvas(spark):
+    full = [0] * 16
+    data = image([(0, 0, 4, 4, full, 5, 1, None, False, None), (1, 1, 2, 2, [1, 3, 3, 1], 7, 3, 3, False, None), (2, 0, 2, 4, [0, 0, 1, 1, 2, 2, 3, 3], 1, 0, None, True, ((1, 1, 1), (2, 2, 2), (3, 3, 3), (200, 200, 200)))])
+    row = gif.stored_features(spark.createDataFrame([(1, data)], "id long, media binary")).first()
+    assert row.feature == "3 130 0:48=16;50:12=2,48=14;120:0=6,48=8,63=2"
+
+
 def test_long_text_has_many_frames():
     data = bytes(range(256)) * 1000
     shown = list(gif.read_frames(gif.write_gif(data), compose=False))
