@@ -93,16 +93,28 @@ def comment_depths(edges: DataFrame) -> DataFrame:
     return depth.select("comment_id", F.when(F.col("up").isNull(), F.col("d")).cast("long").alias("tree_depth"))
 
 
+#: Items of a piece that nesting folds at once.
+FOLD = 128
+
+
 def nesting(items: DataFrame, x: str = "xs", slack: int = 5) -> DataFrame:
     """items (array of left offsets, in order) with `depths`: each one's parent is the last one before that lies over `slack` further left and
-    is still open; a later item closes all open ones that don't lie so far left of it. A fold over the array, in the JVM."""
-    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("depths"))
+    is still open; a later item closes all open ones that don't lie so far left of it. A fold over the array, in the JVM, by pieces of FOLD items, since an
+    array that a fold appends to is copied at each step."""
+    none = F.array().cast("array<int>")
 
     def step(state: Column, at: Column) -> Column:
         open_ = F.filter(state["open"], lambda o: o + slack < at)
         return F.struct(F.concat(open_, F.array(at)).alias("open"), F.concat(state["depths"], F.array(F.size(open_))).alias("depths"))
 
-    return items.withColumn("depths", F.aggregate(F.col(x).cast("array<int>"), start, step, lambda s: s["depths"]))
+    def piece(state: Column, at: Column) -> Column:
+        some = F.slice(F.col(x).cast("array<int>"), at * FOLD + 1, F.lit(FOLD))
+        done = F.aggregate(some, F.struct(state["open"].alias("open"), none.alias("depths")), step)
+        return F.struct(done["open"].alias("open"), F.concat(state["depths"], F.array(done["depths"])).alias("depths"))
+
+    start = F.struct(none.alias("open"), F.array().cast("array<array<int>>").alias("depths"))
+    pieces = F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / FOLD).cast("int"))
+    return items.withColumn("depths", F.aggregate(pieces, start, piece, lambda s: F.flatten(s["depths"])))
 
 
 def header_groups(lines: DataFrame, key: str, pos: str, text: str, is_header: Column) -> DataFrame:

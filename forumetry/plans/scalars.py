@@ -66,7 +66,7 @@ _add(
     """SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS "group" FROM (
          SELECT *, lag(line) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT *, concat(event_type, event_id % 2) AS line FROM events)) WHERE before IS DISTINCT FROM line""",
 )
-QUERIES["nesting_depth"] = lambda spark, sf: normalize.nesting(_documents(spark, sf).select("doc_id", F.transform(F.slice(F.split("text", " "), 1, 40), lambda w: F.length(w) * 3).alias("xs"))).select("doc_id", F.array_join("depths", ",").alias("depths"))
+QUERIES["nesting_depth"] = lambda spark, sf: normalize.nesting(_documents(spark, sf).select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w) * 3).alias("xs"))).select("doc_id", F.array_join("depths", ",").alias("depths"))
 
 
 def _fuzzy(spark, sf):

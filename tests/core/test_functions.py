@@ -96,6 +96,20 @@ def test_nesting(spark):
     assert [r.depths for r in normalize.nesting(df).collect()] == [[0, 0, 0, 1, 2, 0], [0, 1, 0], []]
 
 
+def test_nesting_depth_covers_whole_texts(spark, tmp_path):
+    from forumetry.plans import scalars
+
+    texts = ["", "a", " ".join("x" * (i * i % 11) for i in range(20_000)), " ".join("x" * (i % 5) for i in range(129))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in scalars.QUERIES["nesting_depth"](spark, str(tmp_path)).collect():
+        open_, want = [], []
+        for at in (len(w) * 3 for w in texts[r.doc_id].split(" ")):
+            open_ = [o for o in open_ if o + 5 < at]
+            want.append(len(open_))
+            open_.append(at)
+        assert r.depths == ",".join(map(str, want))
+
+
 def test_limits(spark):
     df = spark.createDataFrame([(0, False), (35, True), (120, True), (50, False)], "n int, a boolean")
     assert [r[0] for r in df.select(threads.article_limit(F.col("n"), F.col("a"))).collect()] == [220, 320, 420, 240]
