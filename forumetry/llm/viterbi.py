@@ -9,6 +9,9 @@ neighbouring unknown one.
 No piece has a blank mark after another character (checked when the vocabulary is read), so blanks cut the text into parts whose best paths add
 up. Every distinct part is solved once and remembered. Whole-number scores add up exactly, in any order.
 
+The query has no unigram model and takes the pieces and scores of a BPE model, so its counts are not those of that model's own tokenizer; the README
+gives the difference.
+
 Cases: null and empty texts have no pieces, score 0; blanks only are pieces like others; every input column stays, but one named like a result
 is replaced.
 """
