@@ -6,17 +6,19 @@ times. Where chosen pairs overlap, the more frequent one wins, and in a run of o
 `decode_range` finds any position by binary search and expands only the symbols that cover it.
 
 Cases: a null or empty text gives the end id alone; rows are ordered by (doc_id, hash of text), nulls first; repeated rows are stored once
-each, so each has its own start; an empty table gives no shards. Columns other than doc_id and text are not read.
+each, so each has its own start, and as they are alike their order doesn't matter; an empty table gives no shards; a text of more ids than a
+shard's has a shard of its own. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,11 @@ SHARD_IDS = 1 << 20
 MIN_PAIRS = 4
 #: Pairs are counted in 2 ** SLOT_BITS slots of a multiplicative hash.
 SLOT_BITS, FACTOR = 18, np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that a task encodes, about.
+TASK_BYTES = 24 << 20
 #: Bytes of text that are encoded together.
 TOGETHER = 6 << 20
-#: Words whose ids a worker keeps at once; then it forgets them all.
+#: Stems and other words whose ids a worker keeps at once; then it forgets them all.
 MEMO = 400_000
 
 
@@ -52,8 +56,19 @@ def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     chosen, counts = ordered[first[counts >= least]], counts[counts >= least]
     if not len(chosen):
         return chosen, counts, places[:0], places[:0]
-    at = np.minimum(np.searchsorted(chosen, some), len(chosen) - 1)
-    hit = chosen[at] == some
+    # a pair's index is looked up by its slot; of pairs in one slot the last is found there, and the others by binary search
+    slot, own = slot[places], (chosen * FACTOR >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+    holder = np.full(1 << SLOT_BITS, -1, np.int64)
+    holder[own] = np.arange(len(chosen))
+    at = holder[slot]
+    hit = (at >= 0) & (chosen[at] == some)
+    others = np.flatnonzero(holder[own] != np.arange(len(chosen)))
+    if len(others):
+        crowded = np.zeros(1 << SLOT_BITS, bool)
+        crowded[own[others]] = True
+        again = np.flatnonzero(crowded[slot] & ~hit)
+        found = others[np.minimum(np.searchsorted(chosen[others], some[again]), len(others) - 1)]
+        at[again], hit[again] = found, chosen[found] == some[again]
     return chosen, counts, places[hit], at[hit]
 
 
@@ -212,92 +227,121 @@ class Shard:
         return self.expand(self.seq[a : b + 1])[start - before : stop - before]
 
 
+#: The tokenizer file's steps that `WordIds` can take apart. With others, whole texts are encoded.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True,
+}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: A word of letters that normalise to their lower case alone, and ASCII marks behind them that no contraction begins with.
+STEM, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", r"[!-&(-/:-@\[-`{-~]*"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if it can be seen in Latin-1, else the next from 256 on. A blank stays."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in seen)
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)} | {32: " "}
+
+
+def ranges(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[begin : begin + size] of every pair, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that encodes each run between ASCII blanks on its own; every distinct run is encoded once and remembered.
+    """Ids of texts by a tokenizer that encodes each run between blanks on its own, letters and the marks behind them apart.
 
-    Many new runs of letters, in lower case and without the comma or full stop behind them, are encoded in one string: there each ends in an id
-    of a piece with the word-end suffix, by which the ids are told apart again. Other runs are encoded one by one.
+    Of every batch the distinct words are taken, of these the distinct stems in lower case, and of these only the ones that the worker hasn't met
+    are given to the tokenizer's model; what doesn't consist of a stem and marks goes through the whole tokenizer. A tokenizer with other steps
+    than NORMALIZER, SPLIT and BYTES encodes whole texts.
     """
 
-    PLAIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+[.,]?").fullmatch
-    WORD_END, TOGETHER, MARKS = "</w>", 500, (",", ".")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
-        self.ends[[k for piece, k in self.tokenizer.get_vocab(with_added_tokens=True).items() if piece.endswith(self.WORD_END)]] = 1
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in self.MARKS}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        self.by_words = (
+            spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and not spec["post_processor"]
+            and not spec["truncation"] and not spec["padding"] and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges"))
+            and not any(re.search(rf"\s|^{STEM}{MARKS}$", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        )
+        self.letters = byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.flat, self.begins, self.known = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), 0
-
-    def learn(self, words: list[str]) -> None:
-        """Remembers the ids of new words."""
-        plain, other = [], []
-        for w in words:
-            (plain if self.PLAIN(w) else other).append(w)
-        stem_of = [w.rstrip(".,").lower() for w in plain]
-        stems = {x: k for k, x in enumerate(dict.fromkeys(stem_of))}
-        groups = list(stems)
-        groups = [groups[k : k + self.TOGETHER] for k in range(0, len(groups), self.TOGETHER)]
-        parts, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            parts.append(np.array(e.ids, "<u4"))
-            lengths.append(np.diff(np.flatnonzero(self.ends[parts[-1]]), prepend=-1))
-            if len(lengths[-1]) != len(group):
-                raise ValueError("the tokenizer doesn't close every word")
-        flat, length = np.concatenate(parts), np.concatenate(lengths)
-        stem = np.fromiter(map(stems.__getitem__, stem_of), np.int64, len(plain))
-        mark = np.fromiter((self.marks.get(w[-1], -1) for w in plain), np.int64, len(plain))
-        of_plain = length[stem] + (mark >= 0)
-        made = np.empty(int(of_plain.sum()), "<u4")
-        closing = np.zeros(len(made), bool)
-        closing[np.cumsum(of_plain)[mark >= 0] - 1] = True
-        made[closing] = mark[mark >= 0]
-        n = length[stem]
-        made[~closing] = flat[np.repeat((np.cumsum(length) - length)[stem] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        parts = [made, np.array([k for x in lists for k in x], "<u4")]
-        sizes = np.concatenate((of_plain, np.array(list(map(len, lists)), np.int64)))
-        self.memo.update(zip((*plain, *other), range(len(self.memo), len(self.memo) + len(words)), strict=True))
-        total, n = self.known + int(sizes.sum()), len(self.memo)
-        if total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(max(total, 2 * len(self.flat)) - len(self.flat), "<u4")))
-        if n + 1 > len(self.begins):
-            self.begins = np.concatenate((self.begins, np.zeros(max(n + 1, 2 * len(self.begins)) - len(self.begins), np.int64)))
-        self.flat[self.known : total] = np.concatenate(parts)
-        self.begins[n - len(words) + 1 : n + 1] = self.known + np.cumsum(sizes)
-        self.known = total
+        self.memo: list[pa.Array] = []
+        self.flat, self.begins, self.known = np.zeros(1 << 16, "<u4"), np.zeros(1, np.int64), 0
+
+    def ids(self, words: pa.Array, stems: bool) -> list[list[int]]:
+        """Ids of words, which are all stems in lower case or all not."""
+        listed = words.to_pylist()
+        if not stems or not listed:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)]
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in " ".join(listed).encode().decode("latin-1").translate(self.letters).split(" ")]
+
+    def places(self, words: pa.Array, stems: bool) -> np.ndarray:
+        """Places of words among those remembered; new ones are encoded."""
+        if not self.memo:
+            place = np.full(len(words), -1)
+        else:
+            place = pc.index_in(words, value_set=pa.chunked_array(self.memo)).fill_null(-1).to_numpy().astype(np.int64)
+        missing = place < 0
+        if missing.any():
+            coded = words.filter(pa.array(missing)).dictionary_encode()
+            new = coded.dictionary
+            lists = self.ids(new, stems)
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            place[missing] = len(self.begins) - 1 + coded.indices.to_numpy()
+            total = self.known + int(sizes.sum())
+            if total > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros(max(total, 2 * len(self.flat)) - len(self.flat), "<u4")))
+            self.flat[self.known : total] = np.fromiter(chain.from_iterable(lists), np.int64, total - self.known)
+            self.begins = np.concatenate((self.begins, self.known + np.cumsum(sizes)))
+            self.memo.append(new)
+            self.known = total
+        return place
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and how many ids each has."""
         texts = texts.fill_null("")
+        if not self.by_words:
+            lists = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter(chain.from_iterable(lists), "<u4", int(sizes.sum())), sizes
+        if len(self.begins) > MEMO:
+            self.forget()
         for blank in "\n\t\r":
             texts = pc.replace_substring(texts, blank, " ")
         words = pc.split_pattern(texts, " ")
         n, coded = words.value_lengths().to_numpy().astype(np.int64), words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.memo) > MEMO:
-            self.forget()
-        place = np.fromiter(map(self.memo.get, distinct, repeat(-1)), np.int64, len(distinct))
-        if len(missing := np.flatnonzero(place < 0)):
-            new = [distinct[k] for k in missing.tolist()]
-            self.learn(new)
-            place[missing] = np.fromiter(map(self.memo.__getitem__, new), np.int64, len(new))
-        which = place[coded.indices.to_numpy()]
-        begin, size = self.begins[which], self.begins[which + 1] - self.begins[which]
-        ends = np.cumsum(size)
-        counts = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))])
+        distinct = coded.dictionary
+        parts = pc.extract_regex(distinct, f"^(?P<stem>{STEM})(?P<marks>{MARKS})$")
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        some = parts.filter(pa.array(plain))
+        marks = some.field("marks").dictionary_encode()
+        first, second = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        first[~plain] = self.places(distinct.filter(pa.array(~plain)), False)
+        second[plain] = self.places(marks.dictionary, False)[marks.indices.to_numpy()]
+        second[~plain] = self.places(pa.array([""]), False)[0]
+        first[plain] = self.places(pc.utf8_lower(some.field("stem")), True)
+        both = np.stack((first, second), axis=1).ravel()
+        size = self.begins[both + 1] - self.begins[both]
+        flat, size = ranges(self.flat, self.begins[both], size), size.reshape(-1, 2).sum(axis=1)
+        begin, which = np.cumsum(size) - size, coded.indices.to_numpy()
+        size = size[which]
+        counts = np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))])
         ids = np.empty(int(counts.sum()) + len(texts), "<u4")
         inside = np.ones(len(ids), bool)
         inside[np.cumsum(counts + 1) - 1] = False
         ids[~inside] = end_id
-        ids[inside] = self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))]
+        ids[inside] = ranges(flat, begin[which], size)
         return ids, counts + 1
 
 
@@ -333,7 +377,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vo
 
         def row() -> pa.RecordBatch:
             grammar = pack_shard(np.concatenate(ids), vocabulary, np.array([len(x) for x in ids]))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([held], pa.list_(pa.int64())), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([grammar], pa.binary())], names=["part", "shard", "doc_ids", "before", "n_ids", "grammar"])
+            values = ((part, pa.int32()), (shard, pa.int32()), (held, pa.list_(pa.int64())), (before, pa.int64()), (n, pa.int64()), (grammar, pa.binary()))
+            names = ["part", "shard", "doc_ids", "before", "n_ids", "grammar"]
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in values], names=names)
 
         for some in gathered(batches, TOGETHER):
             flat, sizes = encoder.encode(some["text"], end_id)
@@ -347,8 +393,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vo
         if held:
             yield row()
 
-    bounded(docs.sparkSession)
-    (keyed(docs).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text").mapInArrow(run, SHARDS).write.parquet(path))
+    spark = docs.sparkSession
+    bounded(spark)
+    # tasks by the bytes of all texts, so that none grows with the corpus; copies of a row are dealt out by where they are read
+    bytes_ = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-bytes_ // TASK_BYTES))
+    rows = keyed(docs).withColumn("copy", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(tasks, "doc_id", "key", "copy").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
+    ordered.mapInArrow(run, SHARDS).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

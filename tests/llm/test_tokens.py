@@ -29,6 +29,52 @@ def test_grammar_compresses_and_replaces_every_frequent_pair():
     assert not rules.size or rules.max() < 100 + len(rules)
 
 
+def plain_repair(ids, least):
+    """Symbols and rules of Re-Pair one pair at a time: the most frequent pair, without overlaps, is replaced from the left."""
+    seq, rules = list(map(int, ids)), 0
+    while True:
+        counts, last = {}, {}
+        for k, pair in enumerate(zip(seq, seq[1:])):
+            if last.get(pair) != k - 1 or pair[0] != pair[1]:
+                counts[pair], last[pair] = counts.get(pair, 0) + 1, k
+        best = max(counts, key=lambda p: (counts[p], p), default=None)
+        if best is None or counts[best] < least:
+            return len(seq), rules
+        out, k = [], 0
+        while k < len(seq):
+            both = k + 1 < len(seq) and (seq[k], seq[k + 1]) == best
+            out.append(10**6 + rules if both else seq[k])
+            k += 2 if both else 1
+        seq, rules = out, rules + 1
+
+
+def test_grammar_is_about_as_small_as_plain_repair():
+    random = np.random.default_rng(3)
+    words = [random.integers(0, 300, random.integers(2, 6)) for _ in range(60)]
+    ids = np.concatenate([words[int(k)] for k in random.zipf(1.3, 1500) % 60])
+    rules, seq = repair.build_grammar(ids, 1000, 4)
+    size, number = plain_repair(ids, 4)
+    assert len(seq) + 2 * len(rules) <= 1.1 * (size + 2 * number) < len(ids)
+
+
+def test_word_ids_equal_the_tokenizer(tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = tmp_path / "other.json"
+    other.write_text(open(path).read().replace('"Lowercase"', '"Strip","strip_left":true,"strip_right":true'))
+    random = np.random.default_rng(5)
+    letters = [*"abzABZäÄßÿñé09 \n\t.,!'<>|&*%$-_", "\u0130", "\u03a3", "e\u0301", "\u00a0", "\u2028", "\x0b", "'s", "<|endoftext|>", "\u4e00", "\U0001f600", "\ufb01", "\u0345"]
+    texts = ["".join(letters[k] for k in random.integers(0, len(letters), n)) for n in random.integers(0, 60, 3000)] + [*TEXTS, "word" * 100_000, "one two " * 200_000]
+    for file in (path, str(other)):
+        tokenizer, encoder = Tokenizer.from_file(file), repair.WordIds(file)
+        assert encoder.by_words == (file == path)
+        for some in (texts, texts[::-1]):  # the second time, words are remembered
+            flat, sizes = encoder.encode(repair.pa.array(some, repair.pa.string()), 1)
+            for text, got in zip(some, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+                assert got.tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], text
+
+
 def expected_op1(rows, tokenizer):
     start, out = 0, []
     for doc, text in rows:
@@ -54,6 +100,12 @@ def test_op1_null_ids_and_empty_table(spark, tmp_path):
     assert repair.op1_repair_token_ids(spark, store(df.limit(0), tmp_path / "none")).count() == 0
 
 
+def test_op1_copies_of_a_row_are_dealt_out(spark, tmp_path):
+    df = documents(spark, ["one and the same"] * 500 + ["two"], [7] * 500 + [8])
+    got = sorted(map(tuple, repair.op1_repair_token_ids(spark, store(df, tmp_path)).select("start", "doc_id", "n_tokens").collect()))
+    assert got == [*((5 * k, 7, 5) for k in range(500)), (2500, 8, 2)]
+
+
 @pytest.fixture(scope="module")
 def tik():
     import tiktoken
