@@ -7,7 +7,8 @@ digest: the first (least doc_id, then text hash, then position) stays. Later one
 hold at least `least_words` words together, so that words and short phrases that any text repeats stay.
 
 Cases: null and empty texts have no chunks; rows with equal doc_id and equal text are one document, and each of them keeps what the other keeps;
-a null doc_id comes first; an empty table gives no spans; other columns stay as they are.
+a null doc_id comes first; a text of any length is cut in one piece; an empty table gives no spans; other columns stay as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forumetry.llm.common import join_counted, keyed, map_batches, saved, table, text_key
+from forumetry.llm.common import fresh, join_counted, keyed, map_batches, saved, table, text_key
 
 MASK_BITS, LEAST, MOST = 5, 8, 1024
 #: Words that adjoining repeated chunks must hold to be removed. Of a repeated passage, the part before its first cut and that after its last aren't found.
@@ -108,7 +109,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, key, start, stop, words, first_doc_id) of every span of bytes to remove, in documents (doc_id, key, text)."""
-    chunks = chunk_rows(docs)
+    chunks = saved(chunk_rows(docs), "chunks")  # read three times below: for the counts, for hot digests and for the others
     digest = ["high", "low"]
     # counts first, over halves of digests alone: most chunks occur once, and only the rows of the others are carried on
     counts = saved(chunks.groupBy("high").agg(F.count("*").alias("n")).where("n > 1"), "repeated-digests")
@@ -119,8 +120,8 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     # documents with an equal key hold equal chunks: one of each is enough
     later = later.groupBy("doc_id", "key", "start", "stop").agg(F.first("words").alias("words"), F.min("first.doc_id").alias("first_doc_id"))
     by = Window.partitionBy("doc_id", "key").orderBy("start")
-    fresh = F.when(F.lag("stop").over(by) == F.col("start"), 0).otherwise(1)
-    runs = later.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    begins = F.when(F.lag("stop").over(by) == F.col("start"), 0).otherwise(1)
+    runs = later.withColumn("begins", begins).withColumn("run", F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min("first_doc_id").alias("first_doc_id"))
     return spans.where(F.col("words") >= least_words).drop("run")
 
@@ -143,18 +144,20 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs, with all their columns, with the texts that are left; documents of which nothing is left but blanks go, if they had text before."""
-    own = spans.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    own = own.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_spans")
-    joined = docs.withColumn("_own", text_key()).join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")), "left")
+    names = docs.columns
+    own, doc, key, found = (fresh(name, names) for name in ("_own", "_doc", "_key", "_found"))
+    of_doc = spans.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(found))
+    of_doc = of_doc.withColumnsRenamed({"doc_id": doc, "key": key})
+    joined = docs.withColumn(own, text_key()).join(of_doc, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x if s is None else without(x or "", [(y["start"], y["stop"]) for y in s]) for x, s in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist(), strict=True)]
-        gone = pa.array([s is not None and not x.strip() for x, s in zip(texts, batch["_spans"].to_pylist(), strict=True)])
+        of_row = batch[found].to_pylist()
+        texts = [x if s is None else without(x or "", [(y["start"], y["stop"]) for y in s]) for x, s in zip(batch["text"].to_pylist(), of_row, strict=True)]
+        gone = pa.array([s is not None and not x.strip() for x, s in zip(texts, of_row, strict=True)])
         columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names]
         return pa.RecordBatch.from_arrays(columns, names=names).filter(pc.invert(gone))
 
-    names = docs.columns
-    return map_batches(joined.select(*names, "_spans"), cut, docs.schema)
+    return map_batches(joined.select(*(docs[c] for c in names), found), cut, docs.schema)
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,5 +167,5 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without passages that an earlier one has."""
+    """Pipeline stage: the documents without passages that an earlier one has. Null and empty texts stay; of a text that is all repeats, nothing."""
     return removed(docs, repeated_spans(keyed(docs)))

@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path below spark.checkpoint.dir, which driver and executors share; only where that is unset (tests), a local one."""
+    """A new folder path below spark.checkpoint.dir, which driver and executors share. Where that is unset, a local session (tests) gets a
+    local folder; any other is refused, since its executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='forumetry-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +37,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with so many underscores before it that no column has it; Spark's names don't tell upper from lower case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def text_key(text: str = "text") -> Column:
     """Half of a row's key: rows with equal doc_id and equal text are one document."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -114,8 +125,7 @@ FEW_KEYS = 500_000
 
 def of_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """The rows of docs that have (left_semi) or don't have (left_anti) one of the document keys (doc_id, key), which should be saved."""
-    fresh = lambda name: name if name not in docs.columns else fresh(f"_{name}")
-    own, doc, key = fresh("_own"), fresh("_doc"), fresh("_key")
+    own, doc, key = (fresh(name, docs.columns) for name in ("_own", "_doc", "_key"))
     right = small(keys.select(F.col("doc_id").alias(doc), F.col("key").alias(key)), FEW_KEYS)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key))
     return docs.withColumn(own, text_key()).join(right, same, how).drop(own)

@@ -5,9 +5,13 @@ case. An item is contained in a document that has at least `share` of the item's
 least hashes, where q is its size and r the least number of shingles that must be shared. A document that contains the item lacks q - r of its
 shingles at most, so it has at least one of the sketch: nothing is lost, however long the document. Items are partitioned by size, by powers of
 two. A document meets only the partitions whose items may fit into its set, and only those of its hashes count that are no greater than the
-greatest sketch hash of these partitions. What meets is verified on the shingles themselves.
+greatest sketch hash of these partitions. What meets is verified on the shingles themselves. Sketches and item shingles are broadcast up to
+FEW_ROWS rows; beyond that they are joined by shuffles, in which a hash that a third of all documents have is one large partition of the document
+side alone. Adaptive execution splits that into many tasks, each of which gets the few item rows of the hash.
 
-Cases: null and empty texts have empty sets, which neither contain nor are contained; repeated rows of equal doc_id and text are one document, of
+Items of fewer than five words are only found as whole documents.
+
+Cases: texts of any length are read whole; null and empty texts have empty sets, which neither contain nor are contained; repeated rows of equal doc_id and text are one document, of
 equal item_id and text one item; null ids are ids like others; empty tables give no rows; columns other than ids and texts are not read.
 """
 
@@ -95,7 +99,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that contain no benchmark item."""
+    """Pipeline stage: the documents that contain no benchmark item, with all their columns. Null and empty texts and null ids stay, repeated rows
+    all stay or all go, and without items everything stays."""
     found = contained(keyed(docs), table(spark, sf_dir, "benchmark"))
     return of_keys(docs, saved(found.select("doc_id", "key").distinct(), "contaminated"), "left_anti")
 

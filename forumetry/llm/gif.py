@@ -4,8 +4,10 @@
 is not yet in the table, interlacing), composes every frame on the canvas by local or global palette, transparency and disposal, and yields
 when it is shown, for how long, and a colour histogram. `write_gif` makes GIFs of 8-bit samples, whose own indices any bytes can be.
 
-Cases: null and empty texts are one row of 64 zero samples; equal texts give equal bytes; a file cut short, or with a code out of range, raises
-ValueError in `read_frames`, and `frames` gives such a row one frame row with `error` set, and one of null bytes none at all.
+Cases: null and empty texts are one row of 64 zero samples; equal texts give equal bytes, and repeated rows stay as many; a long text is as many
+frames of 1024 rows as it needs; an empty table gives no rows; other columns stay, but one named like a result is replaced; a file cut short, or
+with a code out of range, raises ValueError in `read_frames`, and `frames` gives such a row one frame row with `error` set, and one of null bytes
+none at all.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumetry.llm.common import add_columns, keyed, slices, table
+from forumetry.llm.common import add_columns, keyed, saved, slices, table
 
 WIDTH = 64
 #: Rows of samples in a frame at most.
@@ -322,6 +324,7 @@ def stored_features(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text is written as a GIF to a table of files, and all but its id and size is computed from the bytes read back from there."""
     docs = keyed(table(spark, sf_dir, "documents")).select("doc_id", "text")
     stored = store_text(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "media")
-    return stored_features(stored).drop("media")
+    return stored_features(saved(stored, "media")).drop("media")

@@ -3,8 +3,9 @@
 Statistics are binned by quantiles; each tree grows level by level, by sums of gradients and hessians over the histogram bins of its nodes.
 All trees are then flattened into arrays of features, thresholds, children and leaf values, which numpy walks for all rows and trees at once.
 
-Cases: null and empty texts have statistics of zero and are scored like others; without labels, or with labels of one kind, the score is the
-smoothed share of ones; every input column stays, but one named like a result is replaced.
+Cases: null and empty texts have statistics of zero and are scored like others; equal texts score alike; a text of any length is read whole;
+without labels, or with labels of one kind, the score is the smoothed share of ones; an empty table gives no rows; every input column stays, but
+one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumetry.llm import labelled
-from forumetry.llm.common import add_columns, table
+from forumetry.llm.common import add_columns, fresh, table
 
 #: Labelled documents that the trees learn from at most.
 LABELS = 20_000
@@ -137,7 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", held=None, most: int = LABELS) -> Trees:
-    """Trees from a bounded sample: only its statistics, at most about `most` rows of them, come to the driver."""
+    """Trees from a bounded sample: only its statistics, at most `most` rows of them, come to the driver."""
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"statistics": pa.array([statistics(x) for x in batch["text"].to_pylist()], pa.list_(pa.float64()))}
@@ -150,14 +151,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", held=None,
     return fit(x[order], y[order])
 
 
-def score(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """docs with `score`."""
+def score(docs: DataFrame, trees: Trees, text: str = "text", out: str = "score") -> DataFrame:
+    """docs with their score in the column `out`."""
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         x = np.array([statistics(t or "") for t in batch[text].to_pylist()]).reshape(-1, len(STATISTICS))
-        return {"score": pa.array(trees.scores(x), pa.float64())}
+        return {out: pa.array(trees.scores(x), pa.float64())}
 
-    return add_columns(docs, make, {"score": "double"})
+    return add_columns(docs, make, {out: "double"})
 
 
 def held() -> Column:
@@ -172,8 +173,10 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the trees don't reject."""
+    """Pipeline stage: the documents that the trees don't reject, with all their columns as they are, whatever their names.
+
+    Null and empty texts are scored like others; repeated rows all stay or all go; an empty table stays empty.
+    """
     trees = learn(docs, table(spark, sf_dir, "labels"), "quality", held())
-    columns = docs.columns
-    scored = score(docs.withColumnsRenamed({"score": "_score"} if "score" in columns else {}), trees).where(F.col("score") >= KEEP)
-    return scored.select(*(F.col("_score").alias(c) if c == "score" else F.col(c) for c in columns))
+    own = fresh("_score", docs.columns)
+    return score(docs, trees, out=own).where(F.col(own) >= KEEP).drop(own)

@@ -5,8 +5,12 @@ over the labelled sample, and their weights learnt by accelerated proximal gradi
 labelled document with identity terms, swapped versions of it (each term replaced by the others of its group, one after the other) add the
 squared change of its margin to the loss, so that which group a text mentions does not move its score.
 
-Cases: null and empty texts score as texts without features; without labels, or with labels of one kind, the score is the smoothed share of
-ones; every input column stays, but one named like a result is replaced.
+The terms are IDENTITY, or other groups that are given, and `slot_groups`: words of the sample itself that stand between the same neighbours and
+so could take each other's place, most mentions of which are not in rows labelled 1. A corpus that names none of the listed groups has those.
+
+Cases: null and empty texts score as texts without features; equal texts score alike; a text of any length is read whole; without labels, or with
+labels of one kind, the score is the smoothed share of ones; an empty table gives no rows; every input column stays, but one named like a result
+is replaced.
 """
 
 from __future__ import annotations
@@ -38,6 +42,10 @@ IDENTITY = (
     ("immigrants", "refugees", "locals", "citizens"), ("femmes", "hommes"), ("chrétiens", "musulmans", "juifs"), ("frauen", "männer"), ("christen", "muslime", "juden"),
     ("mujeres", "hombres"), ("cristianos", "musulmanes", "judíos"),
 )
+#: Words of a slot: share of the sampled rows that must have them, how many at most (the most frequent), and in a group.
+SLOT_SHARE, SLOT_WORDS, SLOT_SIZE = 0.05, 200, 4
+#: Cosine that the counts of two words' neighbours must have for one slot.
+SLOT_COSINE = 0.9
 MEMO = 500_000
 words_of = re.compile(r"\w+").findall
 
@@ -65,6 +73,38 @@ def swaps(text: str, groups=IDENTITY) -> list[str]:
     return [pattern.sub(turn(by), lower) for by in range(1, max(len(g) for g, _ in present))]
 
 
+def slot_groups(rows: DataFrame, share: float = SLOT_SHARE, most: int = SLOT_WORDS, size: int = SLOT_SIZE, cosine: float = SLOT_COSINE) -> tuple[tuple[str, ...], ...]:
+    """Groups of up to `size` words that stand between the same neighbours in rows (label, text).
+
+    Counted on Spark; the driver gets at most `most` words and the counts of `most` squared pairs. A word counts if that share of the rows has it
+    and at most half of these rows are labelled 1: a word that is mostly found in them may be what the label means.
+    """
+    listed = rows.select("label", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
+    n = rows.count()
+    has = listed.select("label", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("k"), F.avg("label").alias("ones"))
+    few = has.where((F.length("word") > 1) & (F.col("k") >= max(3, share * n)) & (F.col("ones") <= 0.5)).orderBy(F.desc("k"), "word").limit(most)
+    words = [r.word for r in few.collect()]
+    if len(words) < 2:
+        return ()
+    known = F.broadcast(rows.sparkSession.createDataFrame([(w,) for w in words], "word string"))
+    pairs = listed.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p")).select("p.a", "p.b")
+    met = pairs.join(known.withColumnRenamed("word", "a"), "a", "left_semi").join(known.withColumnRenamed("word", "b"), "b", "left_semi").groupBy("a", "b").count()
+    place, counts = {w: k for k, w in enumerate(words)}, np.zeros((len(words), len(words)))
+    for r in met.collect():
+        counts[place[r.a], place[r.b]] = r["count"]
+    beside = np.concatenate((counts, counts.T), axis=1)
+    beside /= np.maximum(np.sqrt((beside**2).sum(axis=1, keepdims=True)), 1e-9)
+    like = beside @ beside.T
+    left, groups = list(range(len(words))), []
+    while left:
+        first = left.pop(0)
+        near = sorted((k for k in left if like[first, k] >= cosine), key=lambda k: (-like[first, k], k))[: size - 1]
+        if near:
+            groups.append(tuple(words[k] for k in (first, *near)))
+            left = [k for k in left if k not in near]
+    return tuple(groups)
+
+
 @dataclass
 class Linear:
     """Weights of chosen features; a document's margin is the sum over those it has."""
@@ -146,14 +186,23 @@ def fit(x: Rows, y: np.ndarray, gained: Rows, lost: Rows, n: int, swap_penalty:
     return w, bias
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: Column | None = None, most: int = LABELS, top: int = FEATURES, groups=IDENTITY, swap_penalty: float = 1.0) -> Linear:
-    """The classifier, from a bounded sample. Features are counted on Spark; the chosen ones of at most about `most` documents come to the driver."""
+def learn(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", held: Column | None = None, most: int = LABELS, top: int = FEATURES, groups=IDENTITY,
+    swap_penalty: float = 1.0, slots: bool = True,
+) -> Linear:
+    """The classifier, from a bounded sample. Features are counted on Spark; the chosen ones of at most `most` documents come to the driver.
+    Swapped terms are `groups` and, with `slots`, also the sample's own."""
 
     def lists(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts = batch["text"].to_pylist()
         return {"has": pa.array([sorted(features(t)) for t in texts], pa.list_(pa.int32())), "swapped": pa.array([[sorted(features(s)) for s in swaps(t, groups)] for t in texts], pa.list_(pa.list_(pa.int32())))}
 
     rows = labelled.sample(docs, labels, label, F.lit(False) if held is None else held, most)
+    if slots:
+        rows = saved(rows, "toxicity-sample")
+        listed = {term for group in groups for term in group}
+        found = (tuple(w for w in group if w not in listed) for group in slot_groups(rows))
+        groups = (*groups, *(group for group in found if len(group) > 1))
     rows = saved(add_columns(rows, lists, {"has": "array<int>", "swapped": "array<array<int>>"}).select("label", "has", "swapped"), "toxicity-features")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = rows.select("label", F.explode("has").alias("f")).groupBy("f").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("k")).where("k >= 3")
@@ -162,7 +211,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: Column
     a, k, p = F.col("a"), F.col("k"), ones / max(1, n)
     ratio = term(a, k * p) + term(k - a, k * (1 - p)) + term(ones - a, (n - k) * p) + term(n - k - (ones - a), (n - k) * (1 - p))
     few = counts.where(F.lit(0 < ones < n)).select("f", ratio.alias("r")).where(F.col("r") >= LEAST_RATIO).orderBy(F.desc("r"), "f").limit(top)
-    chosen = np.sort(few.toArrow()["f"].to_numpy().astype(np.int64)) if 0 < ones < n else np.zeros(0, np.int64)
+    # the features of swapped terms are learnt whatever their ratio, so that the penalty has their weights to even out
+    terms = [f for group in groups for term in group for f in word_features(term)]
+    chosen = np.union1d(few.toArrow()["f"].to_numpy(), np.array(terms)).astype(np.int64) if 0 < ones < n else np.zeros(0, np.int64)
 
     def pick(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         inside = lambda x: np.flatnonzero(np.isin(chosen, np.array(x or [], np.int64))).tolist()

@@ -12,8 +12,9 @@ up. Every distinct part is solved once and remembered. Whole-number scores add u
 The query has no unigram model and takes the pieces and scores of a BPE model, so its counts are not those of that model's own tokenizer; the README
 gives the difference.
 
-Cases: null and empty texts have no pieces, score 0; blanks only are pieces like others; every input column stays, but one named like a result
-is replaced.
+Cases: null and empty texts have no pieces, score 0; blanks only are pieces like others; equal texts have equal counts, and repeated rows stay as
+many; a text of any length is solved whole, part by part; an empty table gives no rows; every input column stays, but one named like a result is
+replaced.
 """
 
 from __future__ import annotations

@@ -55,3 +55,21 @@ def test_deep_chains_and_null_trees(spark):
     got = {(r.tree, r.leaf): [x.node for x in r.path] for r in chat.paths(df).collect()}
     assert got == {(None, 129): list(range(130)), ("", 0): [0]}
     assert chat.paths(df.limit(0)).count() == 0
+
+
+def test_best_branches_only(spark):
+    nodes = [("t", 1, None, "user", "root", 1.0), ("t", 2, 1, "assistant", "good", 5.0), ("t", 3, 1, "assistant", "bad", -1.0), ("t", 4, 3, "user", "more", None), (None, 1, None, "user", "a", None)]
+    nodes += [("many", k, 0 if k else None, "assistant" if k else "user", f"answer {k}", float(k % 97)) for k in range(400)]
+    df = spark.createDataFrame(nodes, "tree string, node long, parent long, role string, text string, score double").selectExpr("*", "1 AS leaf", "2 AS key", "3 AS path", "4 AS above")
+    for best in (1, 3):
+        want = {(r.tree, r.leaf): [tuple(x) for x in r.path] for r in chat.ranked(chat.paths(df)).where(f"branch <= {best}").collect()}
+        got = {(r.tree, r.leaf): [tuple(x) for x in r.path] for r in chat.paths(df, best).collect()}
+        assert got == want and {("many", 96), ("t", 2), (None, 1)} <= set(got)
+
+
+def test_long_conversations_are_formatted_whole(spark):
+    rows = [("t", k, k - 1 if k else None, "assistant" if k % 2 else "user", "<" * (k % 5) + "é" * (k % 7) + ("x" * 3_000_000 if k == 1500 else ""), None) for k in range(3001)]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    row = chat.parsed(chat.formatted(chat.paths(df, 1))).first()
+    assert [(x.role, x.text) for x in row.turns] == [(r, t) for _, _, _, r, t, _ in rows]
+    assert "".join(row.learned) == "".join(t for _, _, _, r, t, _ in rows if r == "assistant")

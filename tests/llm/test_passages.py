@@ -78,7 +78,9 @@ def sets(text):
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
 
 
-def test_contained_items_equal_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("few", [decontaminate.FEW_ROWS, 0])  # broadcast, and joined by shuffles
+def test_contained_items_equal_brute_force(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "FEW_ROWS", few)
     rng = random.Random(5)
     items = [(i, words(rng, n)) for i, n in enumerate((5, 6, 9, 20, 20, 60, 300))] + [(7, None), (8, ""), (9, "two words"), (3, "clash of ids but another text"), (None, words(rng, 12)), (4, None), (5, words(rng, 60))]
     texts, ids = list(TEXTS), list(range(len(TEXTS)))
