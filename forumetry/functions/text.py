@@ -87,14 +87,32 @@ def username(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.when(path != "", path).otherwise(F.trim(or_empty(text))), "^@+", ""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once a row: bound to a lambda's variable, it isn't copied into each place that reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Icon characters that some pages' texts come with when they were decoded wrongly.
+ICONS = ("ô¸", "ô¤¦", "ôŒ«")
+
+
+def stripped(text: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def clean_mobile_text(text: Column) -> Column:
-    """Without private-use characters; every kind of blank is one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(or_empty(text), r"\p{Co}", ""), r"(?U)\s+", " "))
+    """Without private-use characters and icons; runs of spaces and tabs are one space, runs of three line ends and more are two."""
+    bare = F.regexp_replace(F.replace(or_empty(text), F.lit("\u00a0"), F.lit(" ")), r"\p{Co}", "")
+    for icon in ICONS:
+        bare = F.replace(bare, F.lit(icon), F.lit(" "))
+    return stripped(F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 def canonical_post_text(text: Column) -> Column:
-    """Lower-case text without a trailing fold mark, blanks as one space; equal for two views of one post."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(clean_mobile_text(text), r"(?i)[…\s]*see more\s*$", ""), r"\s+", " ")))
+    """Lower-case text without fold marks and lines that begin with a handle, blanks as one space; equal for two views of one post."""
+    folded = F.replace(F.lower(clean_mobile_text(text)), F.lit("see more"), F.lit(""))
+    return stripped(F.regexp_replace(F.regexp_replace(folded, r"(?md)^@\S.*$", ""), r"(?U)\s+", " "))
 
 
 def json_cell(value: Column, empty: str) -> Column:

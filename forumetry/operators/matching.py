@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumetry.functions.text import canonical_post_text
+from forumetry.operators.store import checkpointed
 
-#: Characters of the beginning that must be equal, of the block that rows meet by, and seconds between both.
-PREFIX, BLOCK, SECONDS = 80, 60, 3600
+#: Characters of a beginning that must be equal, at most, and seconds between both views.
+BLOCK, SECONDS = 60, 3600
 
 
 def match_posts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id) from frames (id, text, at): each left post with the first right one, by id, of an equal beginning.
+    """(left_id, right_id) from frames (id, text, at): each left post that matches any right one, with the one of least id.
 
-    Texts match if their first 80 characters are equal, or if one begins with the first 60 of the other; if both have a time, they must be an
-    hour apart at most. Texts of 60 characters or more meet by a hash of their first 60, so no pair of others is ever made; shorter ones match
-    only if they are equal.
+    Texts match if one of them begins with the first 60 characters of the other, or with all of it if it is shorter. (Equal beginnings of 80
+    characters are a case of that.) If both have a time, they must be an hour apart at most. Empty texts match nothing.
+
+    So texts of k characters or more meet by their first k, for each k up to 60 that occurs as the length of a text. Right posts are
+    reduced to the least id of each beginning and second before they meet, and left ones to one row of each; both are dealt by beginning and
+    hour, right ones also to the hours beside their own, and a window of times finds the least id. No pairs are made: a beginning that a third
+    of all posts share is spread over its hours, and each of these has 3 * 3600 right rows at most.
     """
-    shaped = lambda df, name: df.select(F.col("id").alias(f"{name}_id"), F.substring(canonical_post_text(F.col("text")), 1, BLOCK).alias("block"), F.col("at").alias(f"{name}_at")).where("block <> ''")
-    near = F.coalesce(F.abs(F.unix_timestamp("left_at") - F.unix_timestamp("right_at")) <= SECONDS, F.lit(True))
-    return shaped(left, "left").join(shaped(right, "right"), "block").where(near).groupBy("left_id").agg(F.min("right_id").alias("right_id"))
+    shaped = lambda df: df.select("id", F.left(canonical_post_text(F.col("text")), F.lit(BLOCK)).alias("t"), F.unix_timestamp(F.col("at").cast("timestamp")).alias("s")).where("t <> ''")
+    a, b = checkpointed(shaped(left)), checkpointed(shaped(right))  # beginnings only: texts are read once
+    lengths = [[r.n for r in df.select(F.length("t").alias("n")).distinct().collect()] for df in (a, b)]  # 60 numbers at most
+
+    def begun(df: DataFrame, sizes: list[int], shorter: bool, side: int) -> DataFrame:
+        """A row for each of the sizes that a text has or is longer than (with `shorter`: is longer than)."""
+        some = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda k: k < F.length("t") if shorter else k <= F.length("t"))
+        return df.withColumn("k", F.explode(some)).select("id", "s", F.lit(side).alias("side"), F.expr("left(t, k)").alias("key"))
+
+    own = lambda df, side: df.select("id", "s", F.lit(side).alias("side"), F.col("t").alias("key"))
+    # side 0: the left text is the beginning of the right one; side 1: the right text is the shorter one
+    lefts = own(a, 0).unionByName(begun(a, lengths[1], True, 1))
+    rights = begun(b, lengths[0], False, 0).unionByName(own(b, 1))
+    by = ["side", "key"]
+    least = checkpointed(rights.groupBy(*by, "s").agg(F.min("id").alias("id")))
+    timed, hour = least.where("s IS NOT NULL"), F.floor(F.col("s") / SECONDS)
+    near = timed.withColumn("hour", F.explode(F.array(hour - 1, hour, hour + 1)))
+    asked = lefts.where("s IS NOT NULL").select(*by, "s").distinct().withColumn("hour", hour)
+    both = near.select(*by, "hour", "s", "id", F.lit(False).alias("asks")).unionByName(asked.select(*by, "hour", "s", F.lit(None).cast(near.schema["id"].dataType).alias("id"), F.lit(True).alias("asks")))
+    span = Window.partitionBy(*by, "hour").orderBy("s").rangeBetween(-SECONDS, SECONDS)
+    close = both.withColumn("found", F.min("id").over(span)).where("asks AND found IS NOT NULL").select(*by, "s", "found")
+    # without a time on one side, only the texts count
+    untimed = least.where("s IS NULL").select(*by, F.col("id").alias("untimed"))
+    any_ = least.groupBy(*by).agg(F.min("id").alias("any"))
+    met = lefts.join(close, [*by, "s"], "left").join(untimed, by, "left").join(any_, by, "left")
+    best = F.when(F.col("s").isNull(), F.col("any")).otherwise(F.least("found", "untimed"))
+    return met.groupBy(F.col("id").alias("left_id")).agg(F.min(best).alias("right_id")).where("right_id IS NOT NULL")

@@ -94,27 +94,31 @@ def comment_depths(edges: DataFrame) -> DataFrame:
 
 
 #: Items of a piece that nesting folds at once.
-FOLD = 128
+FOLD = 32
 
 
 def nesting(items: DataFrame, x: str = "xs", slack: int = 5) -> DataFrame:
-    """items (array of left offsets, in order) with `depths`: each one's parent is the last one before that lies over `slack` further left and
-    is still open; a later item closes all open ones that don't lie so far left of it. A fold over the array, in the JVM, by pieces of FOLD items, since an
-    array that a fold appends to is copied at each step."""
-    none = F.array().cast("array<int>")
+    """items (array of left offsets, in order) with `depths` and `parents`, the places (from 0, -1 for none) of the items that they answer: each
+    one's parent is the last one before that lies over `slack` further left and is still open; a later item closes all open ones that don't lie
+    so far left of it. A fold over the array, in the JVM, by pieces of FOLD items, since an array that a fold appends to is copied at each step."""
+    place = "array<struct<x:int,i:int>>"
+    made = "array<struct<depth:int,parent:int>>"
+    none = F.array().cast(place)
 
     def step(state: Column, at: Column) -> Column:
-        open_ = F.filter(state["open"], lambda o: o + slack < at)
-        return F.struct(F.concat(open_, F.array(at)).alias("open"), F.concat(state["depths"], F.array(F.size(open_))).alias("depths"))
+        open_ = F.filter(state["open"], lambda o: o["x"] + slack < at["x"])
+        own = F.struct(F.size(open_).alias("depth"), F.coalesce(F.try_element_at(open_, F.lit(-1))["i"], F.lit(-1)).alias("parent"))
+        return F.struct(F.concat(open_, F.array(at)).alias("open"), F.concat(state["made"], F.array(own)).alias("made"))
 
     def piece(state: Column, at: Column) -> Column:
-        some = F.slice(F.col(x).cast("array<int>"), at * FOLD + 1, F.lit(FOLD))
-        done = F.aggregate(some, F.struct(state["open"].alias("open"), none.alias("depths")), step)
-        return F.struct(done["open"].alias("open"), F.concat(state["depths"], F.array(done["depths"])).alias("depths"))
+        some = F.transform(F.slice(F.col(x).cast("array<int>"), at * FOLD + 1, F.lit(FOLD)), lambda v, k: F.struct(v.alias("x"), (at * FOLD + k).alias("i")))
+        done = F.aggregate(some, F.struct(state["open"].alias("open"), F.array().cast(made).alias("made")), step)
+        return F.struct(done["open"].alias("open"), F.concat(state["made"], F.array(done["made"])).alias("made"))
 
-    start = F.struct(none.alias("open"), F.array().cast("array<array<int>>").alias("depths"))
+    start = F.struct(none.alias("open"), F.array().cast(f"array<{made}>").alias("made"))
     pieces = F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / FOLD).cast("int"))
-    return items.withColumn("depths", F.aggregate(pieces, start, piece, lambda s: F.flatten(s["depths"])))
+    folded = items.withColumn("_made", F.aggregate(pieces, start, piece, lambda s: F.flatten(s["made"])))
+    return folded.withColumns({"depths": F.col("_made.depth"), "parents": F.col("_made.parent")}).drop("_made")
 
 
 def header_groups(lines: DataFrame, key: str, pos: str, text: str, is_header: Column) -> DataFrame:

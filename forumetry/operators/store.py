@@ -14,10 +14,13 @@ from forumetry.schemas import KEYS, TABLES
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read back; a local folder only where that is unset, as in tests."""
+    """df written to the shared folder of spark.checkpoint.dir and read back. Where that is unset, a local session (tests) gets a local folder;
+    any other is refused, since its executors would write to disks of their own."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='forumetry-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"

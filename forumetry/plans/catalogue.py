@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forumetry.plans import discussion, runs, scalars
+from forumetry.plans import discussion, pagetext, runs, scalars
 
-QUERIES: dict = discussion.QUERIES | runs.QUERIES | scalars.QUERIES
-ORACLE_SQL: dict[str, str] = discussion.ORACLE_SQL | runs.ORACLE_SQL | scalars.ORACLE_SQL
+QUERIES: dict = discussion.QUERIES | runs.QUERIES | scalars.QUERIES | pagetext.QUERIES
+ORACLE_SQL: dict[str, str] = discussion.ORACLE_SQL | runs.ORACLE_SQL | scalars.ORACLE_SQL | pagetext.ORACLE_SQL

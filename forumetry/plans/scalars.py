@@ -24,8 +24,8 @@ _add("stable_ids", lambda spark, sf: _documents(spark, sf).select("doc_id", text
 _add("text_hashes", lambda spark, sf: _documents(spark, sf).select("doc_id", text.text_hash(F.col("text")).alias("h")), "SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents")
 _add("excerpts", lambda spark, sf: _documents(spark, sf).select("doc_id", text.excerpt(F.col("text")).alias("short"), text.excerpt(F.col("text"), 280).alias("long")), "SELECT doc_id, left(coalesce(text, ''), 220) AS short, left(coalesce(text, ''), 280) AS long FROM documents")
 _add(
-    "slugs", lambda spark, sf: _documents(spark, sf).select("doc_id", text.slug(text.excerpt(F.col("text"), 60)).alias("slug")),
-    "SELECT doc_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT doc_id, lower(trim(regexp_replace(left(coalesce(text, ''), 60), '[^a-zA-Z0-9]+', '-', 'g'), '-')) AS s FROM documents)",
+    "slugs", lambda spark, sf: _documents(spark, sf).select("doc_id", text.slug(F.col("text")).alias("slug")),
+    "SELECT doc_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9]+', '-', 'g'), '-')) AS s FROM documents)",
 )
 _add(
     "compact_numbers", lambda spark, sf: _documents(spark, sf).select("doc_id", text.compact_number(F.concat((F.col("doc_id") % 1000).cast("string"), F.lit("."), (F.col("doc_id") % 10).cast("string"), F.element_at(F.array(*map(F.lit, ("K", "m", "B", "", " views"))), (F.col("doc_id") % 5 + 1).cast("int")))).alias("n")),
@@ -35,9 +35,12 @@ _add(
     "metric_counts", lambda spark, sf: _documents(spark, sf).select("doc_id", text.metric_count(F.concat("doc_id", F.when(F.col("doc_id") % 2 == 0, " more").otherwise(" comments"))).alias("n"), text.comment_counter(F.concat("doc_id", F.when(F.col("doc_id") % 3 == 0, " comments").otherwise(" shares"))).alias("c")),
     "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id * 1000000 ELSE doc_id END AS n, CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 0 END AS c FROM documents",
 )
+#: Links with a port, a blank value, a repeated key, a blank in a value, and keys that don't count.
+_LINK = lambda host: F.concat(F.lit(host), "source", F.lit("/posts//?x=1&id=&id="), F.col("doc_id") % 7, F.lit("&fbid=&story_fbid="), "doc_id", F.lit("&comment_id=a%20b&utm=2#top"))
 _add(
-    "permalink_normalize", lambda spark, sf: posts(spark, sf).select("post_id", urls.normal_permalink(F.col("permalink")).alias("permalink"), urls.normal_permalink(F.concat("permalink", F.lit("&comment_id=7#top")), urls.POST_KEYS).alias("of_post")),
-    "SELECT post_id, concat('https://example.org/', source_id, '/posts/', ord, '?story_fbid=', ord) AS permalink, concat('https://example.org/', source_id, '/posts/', ord, '?story_fbid=', ord) AS of_post FROM posts", "posts",
+    "permalink_normalize", lambda spark, sf: _documents(spark, sf).select("doc_id", urls.normal_permalink(_LINK("HTTPS://Example.org:8080/")).alias("of_comment"), urls.normal_permalink(_LINK("http://example.org/"), urls.POST_KEYS).alias("of_post")),
+    """SELECT doc_id, concat('https://Example.org:8080/', source, '/posts?story_fbid=', doc_id, '&id=', doc_id % 7, '&comment_id=a+b&fbid=') AS of_comment,
+              concat('http://example.org/', source, '/posts?story_fbid=', doc_id, '&id=', doc_id % 7, '&fbid=') AS of_post FROM documents""",
 )
 _PAGE_PATH = r"regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]+(/[^?#]*)?', 1), '/+$', '')"
 _add(
@@ -66,16 +69,37 @@ _add(
     """SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS "group" FROM (
          SELECT *, lag(line) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT *, concat(event_type, event_id % 2) AS line FROM events)) WHERE before IS DISTINCT FROM line""",
 )
-QUERIES["nesting_depth"] = lambda spark, sf: normalize.nesting(_documents(spark, sf).select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w) * 3).alias("xs"))).select("doc_id", F.array_join("depths", ",").alias("depths"))
+#: Left offsets of a page's items: three times the length of each word.
+_nested = lambda spark, sf: normalize.nesting(_documents(spark, sf).select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w) * 3).alias("xs")))
+# An item's parent is the last one before it of those that lie over 5 further left than the item and than all items between them. So the open
+# items are kept as a list, and the fold's list of open items of each position gives depth and parent.
+_add(
+    "nesting_depth", lambda spark, sf: _nested(spark, sf).select("doc_id", F.array_join("depths", ",").alias("depths"), F.array_join("parents", ",").alias("parents")),
+    """SELECT d.doc_id, string_agg(depth, ',' ORDER BY i) AS depths, string_agg(parent, ',' ORDER BY i) AS parents
+       FROM documents d JOIN n ON d.doc_id IS NOT DISTINCT FROM n.doc_id WHERE text IS NOT NULL GROUP BY d.doc_id""",
+    recursive=True,
+    w="SELECT doc_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w) * 3) AS x FROM documents WHERE text IS NOT NULL)",
+    n="""SELECT doc_id, i, x, [{'x': x, 'i': i}] AS open, 0 AS depth, -1 AS parent FROM w WHERE i = 1
+         UNION ALL SELECT w.doc_id, w.i, w.x, list_append(list_filter(n.open, lambda o: o.x + 5 < w.x), {'x': w.x, 'i': w.i}), len(list_filter(n.open, lambda o: o.x + 5 < w.x)),
+                coalesce(list_last(list_filter(n.open, lambda o: o.x + 5 < w.x)).i - 1, -1)
+         FROM n JOIN w ON w.doc_id = n.doc_id AND w.i = n.i + 1""",
+)
 
 
 def _fuzzy(spark, sf):
-    d = _documents(spark, sf).select(F.col("doc_id").alias("id"), "text", F.timestamp_seconds(F.col("doc_id") * 600).alias("at"))
-    return matching.match_posts(d.withColumn("text", F.concat("text", F.lit("… See more"))), d)
+    d = _documents(spark, sf)
+    views = F.array(F.concat(F.lit("See more "), F.col("text")), F.left("text", F.lit(40)), F.concat(F.lit("@someone says\n"), F.col("text"), F.lit("… See more")), F.concat("text", F.lit(" and more of it")))
+    at = F.timestamp_seconds(F.col("doc_id") * 600)
+    seen = d.select(F.col("doc_id").alias("id"), F.get(views, (F.col("doc_id") % 4).cast("int")).alias("text"), F.when(F.col("doc_id") % 9 != 0, at).alias("at"))
+    return matching.match_posts(seen, d.select(F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 7 != 0, at).alias("at")))
 
 
+_CANONICAL = r"trim(regexp_replace(regexp_replace(replace(lower({0}), 'see more', ''), '(?m)^@\S.*$', '', 'g'), '\s+', ' ', 'g'))"
 _add(
     "fuzzy_post_match", _fuzzy,
-    r"""SELECT l.doc_id AS left_id, min(r.doc_id) AS right_id FROM b l JOIN b r ON l.block = r.block AND abs(l.doc_id - r.doc_id) * 600 <= 3600 GROUP BY 1""",
-    b=r"SELECT doc_id, left(lower(trim(regexp_replace(coalesce(text, ''), '[\s  ]+', ' ', 'g'))), 60) AS block FROM documents WHERE trim(regexp_replace(coalesce(text, ''), '[\s]+', ' ', 'g')) <> ''",
+    """SELECT l.id AS left_id, min(r.id) AS right_id FROM l JOIN r ON l.t <> '' AND r.t <> '' AND coalesce(abs(l.sec - r.sec) <= 3600, true)
+         AND (left(l.t, 80) = left(r.t, 80) OR starts_with(l.t, left(r.t, 60)) OR starts_with(r.t, left(l.t, 60))) GROUP BY 1""",
+    l=f"""SELECT id, {_CANONICAL.format("text")} AS t, sec FROM (SELECT doc_id AS id, CASE WHEN doc_id % 9 <> 0 THEN doc_id * 600 END AS sec,
+         CASE doc_id % 4 WHEN 0 THEN 'See more ' || text WHEN 1 THEN left(text, 40) WHEN 2 THEN '@someone says' || chr(10) || text || '… See more' ELSE text || ' and more of it' END AS text FROM documents)""",
+    r=f"SELECT doc_id AS id, {_CANONICAL.format('text')} AS t, CASE WHEN doc_id % 7 <> 0 THEN doc_id * 600 END AS sec FROM documents",
 )
