@@ -24,6 +24,8 @@ SELECT concat('doc:', d.doc_id) AS post_id, 'facebook' AS platform, d.source AS
 FROM {documents} d JOIN (SELECT md5(coalesce(text, '')) AS h, min(doc_id) AS origin FROM {documents} GROUP BY md5(coalesce(text, ''))) o
   ON md5(coalesce(d.text, '')) = o.h
 """
+#: Conversations are spread over all posts, re-shares too, by a multiplier that has no factor in common with most numbers of posts.
+SPREAD = 104_729
 #: Turns of a conversation are comments below one post, each an answer to the turn before.
 COMMENTS = """
 SELECT concat(c.conv_id, ':', c.turn) AS comment_id, 'facebook' AS platform, p.post_id AS parent_post_id,
@@ -32,7 +34,7 @@ SELECT concat(c.conv_id, ':', c.turn) AS comment_id, 'facebook' AS platform, p.p
        concat('2026-02-', lpad(CAST(1 + c.conv_id % 28 AS STRING), 2, '0'), 'T', lpad(CAST(c.turn % 24 AS STRING), 2, '0'), ':00:00+00:00') AS created_at,
        c.text AS message, c.turn AS depth, c.role AS author_id, c.conv_id % 9 AS reactions, concat('https://example.org/c/', c.conv_id, '/', c.turn) AS permalink,
        CASE WHEN c.conv_id % 3 = 0 THEN concat('{{"like": ', c.turn, ', "wow": ', c.conv_id % 4, '}}') END AS reaction_breakdown_json
-FROM {conversations} c JOIN ({posts}) p ON p.post_id = concat('doc:', c.conv_id % {n_documents})
+FROM {conversations} c JOIN ({posts}) p ON p.post_id = concat('doc:', c.conv_id * {spread} % {n_documents})
 """
 
 
@@ -46,7 +48,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    sql = COMMENTS.replace("{posts}", POSTS).replace("{n_documents}", str(max(1, documents.count())))
+    sql = COMMENTS.replace("{posts}", POSTS).replace("{spread}", str(SPREAD)).replace("{n_documents}", str(max(1, documents.count())))
     return spark.sql(sql, documents=documents, conversations=table(spark, sf_dir, "conversations"))
 
 
@@ -60,6 +62,6 @@ def propagations(posts: DataFrame) -> DataFrame:
 #: The same as common table expressions for DuckDB.
 SQL = {
     "posts": POSTS.format(documents="documents"),
-    "comments": COMMENTS.replace("{posts}", "SELECT * FROM posts").replace("{n_documents}", "(SELECT greatest(1, count(*)) FROM documents)").format(documents="documents", conversations="conversations"),
+    "comments": COMMENTS.replace("{posts}", "SELECT * FROM posts").replace("{spread}", str(SPREAD)).replace("{n_documents}", "(SELECT greatest(1, count(*)) FROM documents)").format(documents="documents", conversations="conversations"),
     "propagations": "SELECT * REPLACE (coalesce(propagation_kind, 'unknown') AS propagation_kind) RENAME (post_id AS propagation_id) FROM posts WHERE is_propagation",
 }
