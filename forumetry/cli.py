@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import tempfile
 
 from pyspark.sql import SparkSession
 
 from forumetry import config
-from forumetry.operators import report
+from forumetry.operators import report, store
 from forumetry.plans import lifecycle
 from forumetry.sources import manifests
 
@@ -34,15 +35,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
     if every or a.verb == "review-export":
         lifecycle.review_sheets(spark, a.root, review, run)
     if every or a.verb in ("report", "export-tables"):
-        made = lifecycle.report_run(spark, a.root, review, run)
+        made = lifecycle.report_run(spark, a.root, review, run, a.raw)
         report.export(made, f"{out}/tables")
         if a.verb != "export-tables":
-            with open(f"{out}/report.md", "w", encoding="utf-8") as f:
-                f.write(report.markdown(made, f"Run {run}"))
-            with open(f"{out}/report.html", "w", encoding="utf-8") as f:
-                f.write(report.page(made, f"Run {run}"))
-            with open(f"{out}/report.xlsx", "wb") as f:
-                f.write(report.workbook(made))
+            store.write_bytes(spark, f"{out}/report.md", report.markdown(made, f"Run {run}").encode())
+            store.write_bytes(spark, f"{out}/report.html", report.page(made, f"Run {run}").encode())
+            with tempfile.TemporaryFile() as f:  # of the driver, which writes it row by row
+                report.workbook(made, f)
+                f.seek(0)
+                store.write_bytes(spark, f"{out}/report.xlsx", f.read())
     return run
 
 

@@ -25,6 +25,10 @@ class Config:
     min_samples: int = 1
     exemplar_count: int = 3
     batch_size: int = 25
+    embedding_kind: str = "auto"
+    embedding_model: str = ""
+    embedding_url: str = ""
+    dimension: int = 256
     max_items: int | None = None
     merge_recent_runs: int = 1
     source_run_ids: tuple[str, ...] = ()
@@ -45,14 +49,17 @@ class Config:
 
 def from_dict(raw: dict[str, Any]) -> Config:
     source, dates, analysis, merging = (raw.get(k) or {} for k in ("source", "date_range", "analysis", "normalization"))
-    known = {"source", "date_range", "analysis", "normalization", "sides", "collector", "paths"}
+    known = {"source", "date_range", "analysis", "normalization", "sides", "collector", "paths", "providers"}
+    embeddings = (raw.get("providers") or {}).get("embeddings") or {}
+    named = {"kind": "embedding_kind", "model": "embedding_model", "base_url": "embedding_url", "dimension": "dimension"}
     if extra := set(raw) - known:
         raise ValueError(f"unknown keys: {', '.join(sorted(extra))}")
     sides = tuple(Side(s["side_id"], s["name"], tuple(s.get("aliases") or ()), tuple(s.get("support_keywords") or ()), tuple(s.get("oppose_keywords") or ())) for s in raw.get("sides") or ())
     numbers = {k: analysis[k] for k in ("min_cluster_size", "min_samples", "exemplar_count", "batch_size", "max_items") if k in analysis}
     return Config(
         platform=source.get("platform", "facebook"), mode=(raw.get("collector") or {}).get("mode", "web"), sides=sides, source_id=source.get("source_id") or "", source_url=source.get("url") or "", source_name=source.get("source_name") or "",
-        date_start=dates.get("start"), date_end=dates.get("end"), merge_recent_runs=max(1, merging.get("merge_recent_runs", 1)), source_run_ids=tuple(merging.get("source_run_ids") or ()), paths=dict(raw.get("paths") or {}), **numbers,
+        date_start=dates.get("start"), date_end=dates.get("end"), merge_recent_runs=max(1, merging.get("merge_recent_runs", 1)), source_run_ids=tuple(merging.get("source_run_ids") or ()), paths=dict(raw.get("paths") or {}),
+        **numbers, **{field: embeddings[k] for k, field in named.items() if embeddings.get(k)},
     )
 
 

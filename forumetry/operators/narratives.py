@@ -39,16 +39,31 @@ def cluster_keywords(members: DataFrame, top: int = 8) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_type", "cluster_id", "rank", "keyword", "n")
 
 
+def first_texts(members: DataFrame, top: int = 3) -> DataFrame:
+    """(item_type, cluster_id, texts): the first texts of each cluster, in order."""
+    order = Window.partitionBy("item_type", "cluster_id").orderBy("ord", "item_id")
+    few = members.select("item_type", "cluster_id", "item_id", "ord", "text").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return few.groupBy("item_type", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
+
+
 def exemplars(members: DataFrame, top: int = 3) -> DataFrame:
     """(item_type, cluster_id, rank, item_id): the longest texts of each cluster, ties by order."""
     order = Window.partitionBy("item_type", "cluster_id").orderBy(F.desc(F.length("text")), "ord")
     return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_type", "cluster_id", "rank", "item_id")
 
 
-def summaries(members: DataFrame, run_id: str) -> DataFrame:
-    """Clusters with their label and description, from their keywords."""
+def quotes(clusters: DataFrame, comments: DataFrame, top: int = 8, each: int = 2) -> DataFrame:
+    """(cluster_id, label, rank, place, text): the first exemplars of the largest comment clusters (with member_count), in the order of the report."""
+    largest = clusters.where("item_type = 'comment'").orderBy(F.desc("member_count"), "cluster_id").limit(top)
+    placed = largest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("member_count"), "cluster_id")))  # of `top` rows
+    listed = placed.select("rank", "cluster_id", "label", F.posexplode(F.slice("exemplar_ids", 1, each)).alias("place", "comment_id"))
+    return F.broadcast(listed).join(comments.select("comment_id", F.substring(F.coalesce("message", F.lit("")), 1, 280).alias("text")), "comment_id").select("cluster_id", "label", "rank", "place", "text")
+
+
+def summaries(members: DataFrame, run_id: str, top: int = 3) -> DataFrame:
+    """Clusters with their label and description, from their keywords, and `top` exemplars."""
     keys = cluster_keywords(members).groupBy("item_type", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("top_keywords"))
-    best = exemplars(members).groupBy("item_type", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias("exemplar_ids"))
+    best = exemplars(members, top).groupBy("item_type", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias("exemplar_ids"))
     all_ = members.select("item_type", "cluster_id").distinct().join(keys, ["item_type", "cluster_id"], "left").join(best, ["item_type", "cluster_id"], "left")
     none, kind = F.size(F.coalesce("top_keywords", F.array().cast("array<string>"))) == 0, F.initcap("item_type")
     label = F.when(none, F.concat(kind, F.lit(" cluster"))).otherwise(F.array_join(F.slice("top_keywords", 1, 3), ", "))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+from itertools import islice
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +18,23 @@ NAMES = (
 )
 
 
-def tables(t: dict[str, DataFrame], run_id: str) -> dict[str, DataFrame]:
-    """The report's tables for a run, from stored tables by name. Overrides are to be applied to clusters, memberships and stances before."""
+def source_runs(runs: DataFrame, manifests: DataFrame | None) -> DataFrame:
+    """(source_run_id, collector, mode, status, fallback_used, warning_count, warnings) of the runs that were merged into the runs (rows of
+    collection_runs), from their snapshots; a run itself stands for those without any."""
+    own = runs.select(F.col("run_id").alias("_run"), "collector", "mode", "status", "fallback_used", "warning_count", F.col("warning_messages").alias("warnings"), F.explode("source_run_ids").alias("source_run_id"))
+    if manifests is None:
+        found = own.limit(0).drop("_run")
+    else:
+        none = F.array().cast("array<string>")
+        seen = manifests.select(F.col("run_id").alias("source_run_id"), "collector", "mode", "status", F.coalesce("fallback_used", F.lit(False)).alias("fallback_used"), F.coalesce("warnings", none).alias("warnings"))
+        found = seen.join(own.select("source_run_id").distinct(), "source_run_id", "left_semi").withColumn("warning_count", F.size("warnings").cast("long"))
+    alone = own.drop("source_run_id").withColumnRenamed("_run", "source_run_id").distinct()
+    return found.select(*alone.columns).unionByName(alone) if found.isEmpty() else found.select(*alone.columns)
+
+
+def tables(t: dict[str, DataFrame], run_id: str, manifests: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The report's tables for a run, from stored tables by name, and of the snapshots that were merged. Overrides are to be applied to clusters,
+    memberships and stances before."""
     own = {name: df.where(F.col("run_id") == run_id) if "run_id" in df.columns else df for name, df in t.items()}
     posts, comments, shares, stances = own["posts"], own["comments"], own["propagations"], own["stance_labels"]
     origins, members = normalize.origin_posts(posts), own["cluster_memberships"]
@@ -27,13 +44,13 @@ def tables(t: dict[str, DataFrame], run_id: str) -> dict[str, DataFrame]:
     narratives = lambda kind: clusters.where(F.col("item_type") == kind).orderBy(F.desc("member_count"), "cluster_id")
     newest = lambda df, key: df.orderBy(F.desc_nulls_first("created_at"), key)
     posted, shared = summaries.post_overview(origins, comments), summaries.propagation_overview(shares, comments)
-    runs = own["collection_runs"]
+    traced = source_runs(own["collection_runs"], manifests)
     made = (
         scope("global"), scope("origin_post"), scope("origin_plus_propagations"), scope("propagation"), newest(posted, "post_id"), newest(shared, "propagation_id"), newest(summaries.propagation_comments(comments, shares), "comment_id"),
         metrics.conflicts(stances, comments, origins), narratives("post"), narratives("propagation"), narratives("comment"), summaries.language_mix(own["detected_languages"]).orderBy("item_type", F.desc("n"), "language"),
         metrics.top_comments(stances, comments, "support"), metrics.top_comments(stances, comments, "oppose"), summaries.gaps(posted, "post_id"), summaries.gaps(shared, "propagation_id"), summaries.reply_depths(comments).orderBy("depth"),
-        summaries.top_propagated(origins, shares), runs.select(F.col("run_id").alias("source_run_id"), "collector", "mode", "status", "fallback_used", "warning_count"),
-        runs.select(F.col("run_id").alias("source_run_id"), F.posexplode("warning_messages").alias("i", "warning")).where("warning <> ''").select("source_run_id", (F.col("i") + 1).alias("warning_index"), "warning"),
+        summaries.top_propagated(origins, shares), traced.drop("warnings").orderBy("source_run_id"),
+        traced.select("source_run_id", F.posexplode("warnings").alias("i", "warning")).where("warning <> ''").select("source_run_id", (F.col("i") + 1).alias("warning_index"), "warning").orderBy("source_run_id", "warning_index"),
     )
     return dict(zip(NAMES, made, strict=True))
 
@@ -69,30 +86,49 @@ def page(made: dict[str, DataFrame], title: str, most: int = 20) -> str:
     return "".join(parts) + "</body></html>"
 
 
-def workbook(made: dict[str, DataFrame], most: int = 1000) -> bytes:
-    """An XLSX file with a sheet a table: names of 31 characters at most, all cells as text, the first `most` rows."""
-    import io
+#: Rows of a sheet at most, by the format.
+SHEET_ROWS = 1_048_576
+
+
+def workbook(made: dict[str, DataFrame], out: BinaryIO) -> None:
+    """An XLSX file with a sheet a table, all rows of it: names of 31 characters at most, numbers as numbers. Rows are written as they come, one
+    partition after the other. A table of more rows than a sheet may have goes on in further sheets."""
     import zipfile
     from xml.sax.saxutils import escape
 
+    main, package = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/package/2006"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     names: list[str] = []
-    for name in made:
+
+    def named(name: str) -> str:
         short, k = name[:31], 2
         while short in names:
             short, k = f"{name[: 30 - len(str(k))]}_{k}", k + 1
         names.append(short)
-    cell = lambda x: "<c t='inlineStr'><is><t xml:space='preserve'>" + escape("".join(c for c in ("" if x is None else str(x)) if c >= " " or c in "\n\t")) + "</t></is></c>"
-    main, package = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/package/2006"
-    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    out = io.BytesIO()
+        return short
+
+    def cell(x) -> str:
+        if isinstance(x, (int, float)) and not isinstance(x, bool) and x == x and abs(x) < 1e300:
+            return f"<c><v>{x!r}</v></c>"
+        return "<c t='inlineStr'><is><t xml:space='preserve'>" + escape("".join(c for c in ("" if x is None else str(x)) if c >= " " or c in "\n\t")) + "</t></is></c>"
+
+    line = lambda r: ("<row>" + "".join(map(cell, r)) + "</row>").encode()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, df in made.items():
+            rest, more = store.flat_cells(df).toLocalIterator(), True
+            while more:
+                named(name)
+                with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w") as sheet:
+                    sheet.write(f"<worksheet xmlns='{main}'><sheetData>".encode() + line(df.columns))
+                    n = 1
+                    for n, r in enumerate(islice(rest, SHEET_ROWS - 1), start=2):
+                        sheet.write(line(r))
+                    sheet.write(b"</sheetData></worksheet>")
+                more = n == SHEET_ROWS
         sheets = range(1, len(names) + 1)
-        z.writestr("[Content_Types].xml", f"<Types xmlns='{package}/content-types'><Default Extension='rels' ContentType='application/vnd.openxmlformats-package.relationships+xml'/><Override PartName='/xl/workbook.xml' ContentType='{kind}.sheet.main+xml'/>" + "".join(f"<Override PartName='/xl/worksheets/sheet{k}.xml' ContentType='{kind}.worksheet+xml'/>" for k in sheets) + "</Types>")
+        part = lambda k: f"<Override PartName='/xl/worksheets/sheet{k}.xml' ContentType='{kind}.worksheet+xml'/>"
+        z.writestr("[Content_Types].xml", f"<Types xmlns='{package}/content-types'><Default Extension='rels' ContentType='application/vnd.openxmlformats-package.relationships+xml'/><Override PartName='/xl/workbook.xml' ContentType='{kind}.sheet.main+xml'/>" + "".join(map(part, sheets)) + "</Types>")
         z.writestr("_rels/.rels", f"<Relationships xmlns='{package}/relationships'><Relationship Id='r1' Type='{office}/officeDocument' Target='xl/workbook.xml'/></Relationships>")
         z.writestr("xl/workbook.xml", f"<workbook xmlns='{main}' xmlns:r='{office}'><sheets>" + "".join(f"<sheet name='{escape(n)}' sheetId='{k}' r:id='r{k}'/>" for k, n in zip(sheets, names)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships xmlns='{package}/relationships'>" + "".join(f"<Relationship Id='r{k}' Type='{office}/worksheet' Target='worksheets/sheet{k}.xml'/>" for k in sheets) + "</Relationships>")
-        for k, df in zip(sheets, made.values()):
-            lines = [df.columns, *rows(store.flat_cells(df), most)]
-            z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet xmlns='{main}'><sheetData>" + "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in lines) + "</sheetData></worksheet>")
-    return out.getvalue()

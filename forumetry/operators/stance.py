@@ -62,16 +62,24 @@ def label_items(items: DataFrame, sides: list[Side]) -> DataFrame:
     return items.withColumn("_side", F.explode(each)).select(*items.columns, "_side.side_id", "_side.s.label", F.round("_side.s.confidence", 4).alias("confidence")).drop("text")
 
 
-def cached_labels(items: DataFrame, cache: DataFrame, sides: list[Side], key: str, now: str) -> tuple[DataFrame, DataFrame]:
-    """(labels of all items, new cache rows). Each text that the cache lacks for a side is labelled once, however many items have it."""
+def cached_labels(items: DataFrame, cache: DataFrame, sides: list[Side], key: str, now: str, by_model=None) -> tuple[DataFrame, DataFrame]:
+    """(labels of all items, new cache rows). Each text that the cache lacks for a side is labelled once, however many items have it: by the
+    expressions here, or by by_model, from texts (text_hash, side_id, text) to (text_hash, side_id, label, confidence)."""
     model = F.lit(key)
     prints = {s.side_id: f"{key}|{s.fingerprint}" for s in sides}
     wanted = items.withColumn("text_hash", text_hash(F.col("text"))).withColumn("_s", F.explode(F.array(*(F.struct(F.lit(i).alias("side_id"), F.lit(k).alias("llm_key")) for i, k in prints.items()))))
     wanted = wanted.select(*items.columns, "text_hash", "_s.side_id", "_s.llm_key")
     on = ["llm_key", "text_hash", "side_id"]
-    missing = wanted.select(*on, "text").dropDuplicates(on).join(cache.select(*on), on, "left_anti")
-    fresh = label_items(missing.withColumnRenamed("side_id", "of"), sides).where("of = side_id").select(*on, "label", "confidence")
-    fresh = fresh.join(missing.select(*on, "text"), on).select("llm_key", "text_hash", "text", "side_id", "label", "confidence", model.alias("model_name"), F.lit(now).alias("created_at"))
+    # one row a text and side, by partial aggregates: a text that many items have is no hot key
+    missing = wanted.groupBy(*on).agg(F.first("text").alias("text")).join(cache.select(*on), on, "left_anti")
+    if by_model is None:
+        fresh = label_items(missing.withColumns({"of": F.col("side_id"), "said": F.col("text")}).drop("side_id"), sides).where("of = side_id").withColumnRenamed("said", "text")
+    else:
+        from forumetry.operators.store import checkpointed
+
+        missing = checkpointed(missing)
+        fresh = missing.join(by_model(missing), ["text_hash", "side_id"])
+    fresh = fresh.select("llm_key", "text_hash", "text", "side_id", "label", "confidence", model.alias("model_name"), F.lit(now).alias("created_at"))
     known = cache.select(*on, "label", "confidence", "model_name").unionByName(fresh.select(*on, "label", "confidence", "model_name"))
     return wanted.join(known, on).select(*[c for c in items.columns if c != "text"], "side_id", "label", "confidence", "model_name"), fresh
 

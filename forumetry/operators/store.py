@@ -33,38 +33,77 @@ def _path(spark: SparkSession, path: str):
     return jvm.org.apache.hadoop.fs.Path(path)
 
 
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    p = _path(spark, path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return _files(spark, path).exists(_path(spark, path))
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, such as a report, on whatever file system the path names."""
+    out = _files(spark, path).create(_path(spark, path), True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def _by_run(name: str) -> bool:
+    """Whether a table's rows belong to a run for good, so that it is partitioned by runs."""
+    return "run_id" in KEYS[name]
+
+
+def _pending(root: str, name: str) -> str:
+    return f"{root}/.pending-{name}"
+
+
+def _settle(spark: SparkSession, root: str, name: str) -> None:
+    """Puts what an upsert has prepared in its place: whole partitions of runs, or the whole table. Done again after a crash, it gives the same."""
+    made, fs = _pending(root, name), _files(spark, root)
+    if fs.exists(_path(spark, f"{made}/_SUCCESS")):
+        writer = spark.read.schema(TABLES[name]).parquet(made).write.mode("overwrite")
+        if _by_run(name):
+            writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+        writer.parquet(f"{root}/{name}")
+    if fs.exists(_path(spark, made)):
+        fs.delete(_path(spark, made), True)
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored table; one without rows but with its columns if it was never written."""
-    path = f"{root}/{name}"
-    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], TABLES[name])
+    _settle(spark, root, name)
+    path, schema = f"{root}/{name}", TABLES[name]
+    return spark.read.schema(schema).parquet(path).select(*schema.names) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old and new, with the columns of both; of rows with equal keys the last stays, new ones after old ones, by their order in the frames."""
-    seq = lambda df, part: df.withColumn("_seq", F.struct(F.lit(part).alias("part"), F.monotonically_increasing_id().alias("row")))
-    return last_of(seq(old, 0).unionByName(seq(new, 1), allowMissingColumns=True), keys, "_seq").drop("_seq")
+    """old and new, with the columns of both, one row a key: new rows go before old ones, and of several in one frame the one whose other columns,
+    written as JSON, are greatest. So the result doesn't depend on how the frames are partitioned or ordered."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (*keys, "_new")]
+    at = F.struct("_new", F.to_json(F.struct(*rest))) if rest else F.struct("_new")
+    return last_of(both.withColumn("_at", at).drop("_new"), keys, "_at").drop("_at")
 
 
 def upsert(new: DataFrame, root: str, name: str, replace_run: str | None = None) -> DataFrame:
-    """Upserts into a stored table: written beside it, then moved in its place. An empty `new` changes nothing. With replace_run, old rows of
-    that run that aren't in `new` go."""
-    spark, path = new.sparkSession, f"{root}/{name}"
+    """Upserts into a stored table. An empty `new` changes nothing. With replace_run, old rows of that run that aren't in `new` go.
+
+    Tables of runs are read and written for the runs in `new` alone; in the others a row may move from one run to another, so they are merged
+    whole. What is merged is written beside the table first and then put in its place, by `load` if this is interrupted.
+    """
+    spark = new.sparkSession
     old = load(spark, root, name)
+    if new.isEmpty():
+        return old
+    if _by_run(name):
+        runs = [r.run_id for r in new.select("run_id").distinct().collect()]
+        old = old.where(F.col("run_id").isin(runs))
     if replace_run:
         old = old.where(F.col("run_id") != replace_run)
-    fs = _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    beside, before = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    upserted(old, new, KEYS[name]).write.parquet(beside)
-    if fs.exists(_path(spark, path)):
-        fs.rename(_path(spark, path), _path(spark, before))
-    fs.rename(_path(spark, beside), _path(spark, path))
-    if fs.exists(_path(spark, before)):
-        fs.delete(_path(spark, before), True)
+    upserted(old, new, KEYS[name]).write.mode("overwrite").parquet(_pending(root, name))
+    _settle(spark, root, name)
     return load(spark, root, name)
 
 
@@ -83,8 +122,8 @@ def flat_cells(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header: for reports, which are small."""
-    flat_cells(df).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    """A folder of CSV files with headers, each task its own; sorted rows are in the order of the files' names."""
+    flat_cells(df).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -76,6 +76,11 @@ def reaction_totals(*frames: DataFrame) -> DataFrame:
     return out.groupBy("reaction").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
 
 
+def ranked_reactions(totals: DataFrame) -> DataFrame:
+    """Reactions by how often they occur; equally frequent ones by name."""
+    return totals.orderBy(F.desc("n"), "reaction")
+
+
 def total(column: str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
@@ -88,6 +93,32 @@ def platform_totals(posts: DataFrame) -> DataFrame:
     )
 
 
+#: What the report says of each platform's posts: column of the summary, and of the posts.
+SUMMED = {
+    "telegram": {"total_views": "views", "total_forwards": "forwards", "total_reply_count": "reply_count"},
+    "x": {"total_views": "views", "total_likes": "reactions", "total_reposts": "shares", "total_quotes": "forwards", "total_replies": "reply_count"},
+    "instagram": {"total_likes": "reactions", "total_comments_visible": "comments_count"},
+}
+SUMMED["threads"] = SUMMED["x"]
+
+
+def platform_summary(platform: str, posts: DataFrame, comments: DataFrame, run: DataFrame) -> DataFrame:
+    """One row of what a platform's report begins with, and `reactions`, array<struct<reaction, n>>, most frequent first. run: one row of
+    collection_runs."""
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    reels = [F.count_if(F.lower(or_empty(F.col("media_type"))) == "reel").alias("reels_count")] if platform == "instagram" else []
+    summed = one(posts.agg(*(total(c).alias(name) for name, c in SUMMED[platform].items()), *reels))
+    # a row a kind of reaction, of which there are few
+    each = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "reaction", "n"))), lambda x: F.struct(x["reaction"].alias("reaction"), x["n"].alias("n")))
+    summed = summed.join(one(reaction_totals(posts, comments).agg(each.alias("reactions"))), "_one")
+    if platform == "instagram":
+        summed = summed.join(one(comments.agg(F.count("*").alias("total_comments_extracted"))), "_one")
+    if platform == "telegram":
+        facts = run.agg(F.coalesce(F.first("discussion_linked"), F.lit(False)).alias("discussion_linked"), F.coalesce(F.first("filtered_service_message_count"), F.lit(0)).alias("filtered_service_message_count"))
+        summed = summed.join(one(facts), "_one")
+    return summed.drop("_one")
+
+
 def cluster_members(memberships: DataFrame) -> DataFrame:
     return memberships.groupBy("item_type", "cluster_id").agg(F.count("*").alias("member_count"))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forumetry.operators import metrics, narratives, normalize, overrides, stance, summaries
+from forumetry.operators import clustering, metrics, narratives, normalize, overrides, providers, stance, summaries
 from forumetry.plans.common import SIDES, comment_items, memberships, post_items, stances, with_
-from forumetry.sources.adapters import comments, posts, propagations
+from forumetry.schemas import TABLES
+from forumetry.sources.adapters import comments, posts, propagations, table
 
 _COUNTS = ", ".join(f"count(*) FILTER (label = '{x}') AS {x}_count" for x in metrics.COUNTS)
 _RATIOS = "support_count / greatest(support_count + oppose_count + neutral_count, 1) AS support_ratio, support_count - oppose_count AS net_support"
@@ -190,3 +191,30 @@ def _cached(spark, sf, new: bool):
 
 _add("cache_misses", lambda spark, sf: _cached(spark, sf, True), "SELECT DISTINCT sha256(message) AS text_hash, side_id, label FROM stances JOIN comments ON item_id = comment_id WHERE length(message) % 2 = 1", "stances")
 _add("cached_stances", lambda spark, sf: _cached(spark, sf, False), "SELECT * FROM stances", "stances")
+
+
+# Density clusters: no SQL has them; tests compare them with a version that tries every distance. Each vector is a point of its own.
+QUERIES["hdbscan_clusters"] = lambda spark, sf: clustering.density_clusters(table(spark, sf, "embeddings").select(F.lit("vector").alias("item_type"), F.col("vec_id").cast("string").alias("item_id"), "embedding"), 5, 3)
+_add(
+    "cluster_first_texts", lambda spark, sf: narratives.first_texts(memberships(comments(spark, sf))).select("item_type", "cluster_id", F.array_join("texts", "|").alias("texts")),
+    "SELECT item_type, cluster_id, string_agg(text, '|' ORDER BY rank) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord) AS rank FROM memberships) WHERE rank <= 3 GROUP BY ALL", "memberships",
+)
+_add(
+    "exemplar_quotes", lambda spark, sf: narratives.quotes(summaries.clusters_with_counts(_clusters(spark, sf), memberships(comments(spark, sf))), comments(spark, sf)).select("cluster_id", "rank", "place", "text"),
+    f"""SELECT e.cluster_id, CAST(r AS INT) AS rank, e.rank - 1 AS place, left(c.message, 280) AS text FROM ({_EXEMPLARS}) e JOIN comments c ON e.item_id = c.comment_id
+        JOIN (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) AS r FROM memberships GROUP BY 1) USING (cluster_id) WHERE e.rank <= 2 AND r <= 8""", "memberships",
+)
+
+
+def _embedded(spark, sf, new: bool):
+    """Items are embedded twice: first some, then all, of which only new texts are embedded anew."""
+    items = post_items(posts(spark, sf)).drop("parent_post_id")
+    empty = spark.createDataFrame([], TABLES["embedding_cache"])
+    key = providers.provider_key("hash", "hash", "", 64, None)
+    _, cache = providers.cached_embeddings(items.where("length(text) % 2 = 0"), empty, key, "2026-01-01", 64)
+    vectors, fresh = providers.cached_embeddings(items, cache, key, "2026-01-02", 64)
+    return fresh.select("text_hash", "provider_key", "created_at") if new else vectors.select("item_id", F.round(F.aggregate(F.transform("embedding", lambda x: x * x), F.lit(0.0), lambda a, x: a + x), 6).alias("squares"))
+
+
+_add("embedding_misses", lambda spark, sf: _embedded(spark, sf, True), "SELECT DISTINCT sha256(text) AS text_hash, 'hash|hash||64|' AS provider_key, '2026-01-02' AS created_at FROM post_items WHERE length(text) % 2 = 1", "post_items")
+_add("cached_embeddings", lambda spark, sf: _embedded(spark, sf, False), ORACLE_SQL["hash_embedding_norm"])

@@ -8,16 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumetry.config import Config
-from forumetry.operators import merge, metrics, narratives, normalize, overrides, report, stance, store
-from forumetry.schemas import MANIFEST, TABLES
+from forumetry.operators import clustering, merge, metrics, narratives, normalize, overrides, providers, report, stance, store
+from forumetry.schemas import MANIFEST
 from forumetry.sources import manifests
 
 
-def one_cluster(items: DataFrame) -> DataFrame:
-    """(item_type, item_id, cluster): every item of a type in one cluster, as if no density could be told apart."""
-    return items.select("item_type", "item_id", F.lit("0").alias("cluster"))
-
-
 def normalize_run(spark: SparkSession, config: Config, raw: str, root: str, run_id: str) -> dict[str, DataFrame]:
     """Merges the run with the runs before that go together with it, and upserts the eight tables."""
     read = manifests.read_manifests(spark, f"{raw}/*/manifest.json")
@@ -41,23 +36,35 @@ def items_of_run(t: dict[str, DataFrame], limit: int | None = None) -> DataFrame
     return posts.unionByName(shares).unionByName(stance.items_of(t["comments"], "comment", "comment_id", "parent_post_id", limit))
 
 
-def analyze_run(spark: SparkSession, config: Config, root: str, run_id: str, now: str, clusters: Callable[[DataFrame], DataFrame] = one_cluster) -> dict[str, DataFrame]:
-    """Languages, clusters, stances and support of a run. Texts that the stance cache has are not labelled again. `clusters` assigns items to
-    clusters; a null one is noise."""
+def analyze_run(
+    spark: SparkSession, config: Config, root: str, run_id: str, now: str, embedder: providers.EmbeddingProvider | None = None, model: providers.TextModel | None = None,
+    clusters: Callable[[DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """Languages, embeddings, clusters, stances and support of a run. Texts that the caches have are neither embedded nor labelled again. `clusters`
+    assigns items with embeddings to clusters, by density unless another function is given; a null one is noise."""
     t = {n: store.load(spark, root, n).where(F.col("run_id") == run_id) for n in ("posts", "propagations", "comments")}
     items = store.checkpointed(items_of_run(t, config.max_items))
     stamped = lambda df, name: normalize.shaped(df.withColumn("run_id", F.lit(run_id)), name)
-    assigned = clusters(items).withColumn("cluster_id", F.concat_ws("-", "item_type", F.coalesce("cluster", F.lit("noise"))))
-    members = items.join(assigned.select("item_type", "item_id", "cluster_id"), ["item_type", "item_id"])
-    labels, fresh = stance.cached_labels(items.drop("parent_post_id"), store.load(spark, root, "stance_cache"), list(config.sides), "heuristic_llm", now)
+    names = embedder.name if embedder else providers.HASH, model.name if model else providers.HEURISTIC
+    key = providers.provider_key(names[0], config.embedding_kind, config.embedding_model, config.dimension, config.embedding_url)
+    vectors, embedded = providers.cached_embeddings(items, store.load(spark, root, "embedding_cache"), key, now, config.dimension, embedder, config.batch_size)
+    vectors = store.checkpointed(vectors)  # before the cache that it reads is written
+    store.upsert(normalize.shaped(embedded, "embedding_cache"), root, "embedding_cache")
+    by_density = lambda df: clustering.density_clusters(df, config.min_cluster_size, config.min_samples)
+    assigned = (clusters or by_density)(vectors).withColumn("cluster_id", F.concat_ws("-", "item_type", F.coalesce("cluster", F.lit("noise"))))
+    members = store.checkpointed(items.join(assigned.select("item_type", "item_id", "cluster_id"), ["item_type", "item_id"]).withColumn("ord", F.col("item_id")))
+    by_model = (lambda texts: providers.model_labels(texts, list(config.sides), model)) if model else None
+    labels, fresh = stance.cached_labels(items.drop("parent_post_id"), store.load(spark, root, "stance_cache"), list(config.sides), names[1], now, by_model)
     labels = store.checkpointed(labels)
     store.upsert(normalize.shaped(fresh, "stance_cache"), root, "stance_cache")
     support = metrics.support_metrics(labels, t["comments"], members.where("item_type = 'comment'"))
     counts = items.groupBy().pivot("item_type", ["post", "propagation", "comment"]).count()
-    run = counts.select(F.lit("hash").alias("embedding_provider"), F.lit("heuristic_llm").alias("llm_provider"), F.to_json(F.struct(*counts.columns)).alias("item_counts"), F.lit(now).alias("created_at"))
+    run = counts.select(F.lit(names[0]).alias("embedding_provider"), F.lit(names[1]).alias("llm_provider"), F.to_json(F.struct(*counts.columns)).alias("item_counts"), F.lit(now).alias("created_at"))
+    narrated = narratives.summaries(members, run_id, config.exemplar_count)
+    if model:
+        narrated = providers.model_summaries(narrated, narratives.first_texts(members), model)
     made = {
-        "detected_languages": stance.detect_languages(items), "cluster_memberships": members, "narrative_clusters": narratives.summaries(members.withColumn("ord", F.col("item_id")), run_id),
-        "stance_labels": labels, "support_metrics": support, "analysis_runs": run,
+        "detected_languages": stance.detect_languages(items), "cluster_memberships": members, "narrative_clusters": narrated, "stance_labels": labels, "support_metrics": support, "analysis_runs": run,
     }
     return {name: store.upsert(stamped(df, name), root, name) for name, df in made.items()}
 
@@ -80,8 +87,8 @@ def review_sheets(spark: SparkSession, root: str, review: str, run_id: str) -> d
     return out
 
 
-def report_run(spark: SparkSession, root: str, review: str, run_id: str) -> dict[str, DataFrame]:
-    """The report's tables, with corrections applied before anything is counted."""
+def report_run(spark: SparkSession, root: str, review: str, run_id: str, raw: str | None = None) -> dict[str, DataFrame]:
+    """The report's tables, with corrections applied before anything is counted. Source runs are traced by their snapshots below `raw`."""
     names = ("posts", "propagations", "comments", "collection_runs", "stance_labels", "cluster_memberships", "narrative_clusters", "detected_languages")
     t = {n: store.load(spark, root, n).where(F.col("run_id") == run_id) for n in names}
     if store.exists(spark, f"{review}/narrative_overrides"):
@@ -90,5 +97,5 @@ def report_run(spark: SparkSession, root: str, review: str, run_id: str) -> dict
         t["narrative_clusters"] = normalize.shaped(t["narrative_clusters"], "narrative_clusters")
     if store.exists(spark, f"{review}/stance_overrides"):
         t["stance_labels"] = overrides.stances(t["stance_labels"], store.read_csv(spark, f"{review}/stance_overrides"))
-    assert set(t) <= set(TABLES)
-    return report.tables(t, run_id)
+    seen = manifests.read_manifests(spark, f"{raw}/*/manifest.json", strict=False) if raw else None
+    return report.tables(t, run_id, seen)
