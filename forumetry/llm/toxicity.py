@@ -16,10 +16,12 @@ is replaced.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +75,20 @@ def swaps(text: str, groups=IDENTITY) -> list[str]:
     return [pattern.sub(turn(by), lower) for by in range(1, max(len(g) for g, _ in present))]
 
 
+def swap_changes(text: str, place: dict[str, tuple[tuple[str, ...], int]]) -> tuple[list[int], list[list[int]], list[list[int]]]:
+    """Features of a text, and those that each of its `swaps` adds and takes; place: group and place in it of each term."""
+    of_word = {w: word_features(w) for w in set(words_of(text.lower()))}
+    counts = Counter(f for fs in of_word.values() for f in fs)
+    present, gained, lost = [w for w in of_word if w in place], [], []
+    for by in range(1, max((len(place[w][0]) for w in present), default=1)):
+        new = {g[(k + by) % len(g)] for g, k in map(place.__getitem__, present)}
+        change: Counter[int] = Counter(f for w in new if w not in of_word for f in word_features(w))
+        change.subtract(f for w in present if w not in new for f in of_word[w])
+        gained.append(sorted(f for f, c in change.items() if c > 0 and f not in counts))
+        lost.append(sorted(f for f, c in change.items() if f in counts and counts[f] + c <= 0))
+    return sorted(counts), gained, lost
+
+
 def slot_groups(rows: DataFrame, share: float = SLOT_SHARE, most: int = SLOT_WORDS, size: int = SLOT_SIZE, cosine: float = SLOT_COSINE) -> tuple[tuple[str, ...], ...]:
     """Groups of up to `size` words that stand between the same neighbours in rows (label, text).
 
@@ -144,6 +160,11 @@ class Rows:
     def of(lists: list[np.ndarray]) -> Rows:
         return Rows(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([len(x) for x in lists], dtype=np.int64))
 
+    @staticmethod
+    def from_lists(lists: pa.ChunkedArray) -> Rows:
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        return Rows(pc.list_flatten(lists).to_numpy().astype(np.int64), np.cumsum(sizes))
+
     def sizes(self) -> np.ndarray:
         return np.diff(self.ends, prepend=0)
 
@@ -194,16 +215,20 @@ def learn(
     Swapped terms are `groups` and, with `slots`, also the sample's own."""
 
     def lists(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts = batch["text"].to_pylist()
-        return {"has": pa.array([sorted(features(t)) for t in texts], pa.list_(pa.int32())), "swapped": pa.array([[sorted(features(s)) for s in swaps(t, groups)] for t in texts], pa.list_(pa.list_(pa.int32())))}
+        place = {term: (group, k) for group in groups for k, term in enumerate(group)}
+        made = [swap_changes(t, place) for t in batch["text"].to_pylist()]
+        kinds = (pa.list_(pa.int32()), *[pa.list_(pa.list_(pa.int32()))] * 2)
+        return {c: pa.array([x[k] for x in made], kind) for k, (c, kind) in enumerate(zip(changes, kinds, strict=True))}
 
+    changes = {"has": "array<int>", "gained": "array<array<int>>", "lost": "array<array<int>>"}
     rows = labelled.sample(docs, labels, label, F.lit(False) if held is None else held, most)
     if slots:
         rows = saved(rows, "toxicity-sample")
         listed = {term for group in groups for term in group}
         found = (tuple(w for w in group if w not in listed) for group in slot_groups(rows))
         groups = (*groups, *(group for group in found if len(group) > 1))
-    rows = saved(add_columns(rows, lists, {"has": "array<int>", "swapped": "array<array<int>>"}).select("label", "has", "swapped"), "toxicity-features")
+    # in an order of the texts, since that of the rows must not change the weights
+    rows = saved(add_columns(rows.withColumn("at", F.xxhash64("text")), lists, changes).select("at", "label", *changes), "toxicity-features")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = rows.select("label", F.explode("has").alias("f")).groupBy("f").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("k")).where("k >= 3")
     # likelihood ratio of the 2 x 2 table of feature and label
@@ -216,14 +241,21 @@ def learn(
     chosen = np.union1d(few.toArrow()["f"].to_numpy(), np.array(terms)).astype(np.int64) if 0 < ones < n else np.zeros(0, np.int64)
 
     def pick(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        inside = lambda x: np.flatnonzero(np.isin(chosen, np.array(x or [], np.int64))).tolist()
-        return {"has": pa.array(list(map(inside, batch["all"].to_pylist())), pa.list_(pa.int32())), "swapped": pa.array([list(map(inside, s)) for s in batch["versions"].to_pylist()], pa.list_(pa.list_(pa.int32())))}
-
-    got = add_columns(rows.withColumnsRenamed({"has": "all", "swapped": "versions"}), pick, {"has": "array<int>", "swapped": "array<array<int>>"}).select("label", "has", "swapped").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["label"], r["has"], r["swapped"]))  # the order of rows must not change the weights
-    x, y = Rows.of([np.array(r["has"], np.int64) for r in got]), np.array([r["label"] for r in got], np.float64)
-    swaps_of = [(set(r["has"]), set(s)) for r in got for s in r["swapped"]]
-    gained, lost = (Rows.of([np.array(sorted(d), np.int64) for d in ds]) for ds in ([b - a for a, b in swaps_of], [a - b for a, b in swaps_of]))
+        return {c: places(batch[f"all_{c}"]) for c in changes}
+
+    def places(lists: pa.ListArray) -> pa.Array:
+        """Feature hashes as places among the chosen ones; others go."""
+        if not pa.types.is_integer(lists.type.value_type):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int32)), places(lists.flatten()))
+        found = lists.flatten().to_numpy().astype(np.int64)
+        at = np.minimum(np.searchsorted(chosen, found), max(0, len(chosen) - 1))
+        hit = chosen[at] == found if len(chosen) else np.zeros(len(found), bool)
+        ends = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[hit].astype(np.int32)))
+
+    got = add_columns(rows.withColumnsRenamed({c: f"all_{c}" for c in changes}), pick, changes).select("at", "label", *changes).orderBy("at", "label").toArrow()
+    x, gained, lost = Rows.from_lists(got["has"]), *(Rows.from_lists(pc.list_flatten(got[c])) for c in ("gained", "lost"))
+    y = got["label"].to_numpy().astype(np.float64)
     weights, bias = fit(x, y, gained, lost, len(chosen), swap_penalty)
     return Linear(chosen, weights, bias)
 

@@ -175,3 +175,17 @@ def test_slot_groups_are_words_that_swap(spark):
     groups = [set(g) for g in toxicity.slot_groups(spark.createDataFrame(rows, "label int, text string"))]
     assert {"alpha", "beta", "gamma"} in groups and {"ten", "six"} in groups and not any("trash" in g for g in groups)
     assert toxicity.slot_groups(spark.createDataFrame([], "label int, text string")) == ()
+
+
+def test_swap_changes_equal_those_of_swapped_texts():
+    rng = random.Random(2)
+    groups = (("women", "men", "girls", "boys"), ("the", "this"), ("womens", "mens", "girlish"))
+    place = {t: (g, k) for g in groups for k, t in enumerate(g)}
+    terms = [*place, "womenfolk", "mend", "thesis", "house", "girl"]
+    for n in range(60):
+        text = " ".join(rng.choice(terms) for _ in range(n % 9))
+        has, gained, lost = toxicity.swap_changes(text, place)
+        own = toxicity.features(text)
+        assert set(has) == own
+        versions = [toxicity.features(t) for t in toxicity.swaps(text, groups)]
+        assert [set(x) for x in gained] == [v - own for v in versions] and [set(x) for x in lost] == [own - v for v in versions]
