@@ -37,7 +37,7 @@ def scan_limit(page: Column, expected: Column) -> Column:
 
 def article_limit(expected: Column, aggressive: Column) -> Column:
     """How many comments to take from a page, by how many are expected."""
-    return F.when(aggressive, F.when(expected >= 100, 420).otherwise(320)).when(expected >= 100, 280).when(expected >= 30, 240).otherwise(220)
+    return F.when(aggressive, F.when(expected >= 80, 420).otherwise(320)).when(expected >= 80, 280).when(expected >= 30, 240).otherwise(220)
 
 
 def retry_needed(visible: Column, found: Column) -> Column:
@@ -46,7 +46,7 @@ def retry_needed(visible: Column, found: Column) -> Column:
 
 
 def parents_first(edges: DataFrame) -> DataFrame:
-    """edges (comment_id, parent_comment_id, created_at) with `rank` in an order in which parents come before their answers: by depth, then time."""
+    """edges (comment_id, parent_comment_id, parent_post_id, created_at) with `rank` in an order in which parents come before their answers: by depth, then time."""
     from pyspark.sql import Window
 
     from forumetry.operators.normalize import comment_depths
