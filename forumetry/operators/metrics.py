@@ -30,10 +30,15 @@ def support_metrics(stances: DataFrame, comments: DataFrame, memberships: DataFr
     """
     own = stances.where("item_type = 'comment'").select("item_id", "side_id", "label")
     at = comments.select(F.col("comment_id").alias("item_id"), "parent_entity_type", "parent_entity_id", "origin_post_id")
-    in_cluster = memberships.where("item_type = 'comment'").select("item_id", "cluster_id")
     met = own.join(at, "item_id", "left")
     if "narrative_cluster" in only:
-        met = met.join(in_cluster, "item_id", "left")
+        met = met.join(memberships.where("item_type = 'comment'").select("item_id", "cluster_id"), "item_id", "left")
+    return scope_counts(met, only)
+
+
+def scope_counts(labelled: DataFrame, only: tuple[str, ...] = SCOPES) -> DataFrame:
+    """The same from stances that carry the scopes of their comment (side_id, label, parent_entity_type, parent_entity_id, origin_post_id,
+    cluster_id), as `label_items` leaves them: then nothing is joined."""
     scope = lambda kind, value, when: F.when(when, F.struct(F.lit(kind).alias("scope_type"), value.cast("string").alias("scope_id")))
     kind, entity, origin = F.col("parent_entity_type"), F.col("parent_entity_id"), F.col("origin_post_id")
     has = lambda c: c.isNotNull() & (c != "")
@@ -45,7 +50,7 @@ def support_metrics(stances: DataFrame, comments: DataFrame, memberships: DataFr
         "narrative_cluster": lambda: scope("narrative_cluster", F.col("cluster_id"), F.col("cluster_id").isNotNull()),
     }
     scopes = F.array_compact(F.array(*(of[x]() for x in only)))
-    return with_ratios(met.select("side_id", "label", F.explode(scopes).alias("s")).groupBy("s.scope_type", "s.scope_id", "side_id").agg(*measures()))
+    return with_ratios(labelled.select("side_id", "label", F.explode(scopes).alias("s")).groupBy("s.scope_type", "s.scope_id", "side_id").agg(*measures()))
 
 
 def conflicts(stances: DataFrame, comments: DataFrame, posts: DataFrame, top: int | None = 8) -> DataFrame:

@@ -30,6 +30,13 @@ def stances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stance.label_items(comment_items(adapters.comments(spark, sf_dir)).drop("parent_post_id"), SIDES)
 
 
+def scoped_stances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stances of comments with the scopes that they count in."""
+    c = adapters.comments(spark, sf_dir).where(F.length("message") > 0)
+    own = c.select(F.lit("comment").alias("item_type"), F.col("comment_id").alias("item_id"), F.col("message").alias("text"), "parent_entity_type", "parent_entity_id", "origin_post_id", F.expr(_MEMBERS).alias("cluster_id"))
+    return stance.label_items(own, SIDES)
+
+
 def _hits(column: str, words: tuple[str, ...]) -> str:
     return "(" + " + ".join(["0", *(f"CAST(contains({column}, '{w.lower()}') AS INT)" for w in words)]) + ")"
 

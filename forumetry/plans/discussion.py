@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forumetry.operators import clustering, metrics, narratives, normalize, overrides, providers, stance, summaries
-from forumetry.plans.common import SIDES, comment_items, memberships, post_items, stances, with_
+from forumetry.plans.common import SIDES, comment_items, memberships, post_items, scoped_stances, stances, with_
 from forumetry.schemas import TABLES
 from forumetry.sources.adapters import comments, posts, propagations, table
 
@@ -40,6 +40,7 @@ _SUPPORT = {
     "support_by_cluster": ("narrative_cluster",), "support_all_scopes": metrics.SCOPES,
 }
 QUERIES = {name: _support(*scopes) for name, scopes in _SUPPORT.items()}
+QUERIES["support_all_scopes"] = lambda spark, sf: metrics.scope_counts(scoped_stances(spark, sf))
 ORACLE_SQL = {name: _support_sql(*scopes) for name, scopes in _SUPPORT.items()}
 
 

@@ -57,7 +57,7 @@ def analyze_run(
     labels, fresh = stance.cached_labels(items.drop("parent_post_id"), store.load(spark, root, "stance_cache"), list(config.sides), names[1], now, by_model)
     labels = store.checkpointed(labels)
     store.upsert(normalize.shaped(fresh, "stance_cache"), root, "stance_cache")
-    support = metrics.support_metrics(labels, t["comments"], members.where("item_type = 'comment'"))
+    support = metrics.support_metrics(labels, t["comments"], members)
     counts = items.groupBy().pivot("item_type", ["post", "propagation", "comment"]).count()
     run = counts.select(F.lit(names[0]).alias("embedding_provider"), F.lit(names[1]).alias("llm_provider"), F.to_json(F.struct(*counts.columns)).alias("item_counts"), F.lit(now).alias("created_at"))
     narrated = narratives.summaries(members, run_id, config.exemplar_count)
