@@ -42,38 +42,56 @@ def propagation_rows(posts: DataFrame) -> DataFrame:
 
 
 def tables_of(manifests: DataFrame, source_runs: list[str] | None = None) -> dict[str, DataFrame]:
-    """The eight tables of merged snapshots (one row a run, by the MANIFEST schema)."""
-    runs = F.array(*(F.lit(r) for r in source_runs)) if source_runs else F.array("run_id")
+    """The eight tables of snapshots (one row a run, by the MANIFEST schema)."""
     posts = manifests.select("run_id", F.posexplode("posts").alias("_p", "post")).select("run_id", "_p", "post.*")
+    of_post = (F.col("is_propagation").alias("_shared"), F.col("post_id").alias("_post"), F.col("origin_post_id").alias("_origin"))
+    comments = posts.select("run_id", "_p", *of_post, F.posexplode("comments").alias("_c", "comment")).select("run_id", "_p", "_shared", "_post", "_origin", "_c", "comment.*")
+    media = posts.select("run_id", "_p", F.posexplode("media_refs").alias("_m", "media")).select("run_id", "_p", "_m", "media.*")
+    shared = lambda p: F.coalesce(p["is_propagation"], F.lit(False))
+    runs = manifests.withColumns({
+        "post_count": F.size(F.filter("posts", lambda p: ~shared(p))), "propagation_count": F.size(F.filter("posts", shared)),
+        "comment_count": F.aggregate("posts", F.lit(0), lambda n, p: n + F.greatest(F.size(p["comments"]), F.lit(0))),
+    })
+    return flat_tables(runs, posts.drop("comments", "media_refs"), comments, media, _authors(manifests, posts, comments), source_runs)
+
+
+def flat_tables(runs: DataFrame, posts: DataFrame, comments: DataFrame, media: DataFrame, authors: DataFrame, source_runs: list[str] | None = None) -> dict[str, DataFrame]:
+    """The eight tables of rows of runs (with their counts), posts (run_id, and as in a snapshot), comments (the same, and _post, _shared and
+    _origin of their post), media and authors."""
+    ids = F.array(*(F.lit(r) for r in source_runs)) if source_runs else F.array("run_id")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("reactions", "shares", "comments_count")} | {c: F.coalesce(c, F.lit(False)) for c in ("is_propagation", "has_media")}
     posts = posts.withColumns({**zero, "origin_post_id": or_null("origin_post_id"), "author_id": F.col("author.author_id")})
-    comments = posts.select("run_id", "_p", F.col("is_propagation").alias("_shared"), F.col("post_id").alias("_post"), F.col("origin_post_id").alias("_origin"), F.posexplode("comments").alias("_c", "comment"))
-    scope = comment_scope(F.col("_shared"), F.col("_post"), F.col("_origin"), F.col("comment.parent_entity_type"), F.col("comment.parent_entity_id"), F.col("comment.origin_post_id"))
-    comments = comments.withColumn("_scope", scope).select("run_id", "_p", "_c", "comment.*", "_scope").drop("parent_entity_type", "parent_entity_id", "origin_post_id").select("*", "_scope.*")
+    scope = comment_scope(F.col("_shared"), F.col("_post"), or_null("_origin"), F.col("parent_entity_type"), F.col("parent_entity_id"), F.col("origin_post_id"))
+    comments = comments.withColumn("_scope", scope).drop("parent_entity_type", "parent_entity_id", "origin_post_id").select("*", "_scope.*")
     comments = comments.withColumns({"reactions": F.coalesce("reactions", F.lit(0)), "depth": F.coalesce("depth", F.lit(0)), "author_id": F.col("author.author_id")})
-    authors = _authors(manifests, posts, comments)
-    media = posts.select("run_id", "_p", F.posexplode("media_refs").alias("_m", "media")).select("run_id", "_p", "_m", "media.*")
-    counted = {
-        "warning_count": F.size(F.coalesce("warnings", F.array().cast("array<string>"))), "warning_messages": F.coalesce("warnings", F.array().cast("array<string>")),
-        "post_count": F.size(F.filter("posts", lambda p: ~F.coalesce(p["is_propagation"], F.lit(False)))), "propagation_count": F.size(F.filter("posts", lambda p: F.coalesce(p["is_propagation"], F.lit(False)))),
-        "comment_count": F.aggregate("posts", F.lit(0), lambda n, p: n + F.greatest(F.size(p["comments"]), F.lit(0))), "source_run_count": F.size(runs), "source_run_ids": runs,
+    none = F.array().cast("array<string>")
+    told = {
+        "warning_count": F.size(F.coalesce("warnings", none)), "warning_messages": F.coalesce("warnings", none), "source_run_count": F.size(ids), "source_run_ids": ids,
         "fallback_used": F.coalesce("fallback_used", F.lit(False)), "status": F.coalesce("status", F.lit("success")),
     }
     of_source = {c: F.col(f"source.{c}") for c in ("platform", "source_id", "source_name", "source_type", "discussion_linked")}
-    collected = manifests.withColumns(counted | of_source | {"filtered_service_message_count": F.coalesce("source.filtered_service_message_count", F.lit(0))})
+    collected = runs.withColumns(told | of_source | {"filtered_service_message_count": F.coalesce("source.filtered_service_message_count", F.lit(0))})
     shares = propagation_rows(posts)
     made = {"posts": posts, "propagations": shares, "propagation_edges": shares, "comments": comments, "comment_edges": comments, "authors": authors, "media_refs": media, "collection_runs": collected}
     return {name: shaped(df, name) for name, df in made.items()}
 
 
+def source_author(runs: DataFrame, *more: Column) -> DataFrame:
+    """The source of each run as an author."""
+    return runs.select(F.col("source.source_id").alias("author_id"), F.col("source.source_name").alias("name"), F.col("source.source_url").alias("profile_url"), F.col("source.source_collector").alias("source_collector"), "run_id", *more)
+
+
+def mentions(rows: DataFrame, *more: Column) -> DataFrame:
+    """The author of each post or comment."""
+    return rows.select(*(F.col(f"author.{c}").alias(c) for c in ("author_id", "name", "profile_url")), "source_collector", "run_id", *more)
+
+
 def _authors(manifests: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFrame:
     """The last mention of each author, in the order source, posts, each post's comments after it."""
-    shape = lambda a, by, at_: (F.col(f"{a}.author_id").alias("author_id"), F.col(f"{a}.name").alias("name"), F.col(f"{a}.profile_url").alias("profile_url"), by.alias("source_collector"), "run_id", at_)
-    source = manifests.select(F.col("source.source_id").alias("author_id"), F.col("source.source_name").alias("name"), F.col("source.source_url").alias("profile_url"), F.col("source.source_collector").alias("source_collector"), "run_id", F.struct("run_id", F.lit(-1).alias("p"), F.lit(-1).alias("c")).alias("_at"))
-    of_posts = posts.select(*shape("author", F.col("source_collector"), F.struct("run_id", F.col("_p").alias("p"), F.lit(-1).alias("c")).alias("_at")))
-    of_comments = comments.select(*shape("author", F.col("source_collector"), F.struct("run_id", F.col("_p").alias("p"), F.col("_c").alias("c")).alias("_at")))
-    every = source.unionByName(of_posts).unionByName(of_comments).where(or_null("author_id").isNotNull())
-    return last_of(every, ["author_id"], "_at").drop("_at")
+    at = lambda p, c: F.struct("run_id", p.alias("p"), c.alias("c")).alias("_at")
+    none = F.lit(-1)
+    every = source_author(manifests, at(none, none)).unionByName(mentions(posts, at(F.col("_p"), none))).unionByName(mentions(comments, at(F.col("_p"), F.col("_c"))))
+    return last_of(every.where(or_null("author_id").isNotNull()), ["author_id"], "_at").drop("_at")
 
 
 def comment_depths(edges: DataFrame) -> DataFrame:

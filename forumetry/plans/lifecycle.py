@@ -25,8 +25,7 @@ def normalize_run(spark: SparkSession, config: Config, raw: str, root: str, run_
         runs = [r.run_id for r in merge.compatible_runs(read, run_id, config.merge_recent_runs).collect()]
         if not runs:
             raise ValueError(f"no snapshot of {run_id}")
-    merged = store.checkpointed(merge.merge_manifests(read, runs, run_id, MANIFEST))
-    return {name: store.upsert(df, root, name) for name, df in normalize.tables_of(merged, runs).items()}
+    return {name: store.upsert(df, root, name) for name, df in merge.merged_tables(read, runs, run_id, MANIFEST).items()}
 
 
 def items_of_run(t: dict[str, DataFrame], limit: int | None = None) -> DataFrame:

@@ -161,3 +161,23 @@ _add(
        UNION ALL SELECT 'Propagation instances were detected, but no comments were extracted from propagated copies in this run.' WHERE EXISTS (FROM posts WHERE is_propagation) AND NOT EXISTS (FROM comments WHERE parent_entity_type = 'propagation'))""",
     "comments", runs=_RUNS, w=_WARNINGS,
 )
+
+
+def _seen_comments(spark, sf):
+    """Every comment as two runs saw it."""
+    c = adapters.table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("run", F.explode(F.array(F.lit(0), F.lit(1))))
+    of_run = lambda k, value: F.when(F.col("run") == k, value)
+    kind = MANIFEST["posts"].dataType.elementType["comments"].dataType.elementType
+    made = {
+        "comment_id": F.concat_ws(":", "conv_id", "turn"), "platform": F.lit("x"), "parent_post_id": F.concat(F.lit("p:"), "conv_id"), "created_at": of_run(1, F.concat(F.lit("t"), "turn")), "permalink": F.concat(F.lit("l"), "run"), "reactions": F.col("turn") * (1 - F.col("run")),
+        "message": F.concat("text", F.when((F.col("run") == 1) & (F.col("turn") % 2 == 0), "!").otherwise("")), "depth": F.col("turn"), "source_collector": F.concat(F.lit("c"), "run"), "raw_path": of_run(0, F.lit("raw")), "author": of_run(1, F.struct(F.col("role").alias("author_id"), F.lit("N").alias("name"), F.lit(None).cast("string").alias("profile_url"))),
+    }
+    shaped = c.select(F.col("conv_id").alias("_post"), F.struct("run", "turn").alias("ord"), *(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    return merge.merged_comments(shaped, ["_post", "comment_id"]).select("comment_id", "parent_post_id", "created_at", "permalink", "reactions", "message", "depth", "source_collector", "raw_path", F.col("author.author_id").alias("author_id"))
+
+
+_add(
+    "merge_runs_comments", _seen_comments,
+    """SELECT concat(conv_id, ':', turn) AS comment_id, concat('p:', conv_id) AS parent_post_id, concat('t', turn) AS created_at, 'l0' AS permalink, turn AS reactions, coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN '!' ELSE '' END AS message, turn AS depth,
+              'c1' AS source_collector, 'raw' AS raw_path, coalesce(role, '') AS author_id FROM conversations""",
+)
