@@ -115,10 +115,6 @@ def canonical_post_text(text: Column) -> Column:
     return stripped(F.regexp_replace(F.regexp_replace(folded, r"(?md)^@\S.*$", ""), r"(?U)\s+", " "))
 
 
-def json_cell(value: Column, empty: str) -> Column:
-    """A list or struct as JSON; `empty` for null."""
-    return F.coalesce(F.to_json(value), F.lit(empty))
-
-
 def safe_int(text: Column) -> Column:
+    """The whole number that a text is; null for anything else."""
     return F.trim(text.cast("string")).try_cast("long")

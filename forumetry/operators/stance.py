@@ -39,7 +39,7 @@ def hits(text: Column, markers: tuple[str, ...]) -> Column:
 
 
 def stance(text: Column, side: Side) -> Column:
-    """struct<label, confidence> of a text towards a side."""
+    """struct<label, confidence> of a text towards a side. Labels and confidences."""
     low = F.lower(or_empty(text))
     mentioned = hits(low, side.names) > 0
     own_for, own_against = hits(low, side.support), hits(low, side.oppose)
@@ -85,7 +85,7 @@ def cached_labels(items: DataFrame, cache: DataFrame, sides: list[Side], key: st
 
 
 def language(text: Column) -> Column:
-    """struct<language, confidence, method> by scripts and words that only one language has."""
+    """struct<language, confidence, method> by scripts and words that only one language has. Letters, confidences and methods."""
     bare = F.trim(F.regexp_replace(or_empty(text), r"^(?U)\s+|(?U)\s+$", ""))
     low = F.lower(bare)
     result = lambda name, confidence, how: F.struct(F.lit(name).alias("language"), F.lit(confidence).alias("confidence"), F.lit(how).alias("method"))

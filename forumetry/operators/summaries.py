@@ -140,6 +140,7 @@ def quality_warnings(run: DataFrame, posts: DataFrame, propagations: DataFrame,
         ("below_shares", comments.agg(F.count_if(F.col("parent_entity_type") == "propagation").alias("n"))),
     ):
         facts = facts.join(df.select(F.lit(1).alias("_one"), F.col("n").alias(name)), "_one")
+    # fixed values: the sentences, in the order in which they are shown
     rules = (
         (F.col("fallback_used"), F.lit("Collector fallback was used for this run.")),
         (F.col("source_run_count") > 1, F.concat(F.lit("Normalized snapshot merged "), F.col("source_run_count"), F.lit(" recent collection runs."))),

@@ -8,6 +8,7 @@ from forumetry.functions import text, times, urls
 from forumetry.operators import matching, normalize
 from forumetry.plans.common import with_
 from forumetry.sources.adapters import posts, table
+from forumetry.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -103,3 +104,11 @@ _add(
          CASE doc_id % 4 WHEN 0 THEN 'See more ' || text WHEN 1 THEN left(text, 40) WHEN 2 THEN '@someone says' || chr(10) || text || '… See more' ELSE text || ' and more of it' END AS text FROM documents)""",
     r=f"SELECT doc_id AS id, {_CANONICAL.format('text')} AS t, CASE WHEN doc_id % 7 <> 0 THEN doc_id * 600 END AS sec FROM documents",
 )
+_add(
+    "safe_ints", lambda spark, sf: _documents(spark, sf).select("doc_id", text.safe_int(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "x").otherwise(" "))).alias("n")),
+    "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS n FROM documents",
+)
+_add(
+    "event_windows", lambda spark, sf: ingest.event_counts(table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")).select(times.iso(F.col("start")).alias("start"), "event_type", "n", "total"),
+    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S+00:00') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+)

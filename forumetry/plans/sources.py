@@ -19,7 +19,7 @@ def _add(name, query, sql, *needs, **more):
 
 
 _documents = lambda spark, sf: table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-_id = F.col("doc_id").cast("string")
+_id = lambda: F.col("doc_id").cast("string")
 _every = lambda k, value, other=None: F.when(F.col("doc_id") % k == 0, value).otherwise(F.lit(other))
 _json = lambda **c: F.to_json(F.struct(*(v.alias(k) for k, v in c.items()))).alias("payload")
 _struct = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
@@ -28,8 +28,8 @@ _struct = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))  # noqa: E73
 def _graph(spark, sf):
     count = lambda n: _struct(summary=_struct(total_count=n))
     d = _documents(spark, sf).select(_json(
-        id=F.concat(F.lit("1_"), _id), message=F.col("text"), created_time=F.lit("t"), status_type=_every(3, F.lit("shared_story")), parent_id=_every(7, F.concat(F.lit("9_"), _id)), reactions=count(F.col("doc_id") % 50), comments=count(F.col("doc_id") % 11), shares=_every(2, _struct(count=F.col("doc_id"))),
-        attachments=_every(5, _struct(data=F.array(_struct(media_type=F.lit("photo"), target=_struct(id=_id, url=F.concat(F.lit("https://f/"), _id)))))), **{"from": _every(4, _struct(id=F.col("source"), name=F.lit("N")))},
+        id=F.concat(F.lit("1_"), _id()), message=F.col("text"), created_time=F.lit("t"), status_type=_every(3, F.lit("shared_story")), parent_id=_every(7, F.concat(F.lit("9_"), _id())), reactions=count(F.col("doc_id") % 50), comments=count(F.col("doc_id") % 11), shares=_every(2, _struct(count=F.col("doc_id"))),
+        attachments=_every(5, _struct(data=F.array(_struct(media_type=F.lit("photo"), target=_struct(id=_id(), url=F.concat(F.lit("https://f/"), _id())))))), **{"from": _every(4, _struct(id=F.col("source"), name=F.lit("N")))},
     ))
     p = payloads.graph_posts(d, "1")
     return p.select("post_id", "message", "reactions", "shares", "comments_count", "is_propagation", "propagation_kind", "origin_post_id", "origin_external_id", "origin_permalink", "has_media", F.col("author.author_id").alias("author_id"), F.size("media_refs").cast("long").alias("n_media"))
@@ -48,11 +48,11 @@ def _tweets(spark, sf):
     """Pages of twenty posts with the users and media that they name."""
     d = _documents(spark, sf)
     tweet = F.to_json(_struct(
-        id=_id, text=F.col("text"), created_at=F.lit("t"), author_id=F.col("source"), referenced_tweets=_every(3, F.array(_struct(type=F.lit("replied_to"), id=F.lit("1")), _struct(type=F.when(F.col("doc_id") % 2 == 0, "quoted").otherwise("retweeted"), id=_id))),
-        public_metrics=_struct(like_count=F.col("doc_id") % 9, retweet_count=F.col("doc_id") % 5, reply_count=F.col("doc_id") % 7, quote_count=F.col("doc_id") % 4, impression_count=_every(2, F.col("n_chars"))), attachments=_every(4, _struct(media_keys=F.array(F.concat(F.lit("m"), _id)))),
+        id=_id(), text=F.col("text"), created_at=F.lit("t"), author_id=F.col("source"), referenced_tweets=_every(3, F.array(_struct(type=F.lit("replied_to"), id=F.lit("1")), _struct(type=F.when(F.col("doc_id") % 2 == 0, "quoted").otherwise("retweeted"), id=_id()))),
+        public_metrics=_struct(like_count=F.col("doc_id") % 9, retweet_count=F.col("doc_id") % 5, reply_count=F.col("doc_id") % 7, quote_count=F.col("doc_id") % 4, impression_count=_every(2, F.col("n_chars"))), attachments=_every(4, _struct(media_keys=F.array(F.concat(F.lit("m"), _id())))),
     ))
     users = F.array_distinct(F.collect_list(_struct(id=F.col("source"), name=F.when(F.length("source") % 2 == 0, F.concat(F.lit("N "), "source")), username=F.lower("source"))))
-    media = F.collect_list(_every(4, _struct(media_key=F.concat(F.lit("m"), _id), type=F.lit("photo"), url=F.concat(F.lit("u/"), _id))))
+    media = F.collect_list(_every(4, _struct(media_key=F.concat(F.lit("m"), _id()), type=F.lit("photo"), url=F.concat(F.lit("u/"), _id()))))
     pages = d.groupBy(F.floor(F.col("doc_id") / 20).alias("page")).agg(F.collect_list(tweet).alias("data"), users.alias("users"), media.alias("media"))
     landed = webitems.tweet_pages(pages.select(F.to_json(_struct(data=F.col("data"), includes=_struct(users=F.col("users"), media=F.col("media")))).alias("payload")))
     p = webitems.with_includes(payloads.tweet_posts(landed, "acc"), landed)
@@ -111,7 +111,7 @@ _add("map_instagram_replies", lambda spark, sf: webitems.instagram_replies(_turn
 def _timeline(spark, sf, platform):
     d = _documents(spark, sf)
     kind = F.when(F.col("doc_id") % 3 == 0, "quote").when(F.col("doc_id") % 3 == 1, "repost").otherwise("")
-    items = d.select(_id.alias("status_id"), F.lit("t").alias("created_at"), "text", F.concat(F.lit("l/"), _id).alias("permalink"), F.concat((F.col("doc_id") % 9).cast("string"), F.lit(".5K")).alias("like_count"), (F.col("doc_id") % 5).cast("string").alias("repost_count"), (F.col("doc_id") % 7).cast("string").alias("reply_count"), F.when(F.col("doc_id") % 2 == 0, "12 views").otherwise("").alias("view_count"), (F.col("doc_id") % 4 == 0).alias("has_media"), F.lit("photo").alias("media_type"), kind.alias("propagation_kind"), F.when(kind != "", _id).alias("origin_status_id"), _every(2, F.concat(F.lit("https://x.com/some/status/"), _id)).alias("origin_permalink"), F.when(F.col("doc_id") % 6 == 0, "Other").when(F.col("doc_id") % 6 == 1, "@Acc").otherwise("").alias("author_username"), F.lit("").alias("author_name"))
+    items = d.select(_id().alias("status_id"), F.lit("t").alias("created_at"), "text", F.concat(F.lit("l/"), _id()).alias("permalink"), F.concat((F.col("doc_id") % 9).cast("string"), F.lit(".5K")).alias("like_count"), (F.col("doc_id") % 5).cast("string").alias("repost_count"), (F.col("doc_id") % 7).cast("string").alias("reply_count"), F.when(F.col("doc_id") % 2 == 0, "12 views").otherwise("").alias("view_count"), (F.col("doc_id") % 4 == 0).alias("has_media"), F.lit("photo").alias("media_type"), kind.alias("propagation_kind"), F.when(kind != "", _id()).alias("origin_status_id"), _every(2, F.concat(F.lit("https://x.com/some/status/"), _id())).alias("origin_permalink"), F.when(F.col("doc_id") % 6 == 0, "Other").when(F.col("doc_id") % 6 == 1, "@Acc").otherwise("").alias("author_username"), F.lit("").alias("author_name"))
     made = webitems.timeline(items, platform, "acc", "Name")
     return made.select("post_id", "message", "reactions", "shares", "comments_count", "views", "forwards", "is_propagation", "propagation_kind", "origin_post_id", F.col("author.author_id").alias("author_id"), F.col("author.profile_url").alias("url"))
 
@@ -133,8 +133,8 @@ for _platform in ("x", "threads", "instagram"):
 
 def _channel(spark, sf):
     d = _documents(spark, sf)
-    link = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("https://t.me/s/chan/"), _id, F.lit("?q=1")))
-    items = d.select(_id.alias("message_id"), F.lit("t").alias("created_at"), "text", F.lit("l").alias("permalink"), F.lit("1.5K").alias("views"), F.concat((F.col("doc_id") % 5).cast("string"), F.lit(" comments")).alias("reply_text"), F.lit(False).alias("has_media"), F.lit(None).cast("string").alias("media_type"), F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("a"), F.col("doc_id") % 3)).otherwise(F.create_map().cast("map<string,bigint>")).alias("reactions"), F.lit(None).cast("string").alias("forwarded_from_name"), link.alias("forwarded_permalink"), F.when(F.col("doc_id") % 4 == 1, "77").alias("forwarded_message_id"))
+    link = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("https://t.me/s/chan/"), _id(), F.lit("?q=1")))
+    items = d.select(_id().alias("message_id"), F.lit("t").alias("created_at"), "text", F.lit("l").alias("permalink"), F.lit("1.5K").alias("views"), F.concat((F.col("doc_id") % 5).cast("string"), F.lit(" comments")).alias("reply_text"), F.lit(False).alias("has_media"), F.lit(None).cast("string").alias("media_type"), F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("a"), F.col("doc_id") % 3)).otherwise(F.create_map().cast("map<string,bigint>")).alias("reactions"), F.lit(None).cast("string").alias("forwarded_from_name"), link.alias("forwarded_permalink"), F.when(F.col("doc_id") % 4 == 1, "77").alias("forwarded_message_id"))
     return webitems.channel_messages(items, "c", "Name").select("post_id", "reactions", "comments_count", "views", "is_propagation", "origin_post_id", "origin_external_id", "origin_permalink", "reaction_breakdown_json")
 
 

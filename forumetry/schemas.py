@@ -1,4 +1,4 @@
-"""Schemas of the nested snapshot and of all tables."""
+"""Schemas of the nested snapshot and of all tables. Names and types of all columns, and the keys, are those of stored data."""
 
 from __future__ import annotations
 

@@ -37,3 +37,11 @@ def test_snapshots_are_used_again_for_the_same_request(spark, tmp_path):
     key = manifests.request_key(row.source.platform, row.source.source_id, row.mode, row.requested_date_start, row.requested_date_end)
     assert collection.reused(spark, str(tmp_path), "r1", key).first().run_id == "r1"
     assert collection.reused(spark, str(tmp_path), "r1", (*key[:3], "other", "")) is None and collection.reused(spark, str(tmp_path), "r9", key) is None
+
+
+def test_manifests_are_written_and_read_back(spark, tmp_path):
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "manifest.json").write_text(json.dumps(snapshot("r1", extra=True)))
+    read = manifests.read_manifests(spark, f"{tmp_path}/r1/manifest.json")
+    manifests.write_manifests(read, f"{tmp_path}/out")
+    assert spark.read.schema(read.schema).json(f"{tmp_path}/out").first() == read.first()

@@ -110,3 +110,9 @@ def test_workbook_has_all_rows(spark, monkeypatch):
     with zipfile.ZipFile(out) as z:
         sheets = [z.read(f"xl/worksheets/sheet{k}.xml").decode() for k in range(1, 6)]
         assert [s.count("<row>") for s in sheets] == [1001, 1001, 501, 1, 2] and "<c><v>2499</v></c>" in sheets[2] and "a&lt;b" in sheets[4] and "<v>1.5</v>" in sheets[4]
+
+
+def test_publish(spark):
+    store.publish(spark.range(3), "published_numbers")
+    store.publish(spark.range(4), "published_numbers")
+    assert spark.table("published_numbers").count() == 4
