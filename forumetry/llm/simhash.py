@@ -17,6 +17,7 @@ are documents of their own, in one component; an empty table gives no rows; colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -41,6 +42,11 @@ AT_ONCE = 1 << 17
 SET_WORDS, SIMILAR = 5, 80
 #: MinHash bands and permutations in each: a pair of similarity 0.8 is missed by all bands with a probability of 5e-5.
 BANDS, BAND = 25, 5
+#: Places of two sketches (the low bytes of all least hashes) that must agree before a pair is verified: of similarity 0.8 100 do in the mean, with a
+#: deviation of 4.5, so by calculation a similar pair is lost with a probability of 1e-6.
+LIKELY = 78
+#: Shingles of a block of sets at most, unless one set has more.
+BLOCK_SHINGLES = 1 << 18
 FLIPS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -315,14 +321,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-def set_bands(hashes: np.ndarray) -> np.ndarray:
-    """A value a band: least permuted hashes of BAND permutations each, mixed. Sets of similarity s share one with 1 - (1 - s ** BAND) ** BANDS."""
+def set_bands(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A value a band: least permuted hashes of BAND permutations each, mixed. Sets of similarity s share one with 1 - (1 - s ** BAND) ** BANDS.
+    And the low bytes of all least hashes, of which a share of about s is equal."""
     least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         some = hashes[at : at + 4096]
         for k in range(len(least)):
             least[k] = min(least[k], ((some ^ FLIPS[k]) * FACTORS[k]).min())
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least.reshape(BANDS, BAND)], np.uint64).view(np.int64)
+    bands = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least.reshape(BANDS, BAND)], np.uint64).view(np.int64)
+    return bands, (least & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -330,15 +338,16 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """docs with `node`, a hash of the set of five-word shingles, `size`, how many there are, and `bands`."""
+    """docs with `node`, a hash of the set of five-word shingles, `size`, how many there are, `bands`, and `sketch`."""
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         sets = [shingle_set(x or "") for x in batch["text"].to_pylist()]
         node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-        bands = pa.array([set_bands(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-        return {"node": pa.array(node), "size": pa.array([len(x) for x in sets], pa.int64()), "bands": bands}
+        made = [set_bands(x) if len(x) else ([], b"") for x in sets]
+        bands, sketch = pa.array([x for x, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.binary())
+        return {"node": pa.array(node), "size": pa.array([len(x) for x in sets], pa.int64()), "bands": bands, "sketch": sketch}
 
-    return add_columns(docs, make, {"node": "long", "size": "long", "bands": "array<long>"})
+    return add_columns(docs, make, {"node": "long", "size": "long", "bands": "array<long>", "sketch": "binary"})
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -363,28 +372,65 @@ def close_in_size(a: Column, b: Column) -> Column:
 
 
 def set_components(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the sets (node, size, bands) that have similar ones; root is the least node of the component.
+    """(node, root) of the sets (node, size, bands, sketch) that have similar ones; root is the least node of the component.
 
-    First every member of a band's group meets the group's least node only; then members of different components meet, each pair once. So a
-    large group of near copies costs its members, not its pairs.
+    First every member of a band's group meets one of them: so most of a large group of near copies costs its members, not its pairs. What is
+    then still in different components is compared with the members of other components in its groups, inside a task for each pair of blocks;
+    only links are made rows, and none is lost.
     """
     rows = sets.select("node", "size", F.posexplode("bands").alias("band", "value"))
     by = ["band", "value"]
-    groups = rows.groupBy(by).agg(F.min(F.struct("node", "size")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    met = saved(join_counted(rows, saved(groups, "band-groups"), by, "n"), "band-members")
-    stars = met.where((F.col("node") != F.col("least.node")) & close_in_size(F.col("size"), F.col("least.size")))
-    stars = saved(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), "first-candidates")
-    links = saved(similar(stars, texts), "first-links")
-    roots = saved(components(links), "first-components")
-    placed = saved(met.select("node", "size", *by).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-members")
-    open_ = placed.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*by)
-    placed = saved(placed.join(open_, by, "left_semi"), "open-members")
-    parts = saved(placed.select(*by, "root").distinct(), "open-parts")
-    part_pairs = parts.withColumnRenamed("root", "root_a").join(parts.withColumnRenamed("root", "root_b"), by).where("root_a < root_b")
-    side = lambda name: placed.select(*by, F.col("root").alias(f"root_{name}"), F.col("node").alias(name), F.col("size").alias(f"size_{name}"))
-    more = part_pairs.join(side("a"), [*by, "root_a"]).join(side("b"), [*by, "root_b"]).where(close_in_size(F.col("size_a"), F.col("size_b")))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return components(links.unionByName(similar(saved(more, "more-candidates"), texts)))
+    center = F.min_by(F.struct("node", "size"), F.xxhash64("node")).alias("c")
+    groups = saved(rows.groupBy(by).agg(center, F.count("*").alias("n")).where("n > 1"), "band-groups")
+    met = saved(join_counted(rows, groups, by, "n").drop("n"), "band-members")
+    pairs = met.where((F.col("node") != F.col("c.node")) & close_in_size(F.col("size"), F.col("c.size")))
+    pairs = saved(pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), "candidates")
+    links = saved(similar(pairs, texts), "links")
+    roots = saved(components(links), "link-components")
+    placed = saved(met.drop("c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-members")
+    several = placed.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*by)
+    open_ = saved(placed.join(several, by, "left_semi"), "open-members")
+    nodes = saved(open_.groupBy("node").count(), "open-nodes")
+    full = saved(shingle_sets(texts.join(nodes.select("node"), "node")).drop("text"), "open-sets").join(sets.select("node", "sketch"), "node")
+    in_groups = join_counted(open_, saved(full.join(nodes, "node"), "open-sketches"), ["node"], "count").drop("count")
+    return components(links.unionByName(similar_members(in_groups, by)))
+
+
+def similar_members(members: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b): the pairs of similarity SIMILAR or more and of different roots within the groups of members (band, value, node, root, size, sketch,
+    shingles). A group is cut into blocks by its members and their shingles, and each pair of blocks is compared in a task of its own: by sizes
+    and sketches first, and where these allow it by the shingles themselves. A pair is compared in the first band that it shares. Only links
+    leave the task."""
+    counts = members.groupBy(by).agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    met = join_counted(members, saved(counts, "open-groups"), by, "n")
+    met = met.withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.withColumns({"low": F.least("own_block", "other"), "high": F.greatest("own_block", "other")})
+    groups = pairs.groupBy(*by, "low", "high").agg(F.collect_list(F.struct("node", "root", "size", "sketch", "shingles", "own_block")).alias("p"))
+
+    def links(band: int, p: pa.StructArray, apart: bool) -> Iterator[tuple[int, int]]:
+        node, root, size, own = (p.field(c).to_numpy() for c in ("node", "root", "size", "own_block"))
+        marks = np.frombuffer(b"".join(p.field("sketch").to_pylist()), np.uint8).reshape(len(node), BANDS, BAND)
+        sets = [x.values.to_numpy() for x in p.field("shingles")]
+        for k in range(len(node) - 1):
+            rest = slice(k + 1, None)
+            fits = (root[rest] != root[k]) & (np.minimum(size[rest], size[k]) * 100 >= np.maximum(size[rest], size[k]) * SIMILAR)
+            near = np.flatnonzero(fits & (own[rest] != own[k]) if apart else fits) + k + 1
+            equal = marks[near] == marks[k]
+            near = near[(equal.sum(axis=(1, 2)) >= LIKELY) & (equal.all(axis=2).argmax(axis=1) == band)]
+            for j in near.tolist():
+                both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                if both * 100 >= (size[k] + size[j] - both) * SIMILAR:
+                    yield min(int(node[k]), int(node[j])), max(int(node[k]), int(node[j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for band, low, high, p in zip(batch["band"].to_pylist(), batch["low"].to_pylist(), batch["high"].to_pylist(), batch["p"], strict=True):
+                found.extend(links(band, p.values, low != high))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return groups.select("band", "low", "high", "p").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -392,7 +438,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     texts = keyed(docs)
     own = saved(with_sets(texts).drop("text"), "shingle-sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    sets = saved(own.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), least, F.count("*").alias("n")), "distinct-sets")
+    sets = saved(own.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), least, F.count("*").alias("n")), "distinct-sets")
     # the text of a set is that of its least row; equal rows have equal texts
     of_set = sets.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.key").alias("key"))
     of_set = texts.join(of_set, texts["doc_id"].eqNullSafe(of_set["doc_id"]) & (texts["key"] == of_set["key"])).select("node", "text").dropDuplicates(["node"])

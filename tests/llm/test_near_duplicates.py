@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -107,6 +108,42 @@ def test_stage_keeps_one_of_each_group(spark, sf):
     assert simhash.keep_first(spark, docs.limit(0), sf).count() == 0
 
 
+def similar_groups(texts, words=5):
+    """The first text of the group of each, by comparing all pairs of sets of shingles, or of whole sequences that are shorter."""
+    sets = []
+    for text in texts:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate({k: k + 32 for k in range(65, 91)})) if x]
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(texts))]
+
+
+def test_hot_groups_equal_brute_force(spark, sf):
+    """Documents that share a long passage and bands, but are similar to few of the others: what the rounds leave open."""
+    rng = random.Random(12)
+    shared = [f"s{k}" for k in range(100)]
+    texts = []
+    for k in range(150):
+        own = [f"w{rng.randrange(9000)}" for _ in range(rng.choice((20, 26, 30, 40)))]
+        texts.append(" ".join([*shared, *own]))
+        if k % 10 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            texts.append(" ".join([*shared, *own]))
+    texts += ["", None, "two words", "two words", "Two words"]
+    groups = similar_groups(texts)
+    kept = simhash.keep_first(spark, documents(spark, texts), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups)) and 30 < len(set(groups)) < 160
+
+
 def test_stage_joins_similar_shingle_sets(spark, sf):
     """Copies of Jaccard similarity 0.8 or more on five words are found, however many bits they differ in; others stay."""
     rng = random.Random(11)

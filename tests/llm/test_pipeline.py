@@ -5,7 +5,7 @@ from forumetry.llm import decontaminate, quality
 from forumetry.llm.common import keyed, saved
 
 from .helpers import documents
-from .test_near_duplicates import brute
+from .test_near_duplicates import similar_groups
 
 
 def test_stages_do_the_whole_job(spark, sf):
@@ -19,8 +19,8 @@ def test_stages_do_the_whole_job(spark, sf):
     good, first, fresh, clean, ids = out
     scores = {r.doc_id: r.predicted for r in quality.op9_quality_trees(spark, sf).collect()}
     assert {r.doc_id for r in good.collect()} == {d for d, p in scores.items() if p}
-    kept = brute([(r.doc_id, r.text) for r in good.collect()])
-    assert sorted(r.doc_id for r in first.collect()) == sorted({c for _, _, c in kept})
+    rows = sorted((r.doc_id, r.text) for r in good.collect())
+    assert sorted(r.doc_id for r in first.collect()) == sorted({rows[k][0] for k in similar_groups([t for _, t in rows])})
     assert decontaminate.contained(keyed(clean), spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0
     assert {r.doc_id: r.text for r in clean.collect()} == {r.doc_id: r.text for r in ids.collect()}
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(r.doc_id for r in ids.collect())
