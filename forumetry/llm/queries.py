@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forumetry.llm import byte_bpe, chat, chunks, decontaminate, gif, quality, repair, simhash, toxicity, viterbi
+from forumetry.llm import byte_bpe, chat, chunks, decontaminate, gif, periods, quality, repair, simhash, toxicity, viterbi
 
 QUERIES = {
     "op1_repair_token_ids": repair.op1_repair_token_ids,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_viterbi_token_counts": viterbi.op8_viterbi_token_counts,
     "op9_quality_trees": quality.op9_quality_trees,
     "op10_simhash": simhash.op10_simhash,
+    "op11_periodic_runs": periods.op11_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL}
