@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forumetry.llm import byte_bpe, chat, chunks, decontaminate, gif, periods, quality, repair, rules, simhash, toxicity, viterbi
+from forumetry.llm import byte_bpe, chat, chunks, decontaminate, gif, periods, prefixes, quality, repair, rules, simhash, toxicity, viterbi
 
 QUERIES = {
     "op1_repair_token_ids": repair.op1_repair_token_ids,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_quality_trees": quality.op9_quality_trees,
     "op10_simhash": simhash.op10_simhash,
     "op11_periodic_runs": periods.op11_periodic_runs,
+    "op12_prefix_trie": prefixes.op12_prefix_trie,
     "op13_quality_rules": rules.op13_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,
+    "op12_prefix_trie": prefixes.ORACLE_SQL,
     "op13_quality_rules": rules.ORACLE_SQL,
 }
