@@ -215,12 +215,16 @@ def tiled(text: Column, doc_id: Column) -> Column:
     """text, which in a tenth of the documents repeats its own words from one of them on: the cases that the query plants."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(r"[^ \t-\r]+"), 0)
-    n = F.size(words)
-    a = F.pmod(g, n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
-    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p)))
-    return F.when((h % 10 == 0) & text.rlike(r"[^ \t-\r]"), F.array_join(again, " ")).otherwise(text)
+
+    def again(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    # the words are bound as the one item of a list: inside a lambda, an expression would be computed for each word
+    words = F.array(F.regexp_extract_all(text, F.lit(r"[^ \t-\r]+"), 0))
+    return F.when((h % 10 == 0) & text.rlike(r"[^ \t-\r]"), F.get(F.transform(words, again), F.lit(0))).otherwise(text)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
