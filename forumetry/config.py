@@ -30,6 +30,7 @@ class Config:
     embedding_url: str = ""
     dimension: int = 256
     max_items: int | None = None
+    languages: tuple[str, ...] = ("ru", "uk", "en")
     merge_recent_runs: int = 1
     source_run_ids: tuple[str, ...] = ()
     paths: dict[str, str] = field(default_factory=dict)
@@ -56,10 +57,11 @@ def from_dict(raw: dict[str, Any]) -> Config:
         raise ValueError(f"unknown keys: {', '.join(sorted(extra))}")
     sides = tuple(Side(s["side_id"], s["name"], tuple(s.get("aliases") or ()), tuple(s.get("support_keywords") or ()), tuple(s.get("oppose_keywords") or ())) for s in raw.get("sides") or ())
     numbers = {k: analysis[k] for k in ("min_cluster_size", "min_samples", "exemplar_count", "batch_size", "max_items") if k in analysis}
+    languages = {"languages": tuple(analysis["languages"])} if "languages" in analysis else {}
     return Config(
         platform=source.get("platform", "facebook"), mode=(raw.get("collector") or {}).get("mode", "web"), sides=sides, source_id=source.get("source_id") or "", source_url=source.get("url") or "", source_name=source.get("source_name") or "",
         date_start=dates.get("start"), date_end=dates.get("end"), merge_recent_runs=max(1, merging.get("merge_recent_runs", 1)), source_run_ids=tuple(merging.get("source_run_ids") or ()), paths=dict(raw.get("paths") or {}),
-        **numbers, **{field: embeddings[k] for k, field in named.items() if embeddings.get(k)},
+        **numbers, **languages, **{field: embeddings[k] for k, field in named.items() if embeddings.get(k)},
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forumetry.plans import discussion, pagetext, runs, scalars, sources
+from forumetry.plans import discussion, languages, pagetext, runs, scalars, sources
 
-QUERIES: dict = discussion.QUERIES | runs.QUERIES | scalars.QUERIES | pagetext.QUERIES | sources.QUERIES
-ORACLE_SQL: dict[str, str] = discussion.ORACLE_SQL | runs.ORACLE_SQL | scalars.ORACLE_SQL | pagetext.ORACLE_SQL | sources.ORACLE_SQL
+QUERIES: dict = discussion.QUERIES | languages.QUERIES | runs.QUERIES | scalars.QUERIES | pagetext.QUERIES | sources.QUERIES
+ORACLE_SQL: dict[str, str] = discussion.ORACLE_SQL | languages.ORACLE_SQL | runs.ORACLE_SQL | scalars.ORACLE_SQL | pagetext.ORACLE_SQL | sources.ORACLE_SQL

@@ -105,8 +105,7 @@ _LANGUAGE = """CASE WHEN trim(text) = '' THEN {0} WHEN regexp_matches(lower(text
 _LANGUAGES = f"""SELECT item_type, item_id, {_LANGUAGE.format("'unknown'", "'uk'", "'ru'", "'ru'", "'en'", "'en'", "'unknown'")} AS language,
     CAST({_LANGUAGE.format(0.0, 0.72, 0.72, 0.58, 0.6, 0.45, 0.2)} AS DOUBLE) AS confidence,
     {_LANGUAGE.format("'empty'", "'heuristic-script'", "'heuristic-script'", "'heuristic-cyrillic'", "'heuristic-lexicon'", "'heuristic-latin'", "'heuristic-fallback'")} AS method FROM post_items"""
-_add("language_detect", lambda spark, sf: stance.detect_languages(post_items(posts(spark, sf))), _LANGUAGES, "post_items")
-_add("language_mix", lambda spark, sf: summaries.language_mix(stance.detect_languages(post_items(posts(spark, sf)))), f"SELECT item_type, language, count(*) AS n FROM ({_LANGUAGES}) GROUP BY ALL", "post_items")
+_add("language_rules", lambda spark, sf: stance.detect_languages(post_items(posts(spark, sf))), _LANGUAGES, "post_items")
 _add("cluster_member_counts", lambda spark, sf: summaries.cluster_members(memberships(comments(spark, sf))), "SELECT item_type, cluster_id, count(*) AS member_count FROM memberships GROUP BY ALL", "memberships")
 _TOKENS = r"""SELECT item_type, cluster_id, ord, unnest(t) AS keyword, generate_subscripts(t, 1) AS pos
     FROM (SELECT *, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_'']+'), lambda w: length(w) > 2 AND NOT list_contains(['the','and','that','with','this','from','для','это','как','что','але','про','если','they','have'], w)) AS t FROM memberships)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumetry.config import Config
-from forumetry.operators import clustering, merge, metrics, narratives, normalize, overrides, providers, report, stance, store
+from forumetry.operators import clustering, languages, merge, metrics, narratives, normalize, overrides, providers, report, stance, store
 from forumetry.schemas import MANIFEST
 from forumetry.sources import manifests
 
@@ -37,10 +37,11 @@ def items_of_run(t: dict[str, DataFrame], limit: int | None = None) -> DataFrame
 
 def analyze_run(
     spark: SparkSession, config: Config, root: str, run_id: str, now: str, embedder: providers.EmbeddingProvider | None = None, model: providers.TextModel | None = None,
-    clusters: Callable[[DataFrame], DataFrame] | None = None,
+    clusters: Callable[[DataFrame], DataFrame] | None = None, profiles: languages.Profiles | None = None,
 ) -> dict[str, DataFrame]:
     """Languages, embeddings, clusters, stances and support of a run. Texts that the caches have are neither embedded nor labelled again. `clusters`
-    assigns items with embeddings to clusters, by density unless another function is given; a null one is noise."""
+    assigns items with embeddings to clusters, by density unless another function is given; a null one is noise. Languages are told by `profiles`, or
+    by those of the seeds, and have to be among the configured ones."""
     t = {n: store.load(spark, root, n).where(F.col("run_id") == run_id) for n in ("posts", "propagations", "comments")}
     items = store.checkpointed(items_of_run(t, config.max_items))
     stamped = lambda df, name: normalize.shaped(df.withColumn("run_id", F.lit(run_id)), name)
@@ -63,7 +64,7 @@ def analyze_run(
     if model:
         narrated = providers.model_summaries(narrated, narratives.first_texts(members), model)
     made = {
-        "detected_languages": stance.detect_languages(items), "cluster_memberships": members, "narrative_clusters": narrated, "stance_labels": labels, "support_metrics": support, "analysis_runs": run,
+        "detected_languages": languages.detect(items, profiles or languages.seeded(spark), config.languages), "cluster_memberships": members, "narrative_clusters": narrated, "stance_labels": labels, "support_metrics": support, "analysis_runs": run,
     }
     return {name: store.upsert(stamped(df, name), root, name) for name, df in made.items()}
 
