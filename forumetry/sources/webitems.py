@@ -113,17 +113,24 @@ _MESSAGE = """STRUCT<message_id: BIGINT, date: BIGINT, text: STRING, caption: ST
 _KINDS = ("channel_post", "edited_channel_post", "message", "edited_message")
 
 
-def bot_comments(raw: DataFrame, source: str, discussion: str) -> DataFrame:
-    """Comments in a bot's update queue (payload): messages of the discussion chat whose thread is a post of the source that came before them.
-    Messages that the channel forwarded by itself, and those of no thread, are none."""
-    from forumetry.functions.times import iso
-    from forumetry.operators.threads import arrived_comments
-
+def bot_messages(raw: DataFrame, source: str, discussion: str) -> tuple[DataFrame, DataFrame]:
+    """Posts (thread, ord, post_id, date) of the source and messages (thread, ord, m) of its discussion chat in a bot's update queue (payload). Messages
+    that the channel forwarded by itself, and those of no thread, are none."""
     p = raw.select(F.from_json("payload", ", ".join(["update_id BIGINT", *(f"{k} {_MESSAGE}" for k in _KINDS)])).alias("u"))
     p = p.select(F.col("u.update_id").alias("ord"), F.coalesce(*(f"u.{k}" for k in _KINDS)).alias("m")).where("m IS NOT NULL")
-    posts = p.where((F.col("m.chat.id") == source) & (F.col("m.chat.type") == "channel")).select(F.col("m.message_id").alias("thread"), "ord", F.concat_ws(":", F.lit("telegram"), F.lit(source), F.col("m.message_id").cast("string")).alias("post_id"))
+    posts = p.where((F.col("m.chat.id") == source) & (F.col("m.chat.type") == "channel"))
+    ident = F.concat_ws(":", F.lit("telegram"), F.lit(source), F.col("m.message_id").cast("string"))
     said = p.where((F.col("m.chat.id") == discussion) & ~F.coalesce("m.is_automatic_forward", F.lit(False)))
     said = said.select(F.coalesce("m.message_thread_id", "m.reply_to_message.message_id").alias("thread"), "ord", "m").where("thread IS NOT NULL")
+    return posts.select(F.col("m.message_id").alias("thread"), "ord", ident.alias("post_id"), F.col("m.date").alias("date")), said
+
+
+def bot_comments(raw: DataFrame, source: str, discussion: str) -> DataFrame:
+    """Comments in a bot's update queue (payload): messages of the discussion chat whose thread is a post of the source that came before them."""
+    from forumetry.functions.times import iso
+    from forumetry.operators.threads import arrived_comments
+
+    posts, said = bot_messages(raw, source, discussion)
     met = arrived_comments(posts, said)
     reply = F.col("m.reply_to_message.message_id")
     items = met.select("post_id", F.col("ord").alias("pos"), F.col("m.message_id").cast("string").alias("native_id"), reply.cast("string").alias("reply_to"), "m")
