@@ -391,14 +391,25 @@ def set_components(sets: DataFrame, texts: DataFrame) -> DataFrame:
     several = placed.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*by)
     open_ = saved(placed.join(several, by, "left_semi"), "open-members")
     nodes = saved(open_.groupBy("node").count(), "open-nodes")
-    full = saved(shingle_sets(texts.join(nodes.select("node"), "node")).drop("text"), "open-sets").join(sets.select("node", "sketch"), "node")
-    in_groups = join_counted(open_, saved(full.join(nodes, "node"), "open-sketches"), ["node"], "count").drop("count")
+    full = saved(shingle_sets(texts.join(nodes.select("node"), "node")).drop("text"), "open-sets")
+    left = saved(with_partners(full.join(open_.select("node", "root", "size").distinct(), "node")), "open-with-partners")
+    full = full.join(sets.select("node", "sketch", "bands"), "node").join(nodes, "node").join(left, "node")
+    in_groups = join_counted(open_, saved(full, "open-sketches"), ["node"], "count").drop("count")
     return components(links.unionByName(similar_members(in_groups, by)))
 
 
+def with_partners(members: DataFrame) -> DataFrame:
+    """(node) of the members (node, root, size, shingles) that may be similar to one of another root: SIMILAR hundredths of a set's shingles must be
+    found under other roots too. What is mostly a passage that many documents share, with words of its own, is out; no similar pair is."""
+    rows = saved(members.select("node", "root", "size", F.explode("shingles").alias("shingle")), "open-shingles")
+    facts = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    shared = join_counted(rows.select("node", "size", "shingle"), saved(facts.select("shingle", "n"), "shared-shingles"), ["shingle"], "n")
+    return shared.groupBy("node", "size").count().where(F.col("count") * 100 >= F.col("size") * SIMILAR).select("node")
+
+
 def similar_members(members: DataFrame, by: list[str]) -> DataFrame:
     """(a, b): the pairs of similarity SIMILAR or more and of different roots within the groups of members (band, value, node, root, size, sketch,
-    shingles). A group is cut into blocks by its members and their shingles, and each pair of blocks is compared in a task of its own: by sizes
+    bands, shingles). A group is cut into blocks by its members and their shingles, and each pair of blocks is compared in a task of its own: by sizes
     and sketches first, and where these allow it by the shingles themselves. A pair is compared in the first band that it shares. Only links
     leave the task."""
     counts = members.groupBy(by).agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -406,18 +417,20 @@ def similar_members(members: DataFrame, by: list[str]) -> DataFrame:
     met = met.withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumns({"low": F.least("own_block", "other"), "high": F.greatest("own_block", "other")})
-    groups = pairs.groupBy(*by, "low", "high").agg(F.collect_list(F.struct("node", "root", "size", "sketch", "shingles", "own_block")).alias("p"))
+    groups = pairs.groupBy(*by, "low", "high").agg(F.collect_list(F.struct("node", "root", "size", "sketch", "bands", "shingles", "own_block")).alias("p"))
 
     def links(band: int, p: pa.StructArray, apart: bool) -> Iterator[tuple[int, int]]:
         node, root, size, own = (p.field(c).to_numpy() for c in ("node", "root", "size", "own_block"))
         marks = np.frombuffer(b"".join(p.field("sketch").to_pylist()), np.uint8).reshape(len(node), BANDS, BAND)
+        values = p.field("bands").flatten().to_numpy().reshape(len(node), BANDS)
         sets = [x.values.to_numpy() for x in p.field("shingles")]
         for k in range(len(node) - 1):
             rest = slice(k + 1, None)
             fits = (root[rest] != root[k]) & (np.minimum(size[rest], size[k]) * 100 >= np.maximum(size[rest], size[k]) * SIMILAR)
             near = np.flatnonzero(fits & (own[rest] != own[k]) if apart else fits) + k + 1
-            equal = marks[near] == marks[k]
-            near = near[(equal.sum(axis=(1, 2)) >= LIKELY) & (equal.all(axis=2).argmax(axis=1) == band)]
+            first = (values[near] == values[k]).argmax(axis=1) == band  # the group's own band is one they share
+            near = near[first]
+            near = near[(marks[near] == marks[k]).sum(axis=(1, 2)) >= LIKELY]
             for j in near.tolist():
                 both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
                 if both * 100 >= (size[k] + size[j] - both) * SIMILAR:

@@ -174,3 +174,37 @@ def test_stage_joins_similar_shingle_sets(spark, sf):
     assert far and any(find(k) == k and k % 5 for k in range(60))
     kept = simhash.keep_first(spark, documents(spark, texts), sf)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({find(k) for k in range(len(texts))})
+
+
+def test_thousands_of_open_pairs_near_the_threshold(spark):
+    """Of planted pairs about similarity 0.8 that share a band, all similar ones are found, and no others."""
+    rng = np.random.default_rng(21)
+    rows, want = [], set()
+    for pair in range(3000):
+        common, extra = int(rng.integers(150, 260)), rng.integers(0, 6)
+        apart = max(2, round(common / 4) + int(extra) - 3)  # common / (common + apart) is about 0.8
+        shingles = np.unique(rng.integers(0, 2**64, common + apart, np.uint64))
+        rng.shuffle(shingles)
+        a, b = np.sort(shingles[: common + apart // 2]), np.sort(np.concatenate((shingles[:common], shingles[common + apart // 2 :])))
+        made = []
+        for k, x in enumerate((a, b)):
+            bands, sketch = simhash.set_bands(x)
+            made.append(bands)
+            node = pair * 2 + k
+            rows += [(band, int(v), node, node, len(x), bytearray(sketch), bands.tolist(), x.view(np.int64).tolist()) for band, v in enumerate(bands)]
+        both = len(np.intersect1d(a, b))
+        if (made[0] == made[1]).any() and both * 5 >= (len(a) + len(b) - both) * 4:
+            want.add((pair * 2, pair * 2 + 1))
+    schema = "band int, value long, node long, root long, size long, sketch binary, bands array<long>, shingles array<long>"
+    import pandas as pd
+
+    members = spark.createDataFrame(pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]), schema)
+    hot = members.groupBy("band", "value").count().where("count > 1")
+    got = {tuple(r) for r in simhash.similar_members(members.join(hot.select("band", "value"), ["band", "value"]), ["band", "value"]).collect()}
+    assert got == want and 1000 < len(want) < 2900
+
+
+def test_members_without_partners_are_out(spark):
+    rows = [(1, 1, 10, list(range(10))), (2, 2, 10, list(range(2, 12))), (3, 2, 10, list(range(2, 12))), (4, 4, 10, [*range(7), 90, 91, 92]), (5, 5, 2, [100, 101]), (6, 5, 2, [100, 101]), (7, 7, 0, [])]
+    df = spark.createDataFrame(rows, "node long, root long, size long, shingles array<long>")
+    assert sorted(r.node for r in simhash.with_partners(df).collect()) == [1, 2, 3]
