@@ -2,46 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumetry.functions.text import canonical_post_text
 from forumetry.operators.store import checkpointed
 
-#: Characters of a beginning that must be equal, at most, and seconds between both views.
+#: Characters of a beginning that must be equal, at most (lengths are bits of a long), and seconds between both views.
 BLOCK, SECONDS = 60, 3600
 
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (t, left, right, part), each with the lengths of the texts before it in its partition that it begins with, as bits: of left
+    texts, of right ones, itself included. What begins a text is on a stack, so only that is kept."""
+    stack: list[tuple[str, int, int]] = []
+    for batch in batches:
+        masks: tuple[list[int], list[int]] = ([], [])
+        for t, *sides in zip(*(batch[c].to_pylist() for c in ("t", "left", "right")), strict=True):
+            while stack and not t.startswith(stack[-1][0]):
+                stack.pop()
+            before = stack[-1][1:] if stack else (0, 0)
+            own = [mask | (side << (len(t) - 1)) for mask, side in zip(before, sides, strict=True)]
+            stack.append((t, *own))
+            for made, mask in zip(masks, own, strict=True):
+                made.append(mask)
+        yield pa.RecordBatch.from_arrays([batch["t"], *(pa.array(m, pa.int64()) for m in masks), batch["part"]], names=["t", "of_left", "of_right", "part"])
+
+
+def beginnings(texts: DataFrame) -> DataFrame:
+    """(t, of_left, of_right) of distinct texts (t, left 0 or 1, right 0 or 1) of BLOCK characters at most: bit k - 1 is set if the first k characters
+    of t, or all of it, are a left text, or a right one.
+
+    Texts are sorted over range partitions, where all that begin with a text follow it. What begins a text but lies in an earlier partition also
+    begins the first text of its own partition, so only these few are looked up.
+    """
+    sorted_ = texts.repartitionByRange("t").sortWithinPartitions("t").withColumn("part", F.spark_partition_id())
+    found = checkpointed(sorted_.mapInArrow(_scan, "t string, of_left long, of_right long, part int"))
+    firsts = found.groupBy("part").agg(F.min("t").alias("t"))
+    cut = firsts.select("part", F.explode(F.sequence(F.lit(1), F.char_length("t"))).alias("k"), "t").select("part", F.expr("left(t, k)").alias("t"), "k")
+    # at most BLOCK rows a partition
+    bit = lambda c: F.bit_or(F.expr(f"shiftleft(CAST({c} AS BIGINT), k - 1)")).alias(c)
+    known = texts.join(F.broadcast(cut), "t").groupBy("part", "k").agg(F.first("t").alias("begin"), bit("left"), bit("right"))
+    carried = known.groupBy("part").agg(F.collect_list(F.struct("begin", "left", "right")).alias("carried"))
+    met = found.join(F.broadcast(carried), "part", "left")
+
+    def with_carried(mask: str, side: str) -> Column:
+        own = F.filter(F.coalesce("carried", F.array().cast(carried.schema["carried"].dataType)), lambda z: F.col("t").startswith(z["begin"]))
+        return F.aggregate(own, F.col(mask), lambda a, z: a.bitwiseOR(z[side]))
+
+    return met.select("t", with_carried("of_left", "left").alias("of_left"), with_carried("of_right", "right").alias("of_right"))
+
+
 def match_posts(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id) from frames (id, text, at): each left post that matches any right one, with the one of least id.
 
     Texts match if one of them begins with the first 60 characters of the other, or with all of it if it is shorter. (Equal beginnings of 80
     characters are a case of that.) If both have a time, they must be an hour apart at most. Empty texts match nothing.
 
-    So texts of k characters or more meet by their first k, for each k up to 60 that occurs as the length of a text. Right posts are
-    reduced to the least id of each beginning and second before they meet, and left ones to one row of each; both are dealt by beginning and
-    hour, right ones also to the hours beside their own, and a window of times finds the least id. No pairs are made: a beginning that a third
-    of all posts share is spread over its hours, and each of these has 3 * 3600 right rows at most.
+    A text meets the texts that begin it, which `beginnings` finds: mostly itself alone. Posts are reduced to one row a beginning and second,
+    the right ones to their least id, before they meet; both are dealt by beginning and hour, right ones also to the hours beside their own, and
+    a window of times finds the least id. No pairs are made: a beginning that a third of all posts share is spread over its hours, and each of
+    these has 3 * 3600 right rows at most.
     """
     shaped = lambda df: df.select("id", F.left(canonical_post_text(F.col("text")), F.lit(BLOCK)).alias("t"), F.unix_timestamp(F.col("at").cast("timestamp")).alias("s")).where("t <> ''")
     a, b = checkpointed(shaped(left)), checkpointed(shaped(right))  # beginnings only: texts are read once
-    lengths = [[r.n for r in df.select(F.length("t").alias("n")).distinct().collect()] for df in (a, b)]  # 60 numbers at most
+    asked, least = a.select("t", "s").distinct(), checkpointed(b.groupBy("t", "s").agg(F.min("id").alias("id")))
+    sides = asked.select("t", F.lit(1).alias("left"), F.lit(0).alias("right")).unionByName(least.select("t", F.lit(0).alias("left"), F.lit(1).alias("right")))
+    masks = checkpointed(beginnings(checkpointed(sides.groupBy("t").agg(F.max("left").alias("left"), F.max("right").alias("right")))))
 
-    def begun(df: DataFrame, sizes: list[int], shorter: bool, side: int) -> DataFrame:
-        """A row for each of the sizes that a text has or is longer than (with `shorter`: is longer than)."""
-        some = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda k: k < F.length("t") if shorter else k <= F.length("t"))
-        return df.withColumn("k", F.explode(some)).select("id", "s", F.lit(side).alias("side"), F.expr("left(t, k)").alias("key"))
+    def begun(df: DataFrame, mask: str, side: int, longest: int) -> DataFrame:
+        """A row for each text that begins one of df, up to `longest` characters fewer than it has."""
+        lengths = F.filter(F.sequence(F.lit(1), F.char_length("t") - longest), lambda k: F.getbit(F.col(mask), k - 1) == 1)
+        some = df.join(masks.select("t", mask).where(f"{mask} <> 0"), "t").where(F.char_length("t") > longest)
+        return some.withColumn("k", F.explode(lengths)).select(*df.columns, F.lit(side).alias("side"), F.expr("left(t, k)").alias("key"))
 
-    own = lambda df, side: df.select("id", "s", F.lit(side).alias("side"), F.col("t").alias("key"))
-    # side 0: the left text is the beginning of the right one; side 1: the right text is the shorter one
-    lefts = own(a, 0).unionByName(begun(a, lengths[1], True, 1))
-    rights = begun(b, lengths[0], False, 0).unionByName(own(b, 1))
+    own = lambda df, side: df.select("*", F.lit(side).alias("side"), F.col("t").alias("key"))
+    # side 0: the right text begins the left one, or is equal; side 1: the left text is the shorter one
+    lefts = checkpointed(begun(asked, "of_right", 0, 0).unionByName(own(asked, 1)))
+    rights = own(least, 0).unionByName(begun(least, "of_left", 1, 1))
     by = ["side", "key"]
     least = checkpointed(rights.groupBy(*by, "s").agg(F.min("id").alias("id")))
     timed, hour = least.where("s IS NOT NULL"), F.floor(F.col("s") / SECONDS)
     near = timed.withColumn("hour", F.explode(F.array(hour - 1, hour, hour + 1)))
-    asked = lefts.where("s IS NOT NULL").select(*by, "s").distinct().withColumn("hour", hour)
-    both = near.select(*by, "hour", "s", "id", F.lit(False).alias("asks")).unionByName(asked.select(*by, "hour", "s", F.lit(None).cast(near.schema["id"].dataType).alias("id"), F.lit(True).alias("asks")))
+    times = lefts.where("s IS NOT NULL").select(*by, "s").distinct().withColumn("hour", hour)
+    none = F.lit(None).cast(near.schema["id"].dataType)
+    both = near.select(*by, "hour", "s", "id", F.lit(False).alias("asks")).unionByName(times.select(*by, "hour", "s", none.alias("id"), F.lit(True).alias("asks")))
     span = Window.partitionBy(*by, "hour").orderBy("s").rangeBetween(-SECONDS, SECONDS)
     close = both.withColumn("found", F.min("id").over(span)).where("asks AND found IS NOT NULL").select(*by, "s", "found")
     # without a time on one side, only the texts count
@@ -49,4 +97,6 @@ def match_posts(left: DataFrame, right: DataFrame) -> DataFrame:
     any_ = least.groupBy(*by).agg(F.min("id").alias("any"))
     met = lefts.join(close, [*by, "s"], "left").join(untimed, by, "left").join(any_, by, "left")
     best = F.when(F.col("s").isNull(), F.col("any")).otherwise(F.least("found", "untimed"))
-    return met.groupBy(F.col("id").alias("left_id")).agg(F.min(best).alias("right_id")).where("right_id IS NOT NULL")
+    found = checkpointed(met.groupBy("t", "s").agg(F.min(best).alias("right_id")).where("right_id IS NOT NULL"))
+    same = (a["t"] == found["t"]) & a["s"].eqNullSafe(found["s"])
+    return a.join(found, same).groupBy(F.col("id").alias("left_id")).agg(F.min("right_id").alias("right_id"))
