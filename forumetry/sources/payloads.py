@@ -65,6 +65,18 @@ def graph_comments(raw: DataFrame) -> DataFrame:
     return _rows(c, COMMENT, comment_id=F.col("id"), platform=F.lit("facebook"), parent_post_id=F.col("post_id"), parent_comment_id=F.col("parent_id"), depth=F.col("page_depth"), created_at=F.col("created_time"), message=F.col("message"), permalink=F.col("permalink_url"), reactions=F.col("like_count"), source_collector=F.lit("meta_api"), author=_author(F.col("from.id"), F.col("from.name")))
 
 
+def graph_comment_trees(raw: DataFrame) -> DataFrame:
+    """Comments of the page API with `place`, from landed comments (payload, post_id, parent_id, ord): what a reader who follows each comment's answers
+    before the next comment would get. Depths follow from the parents' ids; ord is a comment's place among its parent's answers."""
+    from forumetry.operators.tours import reading_order
+
+    own = raw.select(F.col("post_id").alias("thread"), F.get_json_object("payload", "$.id").alias("comment_id"), F.col("parent_id").alias("parent_comment_id"), "ord")
+    placed = reading_order(own).select(F.col("thread").alias("parent_post_id"), "comment_id", F.col("depth").alias("_depth"), "place")
+    comments = graph_comments(raw.withColumn("page_depth", F.lit(0)))
+    met = comments.join(placed, ["parent_post_id", "comment_id"]).withColumn("depth", F.col("_depth"))
+    return met.select(*comments.columns, "place")
+
+
 _TWEET = """id STRING, text STRING, created_at STRING, author_id STRING, conversation_id STRING, referenced_tweets ARRAY<STRUCT<type: STRING, id: STRING>>, attachments STRUCT<media_keys: ARRAY<STRING>>,
     public_metrics STRUCT<like_count: BIGINT, retweet_count: BIGINT, reply_count: BIGINT, quote_count: BIGINT, bookmark_count: BIGINT, impression_count: BIGINT>, organic_metrics STRUCT<impression_count: BIGINT>, non_public_metrics STRUCT<impression_count: BIGINT>"""
 
