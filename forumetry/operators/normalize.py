@@ -14,7 +14,11 @@ def or_null(c: Column | str) -> Column:
 
 def shaped(df: DataFrame, name: str) -> DataFrame:
     """df with exactly the columns and types of a table; what it lacks is null."""
-    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].fields))
+    return df.select(*_columns(df, name))
+
+
+def _columns(df: DataFrame, name: str) -> list[Column]:
+    return [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
 
 
 def last_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -41,8 +45,8 @@ def propagation_rows(posts: DataFrame) -> DataFrame:
     return shared.withColumn("propagation_kind", F.coalesce(or_null("propagation_kind"), F.lit("unknown"))).withColumnRenamed("post_id", "propagation_id")
 
 
-def tables_of(manifests: DataFrame, source_runs: list[str] | None = None) -> dict[str, DataFrame]:
-    """The eight tables of snapshots (one row a run, by the MANIFEST schema)."""
+def tables_of(manifests: DataFrame, source_runs: list[str] | None = None, place: bool = False) -> dict[str, DataFrame]:
+    """The eight tables of snapshots (one row a run, by the MANIFEST schema). With `place`, each row also says where it came, by run and snapshot."""
     posts = manifests.select("run_id", F.posexplode("posts").alias("_p", "post")).select("run_id", "_p", "post.*")
     of_post = (F.col("is_propagation").alias("_shared"), F.col("post_id").alias("_post"), F.col("origin_post_id").alias("_origin"))
     comments = posts.select("run_id", "_p", *of_post, F.posexplode("comments").alias("_c", "comment")).select("run_id", "_p", "_shared", "_post", "_origin", "_c", "comment.*")
@@ -52,10 +56,10 @@ def tables_of(manifests: DataFrame, source_runs: list[str] | None = None) -> dic
         "post_count": F.size(F.filter("posts", lambda p: ~shared(p))), "propagation_count": F.size(F.filter("posts", shared)),
         "comment_count": F.aggregate("posts", F.lit(0), lambda n, p: n + F.greatest(F.size(p["comments"]), F.lit(0))),
     })
-    return flat_tables(runs, posts.drop("comments", "media_refs"), comments, media, _authors(manifests, posts, comments), source_runs)
+    return flat_tables(runs, posts.drop("comments", "media_refs"), comments, media, _authors(manifests, posts, comments), source_runs, place)
 
 
-def flat_tables(runs: DataFrame, posts: DataFrame, comments: DataFrame, media: DataFrame, authors: DataFrame, source_runs: list[str] | None = None) -> dict[str, DataFrame]:
+def flat_tables(runs: DataFrame, posts: DataFrame, comments: DataFrame, media: DataFrame, authors: DataFrame, source_runs: list[str] | None = None, place: bool = False) -> dict[str, DataFrame]:
     """The eight tables of rows of runs (with their counts), posts (run_id, and as in a snapshot), comments (the same, and _post, _shared and
     _origin of their post), media and authors."""
     ids = F.array(*(F.lit(r) for r in source_runs)) if source_runs else F.array("run_id")
@@ -73,7 +77,14 @@ def flat_tables(runs: DataFrame, posts: DataFrame, comments: DataFrame, media: D
     collected = runs.withColumns(told | of_source | {"filtered_service_message_count": F.coalesce("source.filtered_service_message_count", F.lit(0))})
     shares = propagation_rows(posts)
     made = {"posts": posts, "propagations": shares, "propagation_edges": shares, "comments": comments, "comment_edges": comments, "authors": authors, "media_refs": media, "collection_runs": collected}
-    return {name: shaped(df, name) for name, df in made.items()}
+    return {name: shaped(df, name) if not place else _placed(df, name) for name, df in made.items()}
+
+
+def _placed(df: DataFrame, name: str) -> DataFrame:
+    """shaped, with `place`: where a row came in its snapshots, by which the last one of a key is found."""
+    at = [F.col(c) if c in df.columns else F.lit(-1).alias(c) for c in ("_p", "_c", "_m")]
+    own = df.withColumn("place", F.struct("run_id", *at))
+    return own.select(*_columns(own, name), "place")
 
 
 def source_author(runs: DataFrame, *more: Column) -> DataFrame:

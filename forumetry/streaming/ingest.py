@@ -19,8 +19,8 @@ def ingest(spark: SparkSession, landing: str, root: str, checkpoint: str, once:
 
     def batch(manifests: DataFrame, epoch: int) -> None:
         kept = checkpointed(manifests)
-        for name, df in tables_of(kept).items():
-            upsert(df, root, name)
+        for name, df in tables_of(kept, place=True).items():
+            upsert(df, root, name, place="place")
 
     stream = spark.readStream.schema(MANIFEST).option("multiLine", True).json(f"{landing.rstrip('/')}/*/manifest.json")
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

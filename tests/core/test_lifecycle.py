@@ -92,15 +92,18 @@ def test_interrupted_upserts_lose_nothing(spark, tmp_path, monkeypatch):
     row = lambda run, item, label: (run, "comment", item, "a", label, 0.5, "m")
     frame = lambda *rows: spark.createDataFrame(rows, TABLES["stance_labels"])
     store.upsert(frame(row("r1", "c1", "support"), row("r2", "c1", "oppose")), root, "stance_labels")
-    settle = store._settle
-    with monkeypatch.context() as m:
-        calls = []
-        m.setattr(store, "_settle", lambda *a: settle(*a) if not calls.append(1) and len(calls) == 1 else (_ for _ in ()).throw(KeyboardInterrupt()))
-        with pytest.raises(KeyboardInterrupt):
-            store.upsert(frame(row("r2", "c1", "neutral"), row("r2", "c2", "support")), root, "stance_labels")
+    before = sorted(map(tuple, store.load(spark, root, "stance_labels").collect()))
+    more = frame(row("r2", "c1", "neutral"), row("r2", "c2", "support"))
+    for step in ("_publish_version", "write_bytes"):
+        with monkeypatch.context() as m:
+            m.setattr(store, step, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+            with pytest.raises(KeyboardInterrupt):
+                store.upsert(more, root, "stance_labels")
+        assert sorted(map(tuple, store.load(spark, root, "stance_labels").collect())) == before
+    store.upsert(more, root, "stance_labels")
     got = sorted((r.run_id, r.item_id, r.label) for r in store.load(spark, root, "stance_labels").collect())
     assert got == [("r1", "c1", "support"), ("r2", "c1", "neutral"), ("r2", "c2", "support")]
-    assert sorted(p.name for p in (tmp_path / "stance_labels").iterdir() if p.name.startswith("run_id")) == ["run_id=r1", "run_id=r2"]
+    assert set(store.current(spark, root, "stance_labels").folders) == {"r1", "r2"}
 
 
 def test_workbook_has_all_rows(spark, monkeypatch):
