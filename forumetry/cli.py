@@ -38,8 +38,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
         made = lifecycle.report_run(spark, a.root, review, run, a.raw)
         report.export(made, f"{out}/tables")
         if a.verb != "export-tables":
-            store.write_bytes(spark, f"{out}/report.md", report.markdown(made, f"Run {run}").encode())
-            store.write_bytes(spark, f"{out}/report.html", report.page(made, f"Run {run}").encode())
+            head, more = lifecycle.report_head(spark, a.root, run)
+            shown = more | made
+            store.write_lines(spark, f"{out}/report.md", report.markdown(shown, f"Run {run}", head))
+            store.write_lines(spark, f"{out}/report.html", report.page(shown, f"Run {run}", head))
             with tempfile.TemporaryFile() as f:  # of the driver, which writes it row by row
                 report.workbook(made, f)
                 f.seek(0)

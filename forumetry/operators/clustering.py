@@ -18,7 +18,7 @@ from forumetry.operators.store import checkpointed
 
 #: Points of a block, and forests that are merged at once.
 BLOCK, FAN = 1024, 16
-_EDGES = "kind string, bucket int, a long, b long, w double"
+_EDGES = "kind string, bucket long, a long, b long, w double"
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def spanning_tree(points: DataFrame, block: int = BLOCK, fan: int = FAN) -> Data
                 if len(ids) > 1:
                     a, b, w = spanning_edges(np.maximum(np.maximum(distances(x, x), core[:, None]), core[None, :]))
                     low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-                    yield pd.DataFrame({"kind": r.kind, "bucket": np.int32(r.block1 * 1_000_003 + r.block2), "a": low, "b": high, "w": w})
+                    yield pd.DataFrame({"kind": r.kind, "bucket": np.int64(int(r.block1) * (1 << 31) + int(r.block2)), "a": low, "b": high, "w": w})
 
     def merged(pdf):
         return pdf.iloc[forest(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["w"].to_numpy())]
@@ -211,7 +211,7 @@ def spanning_tree(points: DataFrame, block: int = BLOCK, fan: int = FAN) -> Data
     buckets = largest * (largest + 1) // 2
     while True:
         buckets = -(-buckets // fan)
-        edges = checkpointed(edges.withColumn("bucket", F.pmod(F.xxhash64("bucket"), F.lit(buckets)).cast("int")).groupBy("kind", "bucket").applyInPandas(merged, _EDGES))
+        edges = checkpointed(edges.withColumn("bucket", F.pmod(F.xxhash64("bucket"), F.lit(buckets))).groupBy("kind", "bucket").applyInPandas(merged, _EDGES))
         if buckets == 1:
             return edges
 

@@ -40,16 +40,18 @@ def cluster_keywords(members: DataFrame, top: int = 8) -> DataFrame:
 
 
 def first_texts(members: DataFrame, top: int = 3) -> DataFrame:
-    """(item_type, cluster_id, texts): the first texts of each cluster, in order."""
+    """(item_type, cluster_id, texts): the first texts of each cluster, in order. Only the chosen items' texts are gathered."""
     order = Window.partitionBy("item_type", "cluster_id").orderBy("ord", "item_id")
-    few = members.select("item_type", "cluster_id", "item_id", "ord", "text").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    few = members.select("item_type", "cluster_id", "item_id", "ord").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    few = few.join(members.select("item_type", "cluster_id", "item_id", "ord", "text"), ["item_type", "cluster_id", "item_id", "ord"])
     return few.groupBy("item_type", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
 
 
 def exemplars(members: DataFrame, top: int = 3) -> DataFrame:
-    """(item_type, cluster_id, rank, item_id): the longest texts of each cluster, ties by order."""
-    order = Window.partitionBy("item_type", "cluster_id").orderBy(F.desc(F.length("text")), "ord")
-    return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_type", "cluster_id", "rank", "item_id")
+    """(item_type, cluster_id, rank, item_id): the longest texts of each cluster, ties by order, then id. Lengths alone are sorted, and each task passes
+    on the `top` rows of each cluster that it has, so a cluster of half of all items is no task of its own."""
+    order = Window.partitionBy("item_type", "cluster_id").orderBy(F.desc("length"), "ord", "item_id")
+    return members.select("item_type", "cluster_id", "item_id", "ord", F.length("text").alias("length")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_type", "cluster_id", "rank", "item_id")
 
 
 def quotes(clusters: DataFrame, comments: DataFrame, top: int = 8, each: int = 2) -> DataFrame:

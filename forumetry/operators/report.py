@@ -61,29 +61,81 @@ def export(made: dict[str, DataFrame], folder: str) -> None:
         store.write_csv(df, f"{folder}/{name}")
 
 
-def rows(df: DataFrame, most: int = 20) -> list[tuple]:
-    return list(map(tuple, df.limit(most).collect()))
-
-
-def markdown(made: dict[str, DataFrame], title: str, most: int = 20) -> str:
-    """A section a table with its first rows."""
+def facts(t: dict[str, DataFrame], run_id: str) -> dict[str, list[tuple[str, object]]]:
+    """What a report begins with, by section: the source and what was collected of it, its platform's metrics, re-shares, and the runs that were merged.
+    Each section is of one row, or of a row a kind; none grows with the run."""
+    own = {name: df.where(F.col("run_id") == run_id) if "run_id" in df.columns else df for name, df in t.items()}
+    posts, shares, comments, run = own["posts"], own["propagations"], own["comments"], own["collection_runs"]
+    row = run.first()
+    if row is None:
+        return {}
+    analysed = own["analysis_runs"].first() if "analysis_runs" in own else None
+    named = lambda frame: [(k.replace("_", " "), v) for k, v in frame.first().asDict().items()]
+    out = {
+        "Source snapshot": [
+            ("platform", row.platform), ("source", row.source_name), ("source id", row.source_id), ("source type", row.source_type), ("posts collected", row.post_count),
+            ("re-shares", row.propagation_count), ("comments collected", row.comment_count), ("source runs merged", row.source_run_count),
+            ("embeddings provider", analysed.embedding_provider if analysed else "n/a"), ("text model", analysed.llm_provider if analysed else "n/a"),
+        ],
+    }
+    if row.platform in summaries.SUMMED:
+        summed = summaries.platform_summary(row.platform, posts, comments, run)
+        kinds = [(f"reaction {r.reaction}", r.n) for r in summed.first().reactions]
+        out[f"{row.platform.capitalize()} metrics"] = named(summed.drop("reactions")) + kinds
+    if not shares.isEmpty():
+        kinds = [(r.propagation_kind, r.n) for r in summaries.propagation_kinds(shares).orderBy(F.desc("n"), "propagation_kind").collect()]
+        out["Propagation summary"] = named(summaries.propagation_summary(shares, comments)) + kinds
+    out["Source runs"] = [("source run", r) for r in row.source_run_ids or []]
+    return out
+
+
+def warnings(t: dict[str, DataFrame], run_id: str, heuristic: bool = True) -> DataFrame:
+    """(warning) of a run, in the order in which they are shown: the sources' own, then those of the rules."""
+    own = {name: t[name].where(F.col("run_id") == run_id) for name in ("collection_runs", "posts", "propagations", "comments")}
+    told = own["collection_runs"].select(F.posexplode("warning_messages").alias("ord", "warning"))
+    return summaries.quality_warnings(own["collection_runs"], own["posts"], own["propagations"], own["comments"], told, heuristic).orderBy("ord").select("warning")
+
+
+def quoted(t: dict[str, DataFrame], run_id: str) -> DataFrame:
+    """(cluster_id, label, text): comments that stand for the largest clusters."""
+    own = {name: t[name].where(F.col("run_id") == run_id) for name in ("narrative_clusters", "cluster_memberships", "comments")}
+    clusters = summaries.clusters_with_counts(own["narrative_clusters"], own["cluster_memberships"])
+    return narratives.quotes(clusters, own["comments"]).orderBy("rank", "place").select("cluster_id", "label", "text")
+
+
+def _title(name: str) -> str:
+    return name.replace("_", " ").capitalize()
+
+
+def markdown(made: dict[str, DataFrame], title: str, head: dict[str, list[tuple[str, object]]] | None = None) -> Iterator[str]:
+    """The lines of a report: its head, and a section a table with all of its rows, which pass the driver one partition after the other."""
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
-    parts = [f"# {title}"]
+    line = lambda cells: "| " + " | ".join(map(cell, cells)) + " |"
+    yield f"# {title}"
+    for name, pairs in (head or {}).items():
+        yield from ("", f"## {name}", "", *(f"- {k}: {cell(v)}" for k, v in pairs))
     for name, df in made.items():
-        body = ["| " + " | ".join(map(cell, r)) + " |" for r in rows(df, most)]
-        parts += [f"\n## {name.replace('_', ' ').capitalize()}\n", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *body] if body else [f"\n## {name.replace('_', ' ').capitalize()}\n", "None."]
-    return "\n".join(parts) + "\n"
-
-
-def page(made: dict[str, DataFrame], title: str, most: int = 20) -> str:
-    """The same as an HTML page."""
+        yield from ("", f"## {_title(name)}", "")
+        body = df.toLocalIterator()
+        first = next(body, None)
+        if first is None:
+            yield "None."
+            continue
+        yield from (line(df.columns), "|" + "---|" * len(df.columns), line(first))
+        yield from map(line, body)
+
+
+def page(made: dict[str, DataFrame], title: str, head: dict[str, list[tuple[str, object]]] | None = None) -> Iterator[str]:
+    """The same as the lines of an HTML page."""
     cell = lambda tag, x: f"<{tag}>{'' if x is None else html.escape(str(x))}</{tag}>"
-    parts = [f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
+    yield f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"
+    for name, pairs in (head or {}).items():
+        yield f"<h2>{html.escape(name)}</h2><ul>{''.join(cell('li', f'{k}: {v}') for k, v in pairs)}</ul>"
     for name, df in made.items():
-        head = "".join(cell("th", c) for c in df.columns)
-        body = "".join("<tr>" + "".join(cell("td", x) for x in r) + "</tr>" for r in rows(df, most))
-        parts.append(f"<h2>{html.escape(name.replace('_', ' ').capitalize())}</h2><table><tr>{head}</tr>{body}</table>")
-    return "".join(parts) + "</body></html>"
+        yield f"<h2>{html.escape(_title(name))}</h2><table><tr>{''.join(cell('th', c) for c in df.columns)}</tr>"
+        yield from (f"<tr>{''.join(cell('td', x) for x in r)}</tr>" for r in df.toLocalIterator())
+        yield "</table>"
+    yield "</body></html>"
 
 
 #: Rows of a sheet at most, by the format.

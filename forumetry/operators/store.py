@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -53,6 +54,20 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def write_lines(spark: SparkSession, path: str, lines: Iterable[str], at_once: int = 1000) -> None:
+    """A text file of lines that are written as they come, `at_once` of them at a time."""
+    out, some = _files(spark, path).create(_path(spark, path), True), []
+    try:
+        for line in lines:
+            some.append(line + "\n")
+            if len(some) >= at_once:
+                out.write(bytearray("".join(some).encode()))
+                some = []
+        out.write(bytearray("".join(some).encode()))
+    finally:
+        out.close()
+
+
 #: Buckets of the keys of a table that isn't partitioned by runs; a table keeps the number it was begun with.
 BUCKETS = 64
 #: Fixed value: how Spark names the folder of rows without a run.

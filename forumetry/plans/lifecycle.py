@@ -99,3 +99,12 @@ def report_run(spark: SparkSession, root: str, review: str, run_id: str, raw: st
         t["stance_labels"] = overrides.stances(t["stance_labels"], store.read_csv(spark, f"{review}/stance_overrides"))
     seen = manifests.read_manifests(spark, f"{raw}/*/manifest.json", strict=False) if raw else None
     return report.tables(t, run_id, seen)
+
+
+def report_head(spark: SparkSession, root: str, run_id: str) -> tuple[dict[str, list[tuple[str, object]]], dict[str, DataFrame]]:
+    """What a report shows before its tables: facts by section, and the run's warnings and quotes."""
+    names = ("posts", "propagations", "comments", "collection_runs", "analysis_runs", "narrative_clusters", "cluster_memberships")
+    t = {n: store.load(spark, root, n) for n in names}
+    analysed = t["analysis_runs"].where(F.col("run_id") == run_id).first()
+    heuristic = analysed is None or analysed.llm_provider == providers.HEURISTIC
+    return report.facts(t, run_id), {"data_quality_warnings": report.warnings(t, run_id, heuristic), "quotes": report.quoted(t, run_id)}

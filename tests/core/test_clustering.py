@@ -79,3 +79,24 @@ def test_clusters_of_blocks_equal_brute_force(spark):
         assert {frozenset(v) for v in own.values()} == brute(x, 4, 2) and len(got) == len(rows)
         assert {c for (kind, _), c in got.items() if kind in "bc"} == {"0"} and {c for (kind, _), c in got.items() if kind == "d"} == {"0"}
     assert clustering.density_clusters(df.limit(0)).count() == 0
+
+
+def test_top_rows_of_a_cluster_are_chosen_before_they_are_dealt(spark):
+    from forumetry.operators import narratives
+
+    rows = spark.range(4000).selectExpr("'comment' AS item_type", "IF(id % 2 = 0, 'comment-noise', concat('comment-', id % 7)) AS cluster_id", "id AS ord", "concat('c', id) AS item_id", "repeat('word ', CAST(id % 97 AS INT)) AS text")
+    for df in (narratives.exemplars(rows), narratives.cluster_keywords(rows), narratives.first_texts(rows)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # read from the bottom: a limit a cluster in each task, the exchange, the limit and the window behind it
+        above, below = plan.index("WindowGroupLimit"), plan.rindex("WindowGroupLimit")
+        assert "Final" in plan[above : above + 200] and "Partial" in plan[below : below + 200] and "Exchange" in plan[above:below]
+    want = sorted(((k % 97) * 5, -k) for k in range(0, 4000, 2))[::-1][:3]
+    got = narratives.exemplars(rows).where("cluster_id = 'comment-noise'").orderBy("rank").collect()
+    assert [r.item_id for r in got] == [f"c{-k}" for _, k in want]
+
+
+def test_blocks_of_millions_of_points_have_numbers_of_their_own():
+    import numpy as np
+
+    numbers = {int(np.int64(int(a) * (1 << 31) + int(b))) for a in (0, 1, 2147, 2148, 10**6) for b in (0, 1, 2148, 10**6)}
+    assert len(numbers) == 20

@@ -113,7 +113,15 @@ def test_report(spark, landing, tmp_path):
     more = {n: spark.createDataFrame([], TABLES[n]) for n in ("stance_labels", "cluster_memberships", "narrative_clusters", "detected_languages")}
     made = report.tables(t | more, "r1")
     assert tuple(made) == report.NAMES and made["per_post_overview"].count() == 1 and made["per_propagation_overview"].count() == 1 and made["source_warnings"].first().warning == "careful"
-    assert "## Per post overview" in report.markdown(made, "Report") and "<h2>Source warnings</h2>" in report.page(made, "Report")
+    head = report.facts(t, "r1")
+    assert dict(head["Source snapshot"])["posts collected"] == 1 and dict(head["Propagation summary"])["total instances"] == 1 and head["Source runs"] == [("source run", "r1")]
+    assert [r.warning for r in report.warnings(t, "r1").collect()][0] == "careful"
+    many = spark.range(50).selectExpr("id AS n", "'a|b' AS text")
+    text, html = "\n".join(report.markdown(made | {"many_rows": many}, "Report", head)), "\n".join(report.page(made | {"many_rows": many}, "Report", head))
+    assert "## Per post overview" in text and "- posts collected: 1" in text and "<h2>Source warnings</h2>" in html and "<li>posts collected: 1</li>" in html
+    assert text.count("a\\|b") == 50 and html.count("<td>a|b</td>") == 50
+    store.write_lines(spark, str(tmp_path / "lines"), map(str, range(2500)))
+    assert (tmp_path / "lines").read_text().split() == list(map(str, range(2500)))
     report.export({"trace": made["source_run_trace"]}, str(tmp_path / "csv"))
     assert store.read_csv(spark, str(tmp_path / "csv" / "trace")).first().collector == "fake"
 
