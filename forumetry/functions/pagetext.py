@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from forumetry.functions.text import clean_mobile_text, comment_counter, compact_number, let, metric_count, or_empty, stripped
-from forumetry.functions.times import date_hint, posted_in
+from forumetry.functions.times import date_hint, either, posted_in
 
 #: Lines that are a comment's controls, in English, Ukrainian and Russian.
 CONTROLS = (
@@ -24,12 +24,11 @@ MOBILE = ("Open app", "Log in", "Follow", "Reels", "Photos", "Videos", "See all"
 #: Markers of a page that asks to log in, and of texts that are none of a post.
 LOGIN = ("Log In", "Forgot password?", "Forgot Account?", "Create new account", "See more on Facebook", "Email or phone number", "Password")
 NOISE = ("Log In", "Forgot Account?", "See more on Facebook")
-#: Where a post's text ends, a separator that was decoded wrongly, and lines with answers.
-CUTS = (r"\bMost relevant\b", r"\bAll reactions:", r"\bLike\s+Comment\b")
+#: Words with which a post's text ends, a separator that was decoded wrongly, and words of lines that count or name answers.
+CUTS = (("Most", "relevant"), ("All", "reactions:"), ("Like", "Comment"))
 SEPARATOR = "Â·"
-ANSWERS = (
-    r"\d+\s+Repl(?:y|ies)", r"\d+\s+відповід(?:ь|і|ей)", r"\d+\s+ответ(?:а|ов|ы)?", r".{1,80}\s+replied", r".{1,80}\s+відповів(?:ла)?", r".{1,80}\s+ответил(?:а)?",
-)
+ANSWER_COUNTED = ("Reply", "Replies", "відповідь", "відповіді", "відповідей", "ответ", "ответа", "ответов", "ответы")
+ANSWERED = ("replied", "відповів", "відповівла", "ответил", "ответила")
 #: A line without letters and with one number, and without letters and numbers.
 NUMBER, BARE = r"[^\p{L}\p{N}]*\p{Nd}+[^\p{L}\p{N}]*", r"[^\p{L}\p{N}]+"
 #: Characters of a text that says something, and of a name at most.
@@ -85,9 +84,7 @@ def meaningful(text: Column) -> Column:
 
 def control_line(line: Column) -> Column:
     def test(bare: Column) -> Column:
-        answers = F.lit(False)
-        for p in ANSWERS:
-            answers = answers | bare.rlike(whole(p))
+        answers = bare.rlike(whole(r"\d+\s+" + either(ANSWER_COUNTED))) | bare.rlike(whole(r".{1,80}\s+" + either(ANSWERED)))
         return (bare == "") | bare.rlike(whole(BARE)) | bare.isin(*CONTROLS) | answers | (bare == SEPARATOR)
 
     return let(F.btrim(clean_mobile_text(line), F.lit(" \t.;:|")), test)
@@ -102,8 +99,9 @@ def post_text(raw: Column, hint: Column) -> Column:
     """A post's text, up to the buttons below it, without the label of its time before it."""
     text = stripped(F.replace(or_empty(raw), F.lit("\u00a0"), F.lit(" ")))
     text = let(text, lambda t: F.when(t.contains(SEPARATOR), stripped(F.substr(t, F.locate(SEPARATOR, t) + F.lit(len(SEPARATOR))))).otherwise(t))
-    for cut in CUTS:
-        text = stripped(F.regexp_replace(text, rf"(?is){cut}.*$", ""))
+    for words in CUTS:
+        ends = r"\b" if words[-1][-1].isalnum() else ""
+        text = stripped(F.regexp_replace(text, r"(?is)\b" + r"\s+".join(words) + ends + ".*$", ""))
     hint = or_empty(hint)
     return let(text, lambda t: F.when((hint != "") & F.startswith(t, hint), stripped(F.substr(t, F.length(hint) + 1))).otherwise(t))
 
