@@ -123,9 +123,14 @@ def merge_manifests(manifests: DataFrame, runs: list[str], output: str, schema:
 
 def merged_tables(manifests: DataFrame, runs: list[str], output: str, schema: StructType) -> dict[str, DataFrame]:
     """The eight tables of the runs merged into one, straight from merged posts, comments and media: nothing is gathered into the row of a snapshot."""
+    return tables_of_merged(*_merged(manifests, runs), runs, output, schema)
+
+
+def tables_of_merged(at: DataFrame, merged: DataFrame, own: DataFrame, media: DataFrame, runs: list[str], output: str, schema: StructType) -> dict[str, DataFrame]:
+    """The eight tables from the runs' snapshots without posts (with _run, by which they are ordered), merged posts, comments (with _post) and media
+    (m, with post_id)."""
     from forumetry.operators.store import checkpointed
 
-    at, merged, own, media = _merged(manifests, runs)
     own = checkpointed(own)
     posts = checkpointed(_counted(merged, own.groupBy(F.col("_post").alias("post_id")).agg(F.count("*").alias("n"))).withColumn("run_id", F.lit(output)))
     of_post = posts.select(F.col("post_id").alias("_post"), F.col("is_propagation").alias("_shared"), F.col("origin_post_id").alias("_origin"), F.coalesce("created_at", F.lit("")).alias("_t"))

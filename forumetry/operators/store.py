@@ -126,6 +126,14 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return _read(spark, root, name, sorted(current(spark, root, name).folders.values()))
 
 
+def load_beside(new: DataFrame, root: str, name: str) -> DataFrame:
+    """Of a stored table the slices that rows of new belong to, with no other read. What an upsert of new would merge with."""
+    spark, was = new.sparkSession, current(new.sparkSession, root, name)
+    own = F.col("run_id") if _slice(name) == "run_id" else _bucket(name, was.buckets)
+    touched = {r[0] for r in new.select(F.coalesce(own.cast("string"), F.lit(NULL_SLICE))).distinct().collect()}
+    return _read(spark, root, name, sorted(was.folders[s] for s in touched if s in was.folders))
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], place: str | None = None) -> DataFrame:
     """old and new, with the columns of both but `place`, one row a key: new rows go before old ones, and of several in one frame the one of greatest
     `place`, a column of new. Among rows that this leaves open the one with the greatest other columns counts, so the result doesn't depend on
