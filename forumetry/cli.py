@@ -1,9 +1,14 @@
-"""Command line: python -m forumetry.cli VERB --config FILE --raw DIR --root DIR [--run RUN]."""
+"""Command line: python -m forumetry.cli VERB --config FILE [--raw DIR] [--root DIR] [--run RUN].
+
+Folders that aren't named are those of the configuration's `paths` (raw, root, review, out). With --collector NAME=MODULE:FUNCTION, once or more,
+`collect` and `run-all` first collect a run, in one or more passes.
+"""
 
 from __future__ import annotations
 
 import argparse
 import datetime
+import importlib
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -11,19 +16,35 @@ from pyspark.sql import SparkSession
 from forumetry import config
 from forumetry.operators import report, store
 from forumetry.plans import lifecycle
-from forumetry.sources import manifests
+from forumetry.sources import collection, manifests
+
+VERBS = ("collect", "normalize", "analyze", "review-export", "report", "export-tables", "run-all")
+
 
-VERBS = ("normalize", "analyze", "review-export", "report", "export-tables", "run-all")
+def _collector(named: str) -> tuple[str, collection.Collector]:
+    """NAME=MODULE:FUNCTION as the name and the function."""
+    name, _, place = named.partition("=")
+    module, _, function = place.partition(":")
+    return name, getattr(importlib.import_module(module), function)
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> str:
     parser = argparse.ArgumentParser(prog="forumetry", description=__doc__)
     parser.add_argument("verb", choices=VERBS)
-    for name, needed in (("config", True), ("raw", True), ("root", True), ("review", False), ("out", False), ("run", False)):
-        parser.add_argument(f"--{name}", required=needed)
+    parser.add_argument("--config", required=True)
+    for name in ("raw", "root", "review", "out", "run"):
+        parser.add_argument(f"--{name}")
+    parser.add_argument("--collector", action="append", default=[])
+    parser.add_argument("--passes", type=int, default=1)
     a = parser.parse_args(args)
     spark = spark or SparkSession.builder.appName("forumetry").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    project, review, out = config.load(a.config), a.review or f"{a.root}/review", a.out or f"{a.root}/report"
+    project = config.load(a.config)
+    a.raw, a.root = (getattr(a, name) or project.paths.get(name) or parser.error(f"--{name} or a path of the configuration is needed") for name in ("raw", "root"))
+    review, out = a.review or project.paths.get("review") or f"{a.root}/review", a.out or project.paths.get("out") or f"{a.root}/report"
+    if a.verb == "collect" or a.collector:
+        known = dict(_collector(x) for x in a.collector)
+        started = a.run or collection.run_name(datetime.datetime.now(datetime.UTC))
+        a.run = lifecycle.collect_run(spark, project, a.raw, known, started, a.passes)[-1]
     run = a.run or manifests.latest_run(spark, a.raw)
     if not run:
         raise SystemExit(f"no snapshots below {a.raw}")

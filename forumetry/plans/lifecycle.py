@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,21 @@ from pyspark.sql import functions as F
 from forumetry.config import Config
 from forumetry.operators import clustering, languages, merge, metrics, narratives, normalize, overrides, providers, report, stance, store
 from forumetry.schemas import MANIFEST
-from forumetry.sources import manifests
+from forumetry.sources import collection, manifests
+
+
+def collect_run(spark: SparkSession, config: Config, raw: str, collectors: dict[str, collection.Collector], run_id: str, passes: int = 1) -> list[str]:
+    """Snapshots of a run of one or more passes below `raw`, each from the first collector of the mode's chain that works, without posts outside the
+    configured dates. A pass that was collected before for the same request is used again."""
+    source = config.source_id or config.source_url or config.source_name
+    key = manifests.request_key(config.platform, source, config.mode, config.date_start, config.date_end)
+    runs = collection.passes(run_id, passes)
+    for run in runs:
+        if collection.reused(spark, raw, run, key) is None:
+            got = collection.collected(run, collection.chain(config.platform, config.mode, collectors), config.date_start, config.date_end)
+            asked = collection.within(got, config.date_start, config.date_end).withColumn("mode", F.lit(config.mode))
+            manifests.write_manifests(asked, f"{raw}/{run}/manifest.json")
+    return runs
 
 
 def normalize_run(spark: SparkSession, config: Config, raw: str, root: str, run_id: str) -> dict[str, DataFrame]:
@@ -84,6 +99,8 @@ def review_sheets(spark: SparkSession, root: str, review: str, run_id: str) -> d
             sheet = overrides.review_sheet(sheet, store.read_csv(spark, path), keys, editable)
         out[name] = store.checkpointed(sheet)
         store.write_csv(out[name], path)
+    counts = {"run_id": run_id, "cluster_count": out["narrative_overrides"].count(), "stance_labels_count": out["stance_overrides"].count()}
+    store.write_bytes(spark, f"{review}/current_analysis_snapshot.json", json.dumps(counts, ensure_ascii=False, indent=2).encode())
     return out
 
 

@@ -64,3 +64,12 @@ def reused(spark: SparkSession, raw: str, run_id: str, key: tuple[str, ...]) ->
         return None
     found = manifests.matches_request(manifests.read_manifests(spark, f"{raw}/{run_id}/manifest.json", strict=False), key)
     return None if found.isEmpty() else found
+
+
+def within(snapshots: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """snapshots without the posts that were made outside the asked dates; posts whose time is unknown stay."""
+    from forumetry.functions.times import in_range
+
+    if not (start or end):
+        return snapshots
+    return snapshots.withColumn("posts", F.filter("posts", lambda p: in_range(p["created_at"], start, end, allow_missing=True)))
