@@ -6,7 +6,8 @@ labelled document with identity terms, swapped versions of it (each term replace
 squared change of its margin to the loss, so that which group a text mentions does not move its score.
 
 The terms are IDENTITY, or other groups that are given, and `slot_groups`: words of the sample itself that stand between the same neighbours and
-so could take each other's place, most mentions of which are not in rows labelled 1. A corpus that names none of the listed groups has those.
+so could take each other's place, but are found with label 1 unequally often, although most of their mentions aren't. `mention_rates` tells
+how often neutral mentions of each term are called toxic.
 
 Cases: null and empty texts score as texts without features; equal texts score alike; a text of any length is read whole; without labels, or with
 labels of one kind, the score is the smoothed share of ones; an empty table gives no rows; every input column stays, but one named like a result
@@ -46,8 +47,9 @@ IDENTITY = (
 )
 #: Words of a slot: share of the sampled rows that must have them, how many at most (the most frequent), and in a group.
 SLOT_SHARE, SLOT_WORDS, SLOT_SIZE = 0.05, 200, 4
-#: Cosine that the counts of two words' neighbours must have for one slot.
-SLOT_COSINE = 0.9
+#: Cosine that the counts of two words' neighbours must have for one slot; share of the rows that have a word at most; groups at most, those whose
+#: words' shares of rows labelled 1 differ most, and the likelihood ratio by which they must differ.
+SLOT_COSINE, SLOT_COMMON, SLOT_GROUPS, SLOT_SHIFT = 0.8, 0.5, 20, 1.0
 MEMO = 500_000
 words_of = re.compile(r"\w+").findall
 
@@ -90,16 +92,18 @@ def swap_changes(text: str, place: dict[str, tuple[tuple[str, ...], int]]) -> tu
 
 
 def slot_groups(rows: DataFrame, share: float = SLOT_SHARE, most: int = SLOT_WORDS, size: int = SLOT_SIZE, cosine: float = SLOT_COSINE) -> tuple[tuple[str, ...], ...]:
-    """Groups of up to `size` words that stand between the same neighbours in rows (label, text).
+    """Groups of up to `size` words that stand between the same neighbours in rows (label, text), but are found with label 1 unequally often: which one
+    of them a text names tells of its label, although any could stand there. Most unequal ones first.
 
-    Counted on Spark; the driver gets at most `most` words and the counts of `most` squared pairs. A word counts if that share of the rows has it
-    and at most half of these rows are labelled 1: a word that is mostly found in them may be what the label means.
+    Counted on Spark; the driver gets at most `most` words and the counts of `most` squared pairs. Neighbours are words that so great a share of the
+    rows has; of these a group has no words of more than SLOT_COMMON of the rows (the words of grammar), and none most of whose rows are labelled 1:
+    a word that is mostly found in them may be what the label means.
     """
     listed = rows.select("label", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
     n = rows.count()
     has = listed.select("label", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("k"), F.avg("label").alias("ones"))
-    few = has.where((F.length("word") > 1) & (F.col("k") >= max(3, share * n)) & (F.col("ones") <= 0.5)).orderBy(F.desc("k"), "word").limit(most)
-    words = [r.word for r in few.collect()]
+    few = has.where((F.length("word") > 1) & (F.col("k") >= max(3, share * n))).orderBy(F.desc("k"), "word").limit(most).collect()
+    words, rates = [r.word for r in few], {r.word: (r.k, r.k * r.ones) for r in few}
     if len(words) < 2:
         return ()
     known = F.broadcast(rows.sparkSession.createDataFrame([(w,) for w in words], "word string"))
@@ -111,14 +115,31 @@ def slot_groups(rows: DataFrame, share: float = SLOT_SHARE, most: int = SLOT_WOR
     beside = np.concatenate((counts, counts.T), axis=1)
     beside /= np.maximum(np.sqrt((beside**2).sum(axis=1, keepdims=True)), 1e-9)
     like = beside @ beside.T
-    left, groups = list(range(len(words))), []
+    left, groups = [k for k, r in enumerate(few) if r.k <= SLOT_COMMON * n and r.ones <= 0.5], []
     while left:
         first = left.pop(0)
         near = sorted((k for k in left if like[first, k] >= cosine), key=lambda k: (-like[first, k], k))[: size - 1]
         if near:
             groups.append(tuple(words[k] for k in (first, *near)))
             left = [k for k in left if k not in near]
-    return tuple(groups)
+    shifts = sorted(((label_shift([rates[w] for w in g]), g) for g in groups), key=lambda x: (-x[0], x[1]))
+    return tuple(g for shift, g in shifts[:SLOT_GROUPS] if shift >= SLOT_SHIFT)
+
+
+def label_shift(counts: list[tuple[float, float]]) -> float:
+    """Likelihood ratio by which the shares of ones differ between (rows, ones) of several words: 0 if all are equal."""
+    rows, ones = (sum(x) for x in zip(*counts, strict=True))
+    term = lambda o, e: o * float(np.log(o / e)) if o > 0 else 0.0
+    return 2 * sum(term(a, n * ones / rows) + term(n - a, n * (rows - ones) / rows) for n, a in counts)
+
+
+def mention_rates(scored: DataFrame, groups=IDENTITY, text: str = "text") -> DataFrame:
+    """(term, n, flagged): of rows (text, score) that aren't toxic, how many name a term, and the share of these that the score calls toxic. Texts are
+    read once and counted by term, of which there are as many as are given."""
+    terms = sorted({t for g in groups for t in g})
+    named = F.array_intersect(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)), F.array(*map(F.lit, terms)))
+    each = scored.select(F.explode(named).alias("term"), (F.col("score") >= TOXIC).cast("double").alias("flag"))
+    return each.groupBy("term").agg(F.count("*").alias("n"), F.avg("flag").alias("flagged"))
 
 
 @dataclass
