@@ -119,12 +119,14 @@ _add(
 
 def _upsert(spark, sf):
     d = adapters.table(spark, sf, "documents").select(F.concat(F.lit("p:"), F.floor(F.col("doc_id") / 3)).alias("post_id"), (F.col("doc_id") % 3).alias("run"), "n_chars", "lang")
-    return store.upserted(d.where("run < 2").where("run = 0").drop("lang"), d.where("run > 0").where("run = 2"), ["post_id"])
+    return store.upserted(d.where("run = 0").drop("lang"), d.where("run > 0").withColumn("place", F.col("run")), ["post_id"], "place")
 
 
 _add(
     "upsert_keep_last", _upsert,
-    "SELECT post_id, run, n_chars, CASE WHEN run = 2 THEN lang END AS lang FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY run DESC) AS k FROM seen WHERE run IN (0, 2)) WHERE k = 1", seen=_SEEN,
+    """SELECT post_id, run, n_chars, CASE WHEN run > 0 THEN lang END AS lang
+       FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY run DESC) AS k FROM seen)
+       WHERE k = 1""", seen=_SEEN,
 )
 _add(
     "diagonal_union", lambda spark, sf: adapters.table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("int").alias("x")).unionByName(adapters.table(spark, sf, "events").select((F.col("value") + 0.0).alias("x"), "event_type"), allowMissingColumns=True).groupBy("event_type").agg(F.count("*").alias("n"), F.count("doc_id").alias("n_documents"), F.round(F.sum("x"), 2).alias("x")),

@@ -162,8 +162,12 @@ def tweet_pages(pages: DataFrame) -> DataFrame:
 
 
 def with_includes(posts: DataFrame, pages: DataFrame) -> DataFrame:
-    """posts of an account, as `tweet_posts` gives them from pages (payload, users, media), with authors' names and media from what the pages include."""
+    """posts of an account, as `tweet_posts` gives them from pages (payload, users, media), with authors' names and media from what the pages include: of a post that
+    several pages have, from one of them."""
     of = pages.select(F.get_json_object("payload", "$.id").alias("_id"), F.from_json(F.get_json_object("payload", "$.attachments.media_keys"), "array<string>").alias("_keys"), "users", "media", F.get_json_object("payload", "$.author_id").alias("_author"))
+    # of pages that overlap, one row a post
+    row = F.struct("_keys", "users", "media", "_author")
+    of = of.groupBy("_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("v")).select("_id", "v.*")
     met = posts.withColumn("_id", F.element_at(F.split("post_id", ":"), -1)).join(of, "_id")
     user = F.try_element_at("users", F.col("_author"))
     ref = lambda key, k: F.struct(F.concat("post_id", F.lit(":media:"), (k + 1).cast("string")).alias("media_id"), F.col("post_id").alias("owner_post_id"), F.try_element_at("media", key)["type"].alias("media_type"), F.lit(None).cast("string").alias("title"), F.try_element_at("media", key)["url"].alias("url"), F.try_element_at("media", key)["preview_image_url"].alias("preview_url"))
