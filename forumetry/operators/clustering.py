@@ -47,6 +47,24 @@ def spanning_edges(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return a, b, w
 
 
+def crossing_edges(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning tree of the edges between two sides, weights of left x right; right ends are counted on from the left ones."""
+    n, m = weights.shape
+    of_right = np.ascontiguousarray(weights.T)
+    best, source = np.concatenate((np.full(n, np.inf), weights[0])), np.zeros(n + m, np.int64)
+    open_ = np.ones(n + m, bool)
+    open_[0] = False
+    a, b, w = np.empty(n + m - 1, np.int64), np.empty(n + m - 1, np.int64), np.empty(n + m - 1)
+    for k in range(n + m - 1):
+        at = int(np.where(open_, best, np.inf).argmin())
+        a[k], b[k], w[k] = source[at], at, best[at]
+        open_[at] = False
+        side, more = (slice(n, None), weights[at]) if at < n else (slice(0, n), of_right[at - n])
+        closer = open_[side] & (more < best[side])
+        best[side][closer], source[side][closer] = more[closer], at
+    return a, b, w
+
+
 def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Places of the edges of a minimum spanning forest, lightest first."""
     names, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -188,17 +206,18 @@ def core_distances(points: DataFrame, min_samples: int, block: int = BLOCK) -> D
 
 def spanning_tree(points: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(kind, bucket, a, b, w): for each kind a minimum spanning tree of its points (kind, id, vector, core) by mutual reachability, the greatest of
-    both core distances and the distance."""
+    both core distances and the distance. Every distance is computed once."""
 
     def trees(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
+                # edges within a block are those of the pair with itself; another pair has the edges between its blocks alone
                 own = r.block1 == r.block2
                 ids = r.ids1 if own else np.concatenate((r.ids1, r.ids2))
-                x = np.array((r.vectors1 if own else np.concatenate((r.vectors1, r.vectors2))).tolist(), float)
-                core = r.core1 if own else np.concatenate((r.core1, r.core2))
                 if len(ids) > 1:
-                    a, b, w = spanning_edges(np.maximum(np.maximum(distances(x, x), core[:, None]), core[None, :]))
+                    x, y = np.array(r.vectors1.tolist(), float), np.array(r.vectors2.tolist(), float)
+                    weights = np.maximum(np.maximum(distances(x, y), r.core1[:, None]), r.core2[None, :])
+                    a, b, w = spanning_edges(weights) if own else crossing_edges(weights)
                     low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
                     yield pd.DataFrame({"kind": r.kind, "bucket": np.int64(int(r.block1) * (1 << 31) + int(r.block2)), "a": low, "b": high, "w": w})
 

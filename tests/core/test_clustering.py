@@ -100,3 +100,18 @@ def test_blocks_of_millions_of_points_have_numbers_of_their_own():
 
     numbers = {int(np.int64(int(a) * (1 << 31) + int(b))) for a in (0, 1, 2147, 2148, 10**6) for b in (0, 1, 2148, 10**6)}
     assert len(numbers) == 20
+
+
+def test_edges_between_two_sides_equal_those_of_a_full_matrix():
+    import numpy as np
+
+    from forumetry.operators import clustering
+
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (1, 7), (9, 4), (20, 20)):
+        cross = rng.integers(1, 30, (n, m)).astype(float)
+        full = np.full((n + m, n + m), 1e9)
+        full[:n, n:], full[n:, :n] = cross, cross.T
+        a, b, w = clustering.crossing_edges(cross)
+        assert len(w) == n + m - 1 and w.sum() == clustering.spanning_edges(full)[2].sum()
+        assert all(full[i, j] == k for i, j, k in zip(a, b, w)) and len(set(a) | set(b)) == n + m
