@@ -5,7 +5,8 @@ round every row merges its leftmost pair of least rank, found by looking all pai
 without a pair leave the matrix. A piece of over LONGEST bytes, where rounds would cost the square of its length, merges in the same order by
 a heap.
 
-Cases: a null or empty text has no ids; equal texts have equal ids; every input column stays, but one named like a result is replaced.
+Cases: a null or empty text has no ids; a text of any length is read whole; equal texts have equal ids, and repeated rows each their own; an
+empty table gives no rows; every input column stays, but one named like a result is replaced.
 """
 
 from __future__ import annotations
