@@ -1,15 +1,17 @@
-"""The report's tables from the stored ones, and their export as CSV, Markdown and HTML. Only the small tables of the report reach the driver."""
+"""The report's tables from the stored ones, and their export as CSV, Markdown and HTML. Rows of a report pass the driver one partition after
+the other."""
 
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 from itertools import islice
 from typing import BinaryIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumetry.operators import metrics, normalize, store, summaries
+from forumetry.operators import metrics, narratives, normalize, store, summaries
 
 NAMES = (
     "per_side_support", "per_origin_support", "per_origin_plus_propagations", "per_propagation_support", "per_post_overview", "per_propagation_overview", "per_propagation_comments", "per_thread_conflict",
@@ -41,13 +43,13 @@ def tables(t: dict[str, DataFrame], run_id: str, manifests: DataFrame | None = N
     support = metrics.support_metrics(stances, comments, members)
     scope = lambda kind: support.where(F.col("scope_type") == kind).orderBy(F.desc("support_count"), "scope_id", "side_id")
     clusters = summaries.clusters_with_counts(own["narrative_clusters"], members)
-    narratives = lambda kind: clusters.where(F.col("item_type") == kind).orderBy(F.desc("member_count"), "cluster_id")
+    of_kind = lambda kind: clusters.where(F.col("item_type") == kind).orderBy(F.desc("member_count"), "cluster_id")
     newest = lambda df, key: df.orderBy(F.desc_nulls_first("created_at"), key)
     posted, shared = summaries.post_overview(origins, comments), summaries.propagation_overview(shares, comments)
     traced = source_runs(own["collection_runs"], manifests)
     made = (
         scope("global"), scope("origin_post"), scope("origin_plus_propagations"), scope("propagation"), newest(posted, "post_id"), newest(shared, "propagation_id"), newest(summaries.propagation_comments(comments, shares), "comment_id"),
-        metrics.conflicts(stances, comments, origins), narratives("post"), narratives("propagation"), narratives("comment"), summaries.language_mix(own["detected_languages"]).orderBy("item_type", F.desc("n"), "language"),
+        metrics.conflicts(stances, comments, origins), of_kind("post"), of_kind("propagation"), of_kind("comment"), summaries.language_mix(own["detected_languages"]).orderBy("item_type", F.desc("n"), "language"),
         metrics.top_comments(stances, comments, "support"), metrics.top_comments(stances, comments, "oppose"), summaries.gaps(posted, "post_id"), summaries.gaps(shared, "propagation_id"), summaries.reply_depths(comments).orderBy("depth"),
         summaries.top_propagated(origins, shares), traced.drop("warnings").orderBy("source_run_id"),
         traced.select("source_run_id", F.posexplode("warnings").alias("i", "warning")).where("warning <> ''").select("source_run_id", (F.col("i") + 1).alias("warning_index"), "warning").orderBy("source_run_id", "warning_index"),
