@@ -205,11 +205,11 @@ p AS (
 steps AS (
     SELECT conv_id, len(path) AS n, unnest(range(0, len(path) + 1)) AS depth, path FROM p),
 nodes AS (
-    SELECT depth, path[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = depth AS childless,
+    SELECT depth, path[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS longest,
            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
     FROM steps GROUP BY ALL),
 up AS (
-    SELECT *, unnest(range(0, depth + 1)) AS above, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(prefix[depth].text) ELSE 0 END AS saved FROM nodes),
+    SELECT *, longest = depth AS childless, unnest(range(0, depth + 1)) AS above, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(prefix[depth].text) ELSE 0 END AS saved FROM nodes),
 below AS (
     SELECT above AS depth, prefix[1:above] AS prefix, count(*) FILTER (childless) AS n_leaves, sum(saved)::BIGINT AS saved_tokens,
            count(*) FILTER (depth = above + 1) AS n_children
