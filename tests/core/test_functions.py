@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from forumetry.functions import text, times, urls
+from forumetry.functions import pagetext, text, times, urls
 from forumetry.operators import metrics, narratives, normalize, overrides, stance, threads
 from forumetry.operators.stance import Side
 
@@ -56,6 +56,16 @@ def test_post_times(spark, label, at):
     assert values(spark, lambda c: times.iso(times.posted(c, F.lit(NOW).cast("timestamp"))), [label]) == [at and f"{at}+00:00"]
 
 
+@pytest.mark.parametrize("label,at", [("28 whst", None), ("83 de", None), ("3 hearts", None), ("see 28 whst there", None), ("3 hrs ago", "2026-03-24T09:00:00"), ("2 weeks", "2026-03-10T12:00:00"), ("12 Min ago", "2026-03-24T11:48:00")])
+def test_ages_have_units(spark, label, at):
+    assert values(spark, lambda c: times.iso(times.posted_in(c, F.lit(NOW).cast("timestamp"))), [label]) == [at and f"{at}+00:00"]
+
+
+def test_author_is_a_line_with_a_number_before_a_word(spark):
+    line = "The anon 35.85.178.28 whst 4035382415871949 es +1 (684) 555-9317 the nt shti."
+    assert values(spark, lambda c: pagetext.named_author(c, F.lit(NOW).cast("timestamp")), [f"Like\n3h\n{line}\nLike"]) == [line]
+
+
 def test_ranges_include_both_ends(spark):
     inputs = ["2026-04-01T00:00:00+00:00", "2026-04-02T23:59:59Z", "2026-03-31T23:59:59+00:00", "2026-04-03T00:00:00+00:00", "bad", None]
     assert values(spark, lambda c: times.in_range(c, "2026-04-01", "2026-04-02"), inputs) == [True, True, False, False, False, False]
