@@ -74,14 +74,16 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
+    lists = [shingle_hashes(x, words) for x in texts]
+    return majority(np.array([h for x in lists for h in x], np.uint64), np.array([len(x) for x in lists], np.int64))
+
+
 def with_fingerprints(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
     """docs with `fingerprint`, the 64 bits as a long."""
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        lists = [shingle_hashes(x or "", words) for x in batch[text].to_pylist()]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([h for x in lists for h in x], np.uint64)
-        return {"fingerprint": pa.array(majority(flat, sizes).view(np.int64))}
+        return {"fingerprint": pa.array(fingerprints([x or "" for x in batch[text].to_pylist()], words).view(np.int64))}
 
     return add_columns(docs, make, {"fingerprint": "long"})
 
@@ -338,16 +340,34 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """docs with `node`, a hash of the set of five-word shingles, `size`, how many there are, `bands`, and `sketch`."""
+    """docs with `fingerprint`, operator 10's, `node`, a hash of the set of five-word shingles, `size`, how many there are, `bands`, and `sketch`."""
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        sets = [shingle_set(x or "") for x in batch["text"].to_pylist()]
+        texts = [x or "" for x in batch["text"].to_pylist()]
+        sets = [shingle_set(x) for x in texts]
         node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
         made = [set_bands(x) if len(x) else ([], b"") for x in sets]
         bands, sketch = pa.array([x for x, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.binary())
-        return {"node": pa.array(node), "size": pa.array([len(x) for x in sets], pa.int64()), "bands": bands, "sketch": sketch}
+        prints = pa.array(fingerprints(texts).view(np.int64))
+        return {"fingerprint": prints, "node": pa.array(node), "size": pa.array([len(x) for x in sets], pa.int64()), "bands": bands, "sketch": sketch}
+
+    return add_columns(docs, make, {"fingerprint": "long", "node": "long", "size": "long", "bands": "array<long>", "sketch": "binary"})
+
+
+def fingerprint_pairs(rows: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(a, b): the pairs of sets that operator 10 links, of rows (fingerprint, node), which should be saved. A fingerprint stands for its least set, and
+    other sets of the same fingerprint meet that one."""
+    prints = saved(rows.groupBy("fingerprint").agg(F.min("node").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    equal = join_counted(rows.select("fingerprint", "node"), prints, ["fingerprint"], "n").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    links = saved(linked(prints.select("fingerprint"), most_bits).distinct(), "fingerprint-links")
+
+    def of(end: str) -> DataFrame:
+        used = links.groupBy(F.col(end).alias("fingerprint")).agg(F.count("*").alias("links"))
+        return saved(prints.join(used, "fingerprint").select(F.col("fingerprint").alias(end), F.col("least").alias(f"node_{end}"), "links"), "linked-fingerprints")
 
-    return add_columns(docs, make, {"node": "long", "size": "long", "bands": "array<long>", "sketch": "binary"})
+    met = join_counted(join_counted(links, of("a"), ["a"], "links").drop("links"), of("b"), ["b"], "links")
+    both = equal.unionByName(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -371,10 +391,10 @@ def close_in_size(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILAR
 
 
-def set_components(sets: DataFrame, texts: DataFrame) -> DataFrame:
+def set_components(sets: DataFrame, texts: DataFrame, by_print: DataFrame) -> DataFrame:
     """(node, root) of the sets (node, size, bands, sketch) that have similar ones; root is the least node of the component.
 
-    First every member of a band's group meets one of them: so most of a large group of near copies costs its members, not its pairs. What is
+    The pairs by_print (a, b), which SimHash links, are verified. For what differs in more bits, every member of a band's group meets one of them: so most of a large group of near copies costs its members, not its pairs. What is
     then still in different components is compared with the members of other components in its groups, inside a task for each pair of blocks;
     only links are made rows, and none is lost.
     """
@@ -384,7 +404,8 @@ def set_components(sets: DataFrame, texts: DataFrame) -> DataFrame:
     groups = saved(rows.groupBy(by).agg(center, F.count("*").alias("n")).where("n > 1"), "band-groups")
     met = saved(join_counted(rows, groups, by, "n").drop("n"), "band-members")
     pairs = met.where((F.col("node") != F.col("c.node")) & close_in_size(F.col("size"), F.col("c.size")))
-    pairs = saved(pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), "candidates")
+    pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+    pairs = saved(pairs.unionByName(by_print).distinct(), "candidates")
     links = saved(similar(pairs, texts), "links")
     roots = saved(components(links), "link-components")
     placed = saved(met.drop("c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-members")
@@ -455,7 +476,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # the text of a set is that of its least row; equal rows have equal texts
     of_set = sets.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.key").alias("key"))
     of_set = texts.join(of_set, texts["doc_id"].eqNullSafe(of_set["doc_id"]) & (texts["key"] == of_set["key"])).select("node", "text").dropDuplicates(["node"])
-    found = saved(set_components(sets.drop("least", "n"), of_set), "set-components")
+    found = saved(set_components(sets.drop("least", "n"), of_set, fingerprint_pairs(own)), "set-components")
     rooted = sets.select("node", "least", "n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = saved(rooted, "rooted-sets")
     whole = saved(rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("sets")), "whole-components")
@@ -467,8 +488,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near copies, that of the least doc_id; of repeated rows, one.
 
-    Near copies have a Jaccard similarity of 0.8 or more on five-word shingles, not operator 10's four words and four bits: such copies differ
-    in up to 14 bits and more, too many for a pigeonhole. MinHash bands propose pairs, all pairs are verified on the shingles.
+    Operator 10 links fingerprints (four words, four bits), and each link is verified: near copies have a Jaccard similarity of 0.8 or more on
+    five-word shingles. Such copies may differ in 14 bits and more, too many for a pigeonhole, so MinHash bands propose more pairs, which are
+    verified too.
     """
     found = saved(similar_documents(docs), "near-duplicates")
     gone = saved(found.where(~F.col("first")).select("doc_id", "key"), "later-copies")

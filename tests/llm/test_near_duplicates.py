@@ -208,3 +208,20 @@ def test_members_without_partners_are_out(spark):
     rows = [(1, 1, 10, list(range(10))), (2, 2, 10, list(range(2, 12))), (3, 2, 10, list(range(2, 12))), (4, 4, 10, [*range(7), 90, 91, 92]), (5, 5, 2, [100, 101]), (6, 5, 2, [100, 101]), (7, 7, 0, [])]
     df = spark.createDataFrame(rows, "node long, root long, size long, shingles array<long>")
     assert sorted(r.node for r in simhash.with_partners(df).collect()) == [1, 2, 3]
+
+
+def test_stage_joins_what_fingerprints_link(spark):
+    """Operator 10's links, verified on the shingles, hold where no band is shared; a link of other shingles doesn't."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(9000)}" for _ in range(400)]
+    copy, loop, alone = [*base[:-1], "end"], [f"r{k}" for k in range(7)], [f"x{k}" for k in range(90)]
+    texts = [" ".join(x) for x in (base, copy, base, loop * 50 + ["a", "b"], loop * 50 + ["c", "d", "e"], alone)]
+    assert (fingerprint(texts[0]) ^ fingerprint(texts[1])).bit_count() <= 4 and (fingerprint(texts[3]) ^ fingerprint(texts[4])).bit_count() <= 4
+    rows = simhash.saved(simhash.with_sets(simhash.keyed(documents(spark, texts))), "test-sets")
+    node = {r.doc_id: r.node for r in rows.collect()}
+    pair = lambda a, b: (min(node[a], node[b]), max(node[a], node[b]))
+    linked = simhash.fingerprint_pairs(rows.drop("text"))
+    assert {tuple(r) for r in linked.collect()} == {pair(0, 1), pair(3, 4)}
+    sets = rows.dropDuplicates(["node"]).selectExpr("node", "size", "transform(bands, (v, k) -> xxhash64(node, k)) AS bands", "sketch")
+    found = simhash.set_components(sets, rows.select("node", "text").dropDuplicates(["node"]), linked)
+    assert {tuple(r) for r in found.collect()} == {(n, pair(0, 1)[0]) for n in pair(0, 1)}
