@@ -1,8 +1,8 @@
 """Languages of texts, told by profiles of character n-grams that are learnt from text.
 
 A profile has, for the n-grams that are frequent in any language, the logarithm of their share in each. Words are counted before n-grams are made
-of them, so learning shuffles vocabularies, not texts. A text is scored by exploding its n-grams against the broadcast profile, whose size is
-bounded by MOST n-grams a language; sums are made before anything is shuffled, so one row a text is. Scripts and words that one language alone
+of them, so learning shuffles vocabularies, not texts. A text is scored by the sums of its words, which tasks make of the profile, whose size is
+bounded by MOST n-grams a language; only these sums are shuffled, one row a text. Scripts and words that one language alone
 has (stance.language) decide where no profile does.
 
 Weights are whole thousandths, so sums are exact and a text's language doesn't depend on the order of its rows.
@@ -10,11 +10,14 @@ Weights are whole thousandths, so sums are exact and a text's language doesn't d
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from forumetry.functions.text import or_empty
 from forumetry.operators.stance import language
@@ -22,6 +25,8 @@ from forumetry.operators.store import checkpointed
 
 #: Letters of an n-gram; n-grams of a language that are kept; what an unseen one counts; weights are multiples of 1 / SCALE.
 GRAM, MOST, UNSEEN, SCALE = 3, 1_000, 0.5, 1_000
+#: Words that a worker remembers before it forgets them all.
+WORDS = 200_000
 #: The share of a text's n-grams that a profile must know to decide.
 LEAST_KNOWN = 0.5
 
@@ -103,14 +108,55 @@ def seeded(spark: SparkSession, languages: Iterable[str] | None = None) -> Profi
     return learn(spark.createDataFrame(texts, "text string, language string"))
 
 
+def _word_sums(profiles: list[tuple[str, list[int]]], width: int) -> Callable[[str], list[int]]:
+    """What a word counts: its n-grams, those that the profiles know, and the sum of their weights in each language."""
+    weights = dict(profiles)
+
+    def sums(word: str) -> list[int]:
+        padded = f" {word} "
+        made = [padded[k : k + GRAM] for k in range(len(padded) + 1 - GRAM)]
+        known = [weights[g] for g in made if g in weights]
+        return [len(made), len(known), *(map(sum, zip(*known, strict=True)) if known else [0] * width)]
+
+    return sums
+
+
 def scores(items: DataFrame, profiles: Profiles, keys: list[str], keep: list[str]) -> DataFrame:
     """(keys, keep, n_grams, known, score0, ...): the n-grams of each row's text, those that the profiles know, and the sum of their weights in each
-    language. Columns in `keep` must be the same for rows with equal keys."""
-    tokens = items.select(*keys, *keep, F.explode_outer(words(F.col("text"))).alias("_word"))
-    made = tokens.select(*keys, *keep, F.explode_outer(grams(F.col("_word"))).alias("gram"))
-    met = made.join(F.broadcast(profiles.table), "gram", "left")
-    sums = [F.coalesce(F.sum(F.get("weights", F.lit(k))), F.lit(0)).alias(f"score{k}") for k in range(len(profiles.languages))]
-    return met.groupBy(*keys).agg(*(F.first(c).alias(c) for c in keep), F.count("gram").alias("n_grams"), F.count("weights").alias("known"), *sums)
+    language. Columns in `keep` must be the same for rows with equal keys.
+
+    A worker makes n-grams of each distinct word once and remembers its sums, till it has WORDS words; a text adds up those of its words. The
+    profiles, which are bounded by MOST, come to the driver and go to the tasks with the function.
+    """
+    width = len(profiles.languages)
+    table = [(r.gram, list(r.weights)) for r in profiles.table.collect()]
+    names = ["n_grams", "known", *(f"score{k}" for k in range(width))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, place, held = _word_sums(table, width), {}, []
+        for batch in batches:
+            lists = batch["_words"]
+            coded = lists.flatten().dictionary_encode()
+            if len(place) > WORDS:
+                place, held = {}, []
+            at = []
+            for word in coded.dictionary.to_pylist():
+                k = place.get(word)
+                if k is None:
+                    k = place[word] = len(held)
+                    held.append(sums(word))
+                at.append(k)
+            own = np.array([held[k] for k in at], np.int64).reshape(-1, 2 + width)[coded.indices.to_numpy()]
+            # a row's sum is the difference of running sums, so that texts without words have 0
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            run_ = np.concatenate((np.zeros((1, 2 + width), np.int64), np.cumsum(own, axis=0)))
+            made = np.diff(run_[np.concatenate(([0], ends))], axis=0)
+            rest = [batch[c] for c in (*keys, *keep)]
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(made[:, k]) for k in range(2 + width))], names=[*keys, *keep, *names])
+
+    shaped = items.select(*keys, *keep, words(F.col("text")).alias("_words"))
+    schema = StructType([*shaped.drop("_words").schema.fields, *(StructField(c, LongType()) for c in names)])
+    return shaped.mapInArrow(run, schema).groupBy(*keys).agg(*(F.first(c).alias(c) for c in keep), *(F.sum(c).alias(c) for c in names))
 
 
 def detect(items: DataFrame, profiles: Profiles, allowed: Iterable[str] | None = None) -> DataFrame:
@@ -127,8 +173,9 @@ def detect(items: DataFrame, profiles: Profiles, allowed: Iterable[str] | None =
         return scored.select(*keys, "_rule.*")
     # of equal scores the first language
     best = F.array_max(F.array(*(F.struct(F.col(f"score{k}").alias("score"), F.lit(-k).alias("place")) for k in range(len(names)))))
-    scored = scored.withColumn("_best", best)
-    name = F.element_at(F.array(*map(F.lit, names)), 1 - F.col("_best.place"))
+    scored = scored.withColumn("_best", best).withColumn("_place", F.col("_best.place"))
+    named = items.sparkSession.createDataFrame([(-k, x) for k, x in enumerate(names)], "_place int, _name string")
+    scored, name = scored.join(F.broadcast(named), "_place", "left"), F.col("_name")
     share = 1 / sum((F.exp((F.col(f"score{k}") - F.col("_best.score")) / SCALE) for k in range(len(names))), F.lit(0.0))
     decided = (F.col("known") > 0) & (F.col("known") >= LEAST_KNOWN * F.col("n_grams"))
     if allowed is not None:

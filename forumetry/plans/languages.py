@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumetry.operators import languages, summaries
-from forumetry.plans.common import post_items, with_
-from forumetry.sources.adapters import posts
+from forumetry.plans.common import items_of_documents, with_
+from forumetry.sources.adapters import table
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> languages.Profiles:
-    return languages.learn(posts(spark, sf_dir).select(F.col("message").alias("text"), F.col("lang").alias("language")))
+    return languages.learn(table(spark, sf_dir, "documents").select("text", F.col("lang").alias("language")))
 
 
 def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.detect(post_items(posts(spark, sf_dir)), _profiles(spark, sf_dir))
+    return languages.detect(items_of_documents(spark, sf_dir), _profiles(spark, sf_dir))
 
 
 def language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

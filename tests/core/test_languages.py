@@ -59,3 +59,15 @@ def test_profiles_are_bounded_and_texts_are_not_shuffled(spark):
 def test_long_texts(spark, text):
     got = found(languages.detect(spark.createDataFrame([("post", "long", text)], SCHEMA), languages.seeded(spark)))
     assert set(got) == {"long"}
+
+
+def test_texts_are_scored_without_rows_of_grams(spark, sf):
+    plan = queries.language_detect(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan and plan.count("hashpartitioning") == 1
+
+
+def test_scores_of_texts_without_words_are_zero(spark):
+    learnt = languages.learn(spark.createDataFrame([("one two", "a"), ("drei vier", "b")], "text string, language string"))
+    items = spark.createDataFrame([("x", "1", "", "k"), ("x", "2", None, "k"), ("x", "3", "two zzz", "k"), ("x", "4", "7", "k"), ("x", "3", "two", "k")], "item_type string, item_id string, text string, k string")
+    got = {r.item_id: (r.n_grams, r.known, r.k) for r in languages.scores(items, learnt, ["item_type", "item_id"], ["k"]).collect()}
+    assert got == {"1": (0, 0, "k"), "2": (0, 0, "k"), "3": (9, 6, "k"), "4": (0, 0, "k")}
