@@ -26,3 +26,14 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["cached_embeddings", "embedding_misses"])
+def test_embedded_items_are_read_without_the_join_of_copies(spark, sf, name, monkeypatch):
+    from forumetry.plans import discussion
+
+    def refused(*_):
+        raise AssertionError("items need no join of copies")
+
+    monkeypatch.setattr(discussion, "posts", refused)
+    same(catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], spark, sf)
