@@ -115,3 +115,33 @@ def test_edges_between_two_sides_equal_those_of_a_full_matrix():
         a, b, w = clustering.crossing_edges(cross)
         assert len(w) == n + m - 1 and w.sum() == clustering.spanning_edges(full)[2].sum()
         assert all(full[i, j] == k for i, j, k in zip(a, b, w)) and len(set(a) | set(b)) == n + m
+
+
+def test_lightest_edges_by_products_equal_those_by_differences():
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.normal(size=(700, 8)) * 5 + 1000, np.full((40, 8), 1000.0)))  # far from the origin, and equal points
+    d = clustering.distances(x, x)
+    ids, zero = np.arange(len(x)), np.zeros(len(x))
+    own = {"id": ids, "vector": x, "core": zero, "comp": ids, "bound": np.full(len(x), np.inf)}
+    halves = [{c: v[some] for c, v in own.items()} for some in (slice(0, 300), slice(300, None))]
+    w, to = clustering.lightest(own, halves, 3)
+    assert (w == np.sort(np.where(np.eye(len(x)) > 0, np.inf, d), axis=1)[:, :3]).all() and (w == d[ids[:, None], to]).all()
+    core, comp = w[:, 2], ids % 5
+    m = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    m[comp[:, None] == comp] = np.inf
+    w, to = clustering.lightest(own | {"core": core, "comp": comp}, [h | {"core": core[h["id"]], "comp": comp[h["id"]]} for h in halves], 1)
+    assert all(w[comp == k].min() == m[comp == k].min() for k in range(5))
+
+
+def test_components_grow_into_a_minimum_spanning_tree(spark):
+    rng = np.random.default_rng(9)
+    sets = {"far": np.concatenate([rng.normal(size=(60, 4)) + 50 * k for k in range(5)]), "ties": rng.integers(0, 4, (150, 3)).astype(float), "same": np.zeros((40, 2))}
+    for kind, x in sets.items():
+        df = spark.createDataFrame([(kind, k, v.tolist()) for k, v in enumerate(x)], "kind string, id long, vector array<double>")
+        got = clustering.grown_tree(df, 3, 32).toPandas()
+        d = clustering.distances(x, x)
+        core = np.sort(d, axis=1)[:, 3]
+        m = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+        a, b = got["a"].to_numpy(), got["b"].to_numpy()
+        assert (m[a, b] == got["w"]).all() and len(got) == len(x) - 1 == len(clustering.forest(a, b, got["w"].to_numpy()))
+        assert sorted(got["w"]) == sorted(clustering.spanning_edges(m)[2])
