@@ -120,6 +120,13 @@ def test_nesting_depth_covers_whole_texts(spark, tmp_path):
         assert r.depths == ",".join(map(str, want))
 
 
+def test_nesting_copies_no_arrays_at_each_item(spark):
+    df = spark.createDataFrame([(None,), ([3, None, 9, 20],), ([-9, 0, 9, 5],)], "xs array<int>")
+    made = normalize.nesting(df)
+    assert [(r.depths, r.parents) for r in made.collect()] == [(None, None), ([0, 0, 0, 1], [-1, -1, -1, 2]), ([0, 1, 2, 1], [-1, 0, 1, 0])]
+    assert "aggregate(" not in made._jdf.queryExecution().toString()
+
+
 def test_limits(spark):
     df = spark.createDataFrame([(0, False), (35, True), (120, True), (50, False)], "n int, a boolean")
     assert [r[0] for r in df.select(threads.article_limit(F.col("n"), F.col("a"))).collect()] == [220, 320, 420, 240]
