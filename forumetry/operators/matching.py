@@ -8,11 +8,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumetry.functions.text import canonical_post_text
+from forumetry.functions.text import canonical_post_text, let
 from forumetry.operators.store import checkpointed
 
 #: Characters of a beginning that must be equal, at most (lengths are bits of a long), and seconds between both views.
 BLOCK, SECONDS = 60, 3600
+#: Characters of a text that are looked at first, and characters at the end of what they make that the rest of the text might change, at most.
+FIRST, EDGE = 400, 20
+
+
+def beginning(text: Column) -> Column:
+    """The first BLOCK characters of the canonical text. They mostly come from the first few of a long text: only what stands at the cut (half a fold
+    mark, icon, handle or run of blanks) may read otherwise in the whole. If less than that is sure, the whole text is read."""
+    sure = lambda t: (F.char_length(text) <= FIRST) | (F.char_length(t) >= BLOCK + EDGE)
+    return let(canonical_post_text(F.left(text, F.lit(FIRST))), lambda t: F.left(F.when(sure(t), t).otherwise(canonical_post_text(text)), F.lit(BLOCK)))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +76,7 @@ def match_posts(left: DataFrame, right: DataFrame) -> DataFrame:
     a window of times finds the least id. No pairs are made: a beginning that a third of all posts share is spread over its hours, and each of
     these has 3 * 3600 right rows at most.
     """
-    shaped = lambda df: df.select("id", F.left(canonical_post_text(F.col("text")), F.lit(BLOCK)).alias("t"), F.unix_timestamp(F.col("at").cast("timestamp")).alias("s")).where("t <> ''")
+    shaped = lambda df: df.select("id", beginning(F.col("text")).alias("t"), F.unix_timestamp(F.col("at").cast("timestamp")).alias("s")).where("t <> ''")
     a, b = checkpointed(shaped(left)), checkpointed(shaped(right))  # beginnings only: texts are read once
     asked, least = a.select("t", "s").distinct(), checkpointed(b.groupBy("t", "s").agg(F.min("id").alias("id")))
     sides = asked.select("t", F.lit(1).alias("left"), F.lit(0).alias("right")).unionByName(least.select("t", F.lit(0).alias("left"), F.lit(1).alias("right")))

@@ -66,3 +66,13 @@ def test_a_text_that_most_posts_share_makes_no_pairs(spark):
     right = left.withColumn("id", F.col("id") + 5)
     got = matching.match_posts(left, right)
     assert got.count() == 20_000 and got.where("right_id <> greatest(left_id - 720, 0) + 5").count() == 0
+
+
+def test_beginnings_come_from_the_first_characters_where_these_are_sure(spark):
+    long, cut = "word " * 2000, matching.FIRST
+    texts = [None, "", "see more", long, "@someone " + "x" * 1000 + "\n" + long, " " * 1000 + long, "see more " * 100 + long, "a" * (cut - 4) + "see more" + long, "b " * 30 + " " * 600 + "see more c", "@x\n" * 200 + long]
+    texts += ["y" * n + "\n" * (cut - n - 3) + " see more\n@handle\nend" for n in (55, 59, 61, 79, 81)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select(matching.beginning(F.col("text")).alias("got"), F.left(matching.canonical_post_text(F.col("text")), F.lit(matching.BLOCK)).alias("want")).collect():
+        assert r.got == r.want
+    assert matching.EDGE > len("see more")
