@@ -127,6 +127,26 @@ def test_nesting_copies_no_arrays_at_each_item(spark):
     assert "aggregate(" not in made._jdf.queryExecution().toString()
 
 
+def test_lines_that_do_not_count_are_not_tested(spark, monkeypatch):
+    refused = lambda x, real: F.when(x == "never", F.raise_error(F.lit("this line needs no test")).cast("string")).otherwise(real(x))
+    hint, time = pagetext.date_hint, pagetext.posted_in
+    monkeypatch.setattr(pagetext, "date_hint", lambda x: refused(x, hint))
+    monkeypatch.setattr(pagetext, "posted_in", lambda x, now: refused(x, lambda y: time(y, now).cast("string")))
+    now = F.lit(NOW).cast("timestamp")
+    assert values(spark, pagetext.comment_hint, ["Anna\nsaid\n 2h \nnever", "never\nsaid", None]) == ["2h", "", ""]
+    assert values(spark, lambda c: pagetext.body_hint(c, F.lit("Page")), ["Page\n1h\nnever", "x\n5d\nnever\nPage\n3 w"]) == ["1h", "3 w"]
+    assert values(spark, lambda c: pagetext.comment_author(F.lit(""), c, now), ["3h\nhe who said so\nnever"]) == ["he who said so"]
+    assert values(spark, lambda c: pagetext.comment_text(c, F.lit(""), F.lit(""), now), ["never\n3h\nkept\n3h\n17", "3h\n2d\n5"]) == ["never\n3h\nkept", ""]
+
+
+def test_blanks_and_icons(spark):
+    every = spark.range(0x10000).where(~F.col("id").between(0xD800, 0xDFFF))
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    text_ = F.concat(c, c, F.lit("a"), c, F.lit("b"), c)
+    assert every.where(text.stripped(text_) != F.regexp_replace(text_, r"(?U)^\s+|\s+$", "")).count() == 0
+    assert values(spark, text.clean_mobile_text, ["a  b\t c\td e \t", "a ô¸\tb ôx", "ôŒ«a\ue000 \u00a0b", "a\n\n\n\nb \n"]) == ["a b c d e", "a b ôx", "a b", "a\n\nb"]
+
+
 def test_limits(spark):
     df = spark.createDataFrame([(0, False), (35, True), (120, True), (50, False)], "n int, a boolean")
     assert [r[0] for r in df.select(threads.article_limit(F.col("n"), F.col("a"))).collect()] == [220, 320, 420, 240]

@@ -52,3 +52,15 @@ def test_shares_are_told_by_their_words(spark):
 
 def test_pages_that_ask_to_log_in(spark):
     assert details(spark, {"permalink": LINK}, {"body_text": "Log In\nForgot Account?\nCreate new account"}).login_wall
+
+
+def test_comments_of_a_page_stay_in_its_row(spark):
+    at = lambda x, said, name="Anna Kovalenko": (said, None, name, "2h", None, x)
+    kind = "post_id string, comments array<struct<text:string, raw_text:string, author_name:string, published_hint:string, permalink:string, nesting_x:int>>"
+    payload = spark.createDataFrame([("p", [at(300, "the first"), at(350, "no"), at(400, "an answer"), at(None, "Anna Kovalenko\nthe last\n2h\nLike")]), ("q", []), ("r", None)], kind)
+    made = pages.page_comments(payload, F.lit("2026-03-24T12:00:00+00:00").cast("timestamp"))
+    rows = {r.message: r for r in made.collect()}
+    assert set(rows) == {"the first", "an answer", "the last"} and [rows[m].depth for m in ("the first", "an answer", "the last")] == [0, 1, 0]
+    assert rows["an answer"].parent_comment_id == rows["the first"].comment_id and rows["the last"].parent_comment_id is None
+    assert {r.author_name for r in rows.values()} == {"Anna Kovalenko"} and rows["the last"].created_at == "2026-03-24T10:00:00+00:00"
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
